@@ -27,7 +27,7 @@ UNROLL_LIMIT = 24
 
 def hard_vote(predicted: Column, n_classes: int) -> Column:
     """One-hot distribution of a predicted class."""
-    return F.array(*[F.when(predicted == c, F.lit(1.0)).otherwise(F.lit(0.0)) for c in range(n_classes)])
+    return F.array(*[(predicted == c).cast("double") for c in range(n_classes)])
 
 
 def class_sums(
@@ -51,14 +51,12 @@ def _class_sums_by_lambda(votes, n_classes, weights):
 
 def all_but(k: Column, n_members: int) -> list[Column]:
     """Weight 1 for every member but ``k`` (summed directly, not total minus one)."""
-    return [F.when(k != i, F.lit(1.0)).otherwise(F.lit(0.0)) for i in range(n_members)]
+    return [(k != i).cast("double") for i in range(n_members)]
 
 
 def out_of_bag_but(k: Column, bag: Column, n_members: int) -> list[Column]:
     """Weight 1 for the members other than ``k`` that never drew the row."""
-    return [
-        F.when((k != i) & (bag[i] == 0), F.lit(1.0)).otherwise(F.lit(0.0)) for i in range(n_members)
-    ]
+    return [((k != i) & (bag[i] == 0)).cast("double") for i in range(n_members)]
 
 
 def scale_of(sums: Sequence[Column], normaliser: str, keep_zeros: bool = False) -> tuple[Column, Column]:

@@ -23,12 +23,10 @@ def poisson_bounds(terms: int = 11) -> list[float]:
     return bounds
 
 
-def _poisson_count(u: Column) -> Column:
+def _poisson_count(u: str) -> Column:
     bounds = poisson_bounds()
-    count = F.when(u < F.lit(bounds[0]), F.lit(0))
-    for j, bound in enumerate(bounds[1:], start=1):
-        count = count.when(u < F.lit(bound), F.lit(j))
-    return count.otherwise(F.lit(len(bounds)))
+    steps = " ".join(f"WHEN {u} < {bound!r}D THEN {j}" for j, bound in enumerate(bounds))
+    return F.expr(f"CASE {steps} ELSE {len(bounds)} END")
 
 
 def poisson_bags(rows: DataFrame, n_members: int, seed: int = 1, row_id: str = "row_id") -> DataFrame:
@@ -38,7 +36,7 @@ def poisson_bags(rows: DataFrame, n_members: int, seed: int = 1, row_id: str = "
     """
     names = [f"_u{k}" for k in range(n_members)]
     drawn = rows.withColumns(dict(zip(names, uniforms(F.col(row_id), f"{seed}:bag", n_members))))
-    bag = F.array(*[_poisson_count(F.col(name)) for name in names])
+    bag = F.array(*[_poisson_count(name) for name in names])
     return drawn.withColumn("bag", bag).drop(*names)
 
 

@@ -9,6 +9,7 @@ immutable, so pseudo-labels computed from them cannot change after the fact.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from peerlabel.functions.voting import hard_vote
 
 MAX_FLAG_BITS = 12
+ROWS_PER_TASK = 10_000
 
 
 class Voter(Protocol):
@@ -194,8 +196,7 @@ class BucketVoter:
         return table[F.col(self.feature_col)]
 
     def vote(self, rows: DataFrame, out_col: str) -> DataFrame:
-        staged = rows.withColumn(f"_{out_col}", self.predicted())
-        return staged.select(*rows.columns, hard_vote(F.col(f"_{out_col}"), self.n_classes).alias(out_col))
+        return rows.withColumn(out_col, hard_vote(self.predicted(), self.n_classes))
 
 
 @dataclass(frozen=True)
@@ -306,6 +307,16 @@ def fit_members(
         return dict(zip(ks, pool.map(fit, ks)))
 
 
+def in_few_tasks(rows: DataFrame, n_rows: int) -> DataFrame:
+    """Join small partitions before iterative training; never splits or shuffles.
+
+    Every optimiser step is a job, so a small training set in many tasks pays for
+    scheduling only. Meant for rows read from a cache, whose own computation
+    stays as parallel as it was.
+    """
+    return rows.coalesce(max(1, math.ceil(n_rows / ROWS_PER_TASK)))
+
+
 def with_votes(rows: DataFrame, voters: Sequence[Voter]) -> DataFrame:
     """Append ``votes ARRAY<ARRAY<DOUBLE>>``: every member asked once per row."""
     names = [f"_v{k}" for k in range(len(voters))]

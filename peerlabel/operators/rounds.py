@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peerlabel.config import CoTrainConfig
@@ -36,7 +36,7 @@ def labelled_errors(rows: DataFrame, config: CoTrainConfig) -> DataFrame:
     """
     k = F.col("k")
     weights = [
-        F.when((k == ENSEMBLE) | ((k != i) & (F.col("bag")[i] == 0)), F.lit(1.0)).otherwise(F.lit(0.0))
+        ((k == ENSEMBLE) | ((k != i) & (F.col("bag")[i] == 0))).cast("double")
         for i in range(config.n_members)
     ]
     judged = voting.with_decision(
@@ -69,25 +69,23 @@ def training_error(errors: DataFrame) -> DataFrame:
     return errors.filter(F.col("k") == ENSEMBLE).select("n_rows", "missed", error.alias("train_error"))
 
 
-def _leave_one_out(rows: DataFrame, k: Column, config: CoTrainConfig) -> DataFrame:
-    weights = voting.all_but(k, config.n_members)
-    return voting.with_decision(
-        rows, config.n_members, config.n_classes, config.normaliser, weights
-    )
-
-
 def leave_one_out_decisions(rows: DataFrame, config: CoTrainConfig, ks: list[int] | None = None) -> DataFrame:
     """``rows`` (with ``votes``) once per member ``k``, judged by all other members."""
     ks = list(range(config.n_members)) if ks is None else ks
-    return _leave_one_out(each_member(rows, ks), F.col("k"), config)
+    weights = voting.all_but(F.col("k"), config.n_members)
+    return voting.with_decision(
+        each_member(rows, ks), config.n_members, config.n_classes, config.normaliser, weights
+    )
 
 
 def _pseudo_labelled(judged: DataFrame, config: CoTrainConfig) -> DataFrame:
-    return (
-        judged.filter(voting.is_confident(F.col("confidence"), config.threshold))
-        .withColumnRenamed("decision", "pseudo_label")
-        .drop("drawn", "votes", "dist")
-    )
+    # A one-or-none explode, not a filter: the optimiser would push a filter on the
+    # confidence below the steps that compute it and evaluate all of them twice.
+    sure = voting.is_confident(F.col("confidence"), config.threshold)
+    label = F.struct(F.col("decision").alias("pseudo_label"), "confidence")
+    kept = [c for c in judged.columns if c not in ("drawn", "votes", "dist", "confidence", "decision")]
+    labelled = judged.select(*kept, F.explode(F.when(sure, F.array(label))).alias("_label"))
+    return labelled.select(*kept, "_label.*")
 
 
 def pseudo_labels(sampled: DataFrame, config: CoTrainConfig, ks: list[int]) -> DataFrame:
@@ -96,13 +94,19 @@ def pseudo_labels(sampled: DataFrame, config: CoTrainConfig, ks: list[int]) -> D
     ``sampled`` carries ``drawn`` and ``votes``.
     """
     mine = each_member(sampled, ks).filter(F.col("drawn")[F.col("k")])
-    return _pseudo_labelled(_leave_one_out(mine, F.col("k"), config), config)
+    weights = voting.all_but(F.col("k"), config.n_members)
+    judged = voting.with_decision(mine, config.n_members, config.n_classes, config.normaliser, weights)
+    return _pseudo_labelled(judged, config)
 
 
 def pseudo_labels_of(sampled: DataFrame, config: CoTrainConfig, k: int) -> DataFrame:
     """As :func:`pseudo_labels` for one member, without repeating rows."""
     mine = sampled.filter(F.col("drawn")[k]).withColumn("k", F.lit(k))
-    return _pseudo_labelled(_leave_one_out(mine, F.lit(k), config), config)
+    others = F.array(*[F.col("votes")[i] for i in range(config.n_members) if i != k])
+    judged = voting.with_decision(
+        mine.withColumn("votes", others), config.n_members - 1, config.n_classes, config.normaliser
+    )
+    return _pseudo_labelled(judged, config)
 
 
 def pseudo_label_weights(labels: DataFrame) -> DataFrame:

@@ -19,8 +19,9 @@ from peerlabel.config import CoTrainConfig
 from peerlabel.functions import gates, voting
 from peerlabel.operators import rounds
 from peerlabel.operators.bags import in_bag_rows, in_bag_rows_of_all, each_member, with_bags
-from peerlabel.operators.members import Member, Voter, fit_members, with_votes
+from peerlabel.operators.members import Member, Voter, fit_members, in_few_tasks, with_votes
 from peerlabel.operators.subsample import draw
+from peerlabel.sources.tables import local_table
 
 HISTORY_SCHEMA = (
     "round INT, k INT, err DOUBLE, err_prev DOUBLE, n BIGINT, li_size BIGINT, s DOUBLE, "
@@ -48,7 +49,7 @@ class CoTrainResult:
     def history(self, spark) -> DataFrame:
         """One row per round and member; a closed gate 1 means nothing was drawn."""
         names = [column.split()[0] for column in HISTORY_SCHEMA.split(", ")]
-        return spark.createDataFrame([tuple(r[n] for n in names) for r in self.rounds], HISTORY_SCHEMA)
+        return local_table(spark, [tuple(r[n] for n in names) for r in self.rounds], HISTORY_SCHEMA)
 
     def score(self, rows: DataFrame, voters: list[Voter] | None = None) -> DataFrame:
         """``rows`` with ``prediction`` and ``confidence`` of the whole ensemble."""
@@ -69,22 +70,24 @@ def cotrain(
     feature_col = members[0].feature_col
     if any(m.feature_col != feature_col for m in members):
         raise ValueError("all members must read the same feature column")
-    n_labelled = _checked_size(labelled, config)
-    n_unlabelled = unlabelled.count()
-    if n_unlabelled == 0:
-        raise ValueError("there are no unlabelled rows")
-
+    # Only the exact bootstrap needs the size beforehand; ids alone are read for it.
+    n_draws = labelled.count() if config.bootstrap == "exact" else None
     bagged = with_bags(
         labelled.select("row_id", feature_col, F.col("label").cast("int").alias("label")),
         config.n_members,
         config.bootstrap,
         config.seed,
-        n_labelled,
+        n_draws,
     ).persist(StorageLevel.MEMORY_AND_DISK)
     pool = unlabelled.select("row_id", feature_col)
     if config.persist_inputs:
         pool = pool.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        # These two also fill the caches, in as many tasks as the inputs have.
+        n_labelled = _checked_size(bagged, config)
+        n_unlabelled = pool.count()
+        if n_unlabelled == 0:
+            raise ValueError("there are no unlabelled rows")
         return _run(bagged, pool, n_labelled, n_unlabelled, members, feature_col, config)
     finally:
         bagged.unpersist()
@@ -109,7 +112,7 @@ def _checked_size(labelled, config):
 def _run(bagged, pool, n_labelled, n_unlabelled, members, feature_col, config):
     spark = bagged.sparkSession
     everyone = list(range(config.n_members))
-    voters = bagged_voters(bagged, members, config)
+    voters = bagged_voters(bagged, members, config, n_labelled)
     result = CoTrainResult(config, list(voters), voters, [], n_labelled, n_unlabelled)
     states = [MemberState() for _ in everyone]
 
@@ -138,11 +141,14 @@ def _run(bagged, pool, n_labelled, n_unlabelled, members, feature_col, config):
             replaced = fit_members(
                 members,
                 updated,
-                lambda k: rounds.retraining_rows(
-                    bagged,
-                    rounds.pseudo_labels_of(sampled, config, k),
-                    feature_col,
-                    config.retrain_weights,
+                lambda k: in_few_tasks(
+                    rounds.retraining_rows(
+                        bagged,
+                        rounds.pseudo_labels_of(sampled, config, k),
+                        feature_col,
+                        config.retrain_weights,
+                    ),
+                    n_labelled + closed[k]["li_size"],
                 ),
                 lambda ks: rounds.retraining_rows(
                     each_member(bagged, ks),
@@ -200,7 +206,8 @@ def close_round(weighed: DataFrame) -> DataFrame:
 def _open_round(voted, states, n_unlabelled, config) -> dict[int, dict]:
     measured = {row["k"]: row for row in rounds.labelled_errors(voted, config).collect()}
     whole = measured.pop(rounds.ENSEMBLE)
-    state = voted.sparkSession.createDataFrame(
+    state = local_table(
+        voted.sparkSession,
         [(k, row["counted"], row["wrong"], states[k].err_prev, states[k].s_prev) for k, row in measured.items()],
         "k INT, counted BIGINT, wrong BIGINT, err_prev DOUBLE, s_prev DOUBLE",
     )
@@ -220,7 +227,8 @@ def _close_round(sampled, opened, drawn, config, spark) -> dict[int, dict]:
         labels = rounds.pseudo_labels(sampled, config, drawn)
         for k, li_size, s in rounds.pseudo_label_weights(labels).collect():
             weights[k] = (li_size, s)
-    state = spark.createDataFrame(
+    state = local_table(
+        spark,
         [
             (k, o["err"], o["err_prev"], o["s_prev"], o["gate1"], o["n"], o["train_error"], *weights[k])
             for k, o in sorted(opened.items())
@@ -234,15 +242,18 @@ def _close_round(sampled, opened, drawn, config, spark) -> dict[int, dict]:
     return closed
 
 
-def bagged_voters(bagged: DataFrame, members: Sequence[Member], config: CoTrainConfig) -> list[Voter]:
-    """Round 0: every member trained on its own bag."""
+def bagged_voters(
+    bagged: DataFrame, members: Sequence[Member], config: CoTrainConfig, n_rows: int | None = None
+) -> list[Voter]:
+    """Round 0: every member trained on its own bag; ``n_rows`` if ``bagged`` is cached."""
     config = config.for_members(len(members))
     ks = list(range(config.n_members))
+
+    def rows_of(k):
+        rows = in_bag_rows(bagged, k)
+        return rows if n_rows is None else in_few_tasks(rows, n_rows)
+
     fitted = fit_members(
-        members,
-        ks,
-        lambda k: in_bag_rows(bagged, k),
-        lambda wanted: in_bag_rows_of_all(bagged, wanted),
-        config.parallelism,
+        members, ks, rows_of, lambda wanted: in_bag_rows_of_all(bagged, wanted), config.parallelism
     )
     return [fitted[k] for k in ks]

@@ -25,11 +25,22 @@ class JobReport:
         return self.result.score(self.test)
 
     def test_errors(self) -> DataFrame:
-        """Test error of the first ensemble and of the last one."""
-        first = metrics.error_rate(self.result.score(self.test, self.result.first_voters))
-        last = metrics.error_rate(self.scored_test())
-        return first.select(F.lit("first").alias("stage"), "*").unionByName(
-            last.select(F.lit("last").alias("stage"), "*")
+        """Test error of the first ensemble and of the last one, in one pass."""
+        first = self.result.score(self.test, self.result.first_voters)
+        first = first.withColumn("first", F.col("prediction") != F.col("label"))
+        last = self.result.score(first.drop("prediction", "confidence"))
+        last = last.withColumn("last", F.col("prediction") != F.col("label"))
+        stages = ("first", "last")
+        counts = last.agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            *[F.coalesce(F.sum(F.col(s).cast("bigint")), F.lit(0)).alias(s) for s in stages],
+        )
+        per_stage = F.array(*[F.struct(F.lit(s).alias("stage"), F.col(s).alias("wrong")) for s in stages])
+        return counts.select("n_rows", F.inline(per_stage)).select(
+            "stage",
+            "n_rows",
+            "wrong",
+            F.try_divide(F.col("wrong").cast("double"), F.col("n_rows")).alias("error"),
         )
 
 

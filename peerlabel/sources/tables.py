@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,3 +63,21 @@ def read_feature_table(
     """Read and parse a feature table; ``num_partitions`` 0 keeps the scan's own."""
     rows = parse_features(read_table(spark, source, format), feature_col, label_col, as_vector)
     return rows.repartition(num_partitions) if num_partitions > 0 else rows
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few driver-side rows as a table; collecting it starts no job."""
+    types = {"INT": pa.int32(), "BIGINT": pa.int64(), "DOUBLE": pa.float64(), "BOOLEAN": pa.bool_()}
+    fields = [column.split() for column in schema.split(", ")]
+    arrays = [pa.array([r[i] for r in rows], types[kind]) for i, (_, kind) in enumerate(fields)]
+    return spark.createDataFrame(pa.table(arrays, names=[name for name, _ in fields]), schema)
+
+
+def spread(rows: DataFrame, n_partitions: int | None = None) -> DataFrame:
+    """Repartition a table that is read in fewer tasks than there are cores.
+
+    Meant before costly per-row work on small inputs; a large table already has
+    more partitions and is returned as it is, without a shuffle.
+    """
+    wanted = n_partitions or rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(wanted) if rows.rdd.getNumPartitions() < wanted else rows

@@ -7,6 +7,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from peerlabel.sources.tables import spread
+
 # Label order and the stop words that mark the languages.
 LANGUAGES = ("de", "en", "es", "fr")
 STOP_WORDS = ("the", "der", "el", "le", "und", "los", "les", "and")
@@ -42,7 +44,7 @@ def _hashed_words(rows: DataFrame, n_features: int) -> DataFrame:
 
 def docs_lang(spark: SparkSession, sf_dir: str, n_features: int = 64) -> DataFrame:
     """``(row_id, features, label)``: hashed word counts of the whole text, language."""
-    rows = table(spark, sf_dir, "documents").select(
+    rows = spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("row_id"), "text", _language_label().alias("label")
     )
     return _hashed_words(rows, n_features).select("row_id", "features", "label")
@@ -68,7 +70,7 @@ def docs_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         share(r"[^\p{Punct}]"),
         share(r"[^\p{Lu}]"),
     )
-    documents = table(spark, sf_dir, "documents").select("doc_id", statistics.alias("_numbers"))
+    documents = spread(table(spark, sf_dir, "documents")).select("doc_id", statistics.alias("_numbers"))
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
     return documents.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("row_id"), array_to_vector("_numbers").alias("features"), "label"
