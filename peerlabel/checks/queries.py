@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peerlabel.config import CoTrainConfig
@@ -12,6 +9,7 @@ from peerlabel.functions import gates, voting
 from peerlabel.operators import bags, metrics, rounds, subsample
 from peerlabel.operators.members import (
     bucket_members,
+    fit_alone,
     logistic_members,
     tree_members,
     with_votes,
@@ -157,7 +155,7 @@ def _lang_bagged(spark, sf):
 def c2_lr_member(spark, sf):
     """One logistic regression trained on its bag; its vote on every document."""
     member = logistic_members(1, C)[0]
-    voter = member.fit(bags.in_bag_rows(_lang_bagged(spark, sf), 0))
+    voter = fit_alone(member, bags.in_bag_rows(_lang_bagged(spark, sf), 0))
     voted = voter.vote(views.docs_lang(spark, sf), "dist")
     return voted.select("row_id", *_spread(F.col("dist"), C, "v"))
 
@@ -170,7 +168,7 @@ def c3_hard_vote(spark, sf):
 def c4_tree_member(spark, sf):
     """One random tree trained on its bag; its class shares on every document."""
     member = tree_members(1, C, features_per_node=16)[0]
-    voter = member.fit(bags.in_bag_rows(_lang_bagged(spark, sf), 0))
+    voter = fit_alone(member, bags.in_bag_rows(_lang_bagged(spark, sf), 0))
     voted = voter.vote(views.docs_lang(spark, sf), "dist")
     return voted.select("row_id", *_spread(F.col("dist"), C, "v"))
 

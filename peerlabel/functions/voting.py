@@ -30,19 +30,18 @@ def hard_vote(predicted: Column, n_classes: int) -> Column:
     return F.array(*[(predicted == c).cast("double") for c in range(n_classes)])
 
 
-def class_sums(
-    votes: Column, n_members: int, n_classes: int, weights: Sequence[Column] | None = None
-) -> list[Column]:
-    """Sum the members' distributions class by class, each member times its weight."""
-    if weights is None:
-        return [reduce(add, [votes[i][c] for i in range(n_members)]) for c in range(n_classes)]
+def class_sums(n_members: int, n_classes: int, weights: Sequence[str] | None = None) -> list[Column]:
+    """Sum ``votes`` class by class, each member times the column named in ``weights``."""
+    factors = ["" if weights is None else f"{weights[i]} * " for i in range(n_members)]
     return [
-        reduce(add, [weights[i] * votes[i][c] for i in range(n_members)]) for c in range(n_classes)
+        F.expr(" + ".join(f"{factors[i]}votes[{i}][{c}]" for i in range(n_members)))
+        for c in range(n_classes)
     ]
 
 
-def _class_sums_by_lambda(votes, n_classes, weights):
+def _class_sums_by_lambda(n_classes: int, weights: Sequence[Column] | None) -> Column:
     """The same as one array, for groups too large to write out."""
+    votes = F.col("votes")
     if weights is not None:
         votes = F.zip_with(votes, F.array(*weights), lambda v, w: F.transform(v, lambda x: x * w))
     zeros = F.array_repeat(F.lit(0.0), n_classes)
@@ -105,9 +104,9 @@ def is_confident(conf: Column, threshold: float) -> Column:
     return F.coalesce(conf > F.lit(float(threshold)), F.lit(False))
 
 
-def _stage(rows: DataFrame, prefix: str, columns: Sequence[Column]) -> tuple[DataFrame, list[Column]]:
+def _stage(rows: DataFrame, prefix: str, columns: Sequence[Column]) -> tuple[DataFrame, list[str]]:
     names = [f"_{prefix}{i}" for i in range(len(columns))]
-    return rows.withColumns(dict(zip(names, columns))), [F.col(n) for n in names]
+    return rows.withColumns(dict(zip(names, columns))), names
 
 
 def with_decision(
@@ -119,17 +118,20 @@ def with_decision(
     keep_zeros: bool = False,
 ) -> DataFrame:
     """Append ``dist ARRAY<DOUBLE>``, ``confidence`` and ``decision`` to rows with ``votes``."""
-    staged, votes = rows, F.col("votes")
+    staged = rows
     if n_members * n_classes > UNROLL_LIMIT:
-        staged = staged.withColumn("_sums", _class_sums_by_lambda(votes, n_classes, weights))
+        staged = staged.withColumn("_sums", _class_sums_by_lambda(n_classes, weights))
         sums = [F.col("_sums")[c] for c in range(n_classes)]
     else:
+        names = None
         if weights is not None:
-            staged, weights = _stage(staged, "w", weights)
-        sums = class_sums(votes, n_members, n_classes, weights)
-    staged, sums = _stage(staged, "s", sums)
+            staged, names = _stage(staged, "w", weights)
+        sums = class_sums(n_members, n_classes, names)
+    staged, names = _stage(staged, "s", sums)
+    sums = [F.col(name) for name in names]
     staged, (low, span) = _stage(staged, "scale", scale_of(sums, normaliser, keep_zeros))
-    staged, dist = _stage(staged, "d", scaled(sums, low, span))
+    staged, names = _stage(staged, "d", scaled(sums, F.col(low), F.col(span)))
+    dist = [F.col(name) for name in names]
     staged = staged.withColumn("confidence", confidence(dist))
     return staged.select(
         *rows.columns,

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from peerlabel.functions.hashing import digest, uniforms, wide_uniform
 
-POSITION_BUCKET_HEX_DIGITS = 4
-POSITION_BUCKETS = 16**POSITION_BUCKET_HEX_DIGITS
+ROWS_PER_BUCKET = 4096
+MAX_BUCKET_HEX_DIGITS = 4
 
 
 def poisson_bounds(terms: int = 11) -> list[float]:
@@ -40,14 +40,18 @@ def poisson_bags(rows: DataFrame, n_members: int, seed: int = 1, row_id: str = "
     return drawn.withColumn("bag", bag).drop(*names)
 
 
-def with_dense_position(rows: DataFrame, seed: int = 1, row_id: str = "row_id") -> DataFrame:
+def with_dense_position(
+    rows: DataFrame, n_rows: int, seed: int = 1, row_id: str = "row_id"
+) -> DataFrame:
     """Append ``pos`` 0..n-1 in digest order.
 
-    Rows are ranked inside 65,536 digest buckets, which are evenly filled whatever
-    the ids look like; the buckets' start offsets are a table of at most that size.
+    Rows are ranked inside digest buckets, which are evenly filled whatever the
+    ids look like; the buckets' start offsets are a table of at most 65,536 rows.
     """
+    wanted = math.log(max(n_rows, 1) / ROWS_PER_BUCKET, 16)
+    digits = min(MAX_BUCKET_HEX_DIGITS, max(1, math.ceil(wanted)))
     bucketed = rows.withColumn("_d", digest(F.col(row_id), f"{seed}:dense")).withColumn(
-        "_b", F.substring("_d", 1, POSITION_BUCKET_HEX_DIGITS)
+        "_b", F.substring("_d", 1, digits)
     )
     before = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
@@ -56,7 +60,7 @@ def with_dense_position(rows: DataFrame, seed: int = 1, row_id: str = "row_id")
         .select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     )
     ranked = bucketed.withColumn("_rank", F.row_number().over(W.partitionBy("_b").orderBy("_d", row_id)))
-    # At most POSITION_BUCKETS rows, so the broadcast does not grow with the data.
+    # At most 16^4 rows, so the broadcast does not grow with the data.
     return (
         ranked.join(F.broadcast(offsets), "_b")
         .withColumn("pos", F.col("_start") + F.col("_rank") - 1)
@@ -78,7 +82,7 @@ def exact_bags(
         *[F.sum((F.col("k") == k).cast("int")).cast("int").alias(f"_c{k}") for k in range(n_members)]
     )
     names = [f"_c{k}" for k in range(n_members)]
-    drawn = with_dense_position(rows, seed, row_id).join(counts, "pos", "left")
+    drawn = with_dense_position(rows, n_rows, seed, row_id).join(counts, "pos", "left")
     bag = F.array(*[F.coalesce(F.col(name), F.lit(0)) for name in names])
     return drawn.withColumn("bag", bag).drop("pos", *names)
 

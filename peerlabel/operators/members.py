@@ -317,6 +317,12 @@ def in_few_tasks(rows: DataFrame, n_rows: int) -> DataFrame:
     return rows.coalesce(max(1, math.ceil(n_rows / ROWS_PER_TASK)))
 
 
+def fit_alone(member: Member, rows: DataFrame) -> Voter:
+    """Train on rows that are not cached; few rows are gathered into few tasks first."""
+    n_tasks = max(1, math.ceil(rows.count() / ROWS_PER_TASK))
+    return member.fit(rows.repartition(n_tasks) if n_tasks < rows.rdd.getNumPartitions() else rows)
+
+
 def with_votes(rows: DataFrame, voters: Sequence[Voter]) -> DataFrame:
     """Append ``votes ARRAY<ARRAY<DOUBLE>>``: every member asked once per row."""
     names = [f"_v{k}" for k in range(len(voters))]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import or_
 
@@ -10,21 +11,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from peerlabel.functions.hashing import WORD_RANGE, words
-from peerlabel.operators.bags import each_member
 
-HALF_WORD = 65536
+WORD_BITS = 32
+MAX_TOP_BITS = 16
 
 
-def _member_words(row_id: str, n_members: int, seed: int, round_no: int) -> list[Column]:
-    return words(F.col(row_id), f"{seed}:sub:{round_no}", n_members)
+def _with_words(rows, ks, n_members, seed, round_no, row_id):
+    """Append each member's hash word as ``_w{k}``; members share digests."""
+    every = words(F.col(row_id), f"{seed}:sub:{round_no}", n_members)
+    return rows.withColumns({f"_w{k}": every[k] for k in sorted(ks)})
 
 
-def _keep_drawn(rows: DataFrame, flags: dict[int, Column], n_members: int) -> DataFrame:
-    """Rows drawn for any member, with ``drawn ARRAY<BOOLEAN>``."""
-    if not flags:
-        return rows.filter(F.lit(False)).withColumn("drawn", F.lit([False] * n_members))
-    drawn = F.array(*[flags.get(k, F.lit(False)) for k in range(n_members)])
-    return rows.filter(reduce(or_, flags.values())).withColumn("drawn", drawn)
+def _keep_drawn(hashed: DataFrame, kept: list[str], flags: dict[int, Column], n_members: int) -> DataFrame:
+    """Rows drawn for any member, with ``drawn ARRAY<BOOLEAN>``.
+
+    A one-or-none explode, not a filter: a filter would be pushed below the hash
+    words and compute every digest again for each member.
+    """
+    flag = [flags.get(k, F.lit(False)) for k in range(n_members)]
+    chosen = F.explode(F.when(reduce(or_, flag), F.array(F.array(*flag)))).alias("drawn")
+    return hashed.select(*kept, chosen)
 
 
 def bernoulli_draw(
@@ -41,11 +47,12 @@ def bernoulli_draw(
     One pass for all members. Only the row id is looked at, so rows nobody drew
     are dropped before any member is asked about them.
     """
-    w = _member_words(row_id, n_members, seed, round_no)
+    hashed = _with_words(rows, sizes, n_members, seed, round_no, row_id)
     flags = {
-        k: w[k] / F.lit(float(WORD_RANGE)) < F.lit(min(1.0, n / n_rows)) for k, n in sizes.items()
+        k: F.col(f"_w{k}") / F.lit(float(WORD_RANGE)) < F.lit(min(1.0, n / n_rows))
+        for k, n in sizes.items()
     }
-    return _keep_drawn(rows, flags, n_members)
+    return _keep_drawn(hashed, rows.columns, flags, n_members)
 
 
 def exact_draw(
@@ -59,37 +66,38 @@ def exact_draw(
 ) -> DataFrame:
     """Keep exactly ``min(sizes[k], n_rows)`` rows for member k.
 
-    The rows with the n smallest ``(hash word, row id)``: two histograms of half a
-    word each find the n-th smallest, and the draw is then a filter. Nothing is
-    sorted; the histograms have at most 65,536 rows per member.
+    The rows with the n smallest ``(hash word, row id)``: a histogram over the
+    word's upper bits and one over its lower bits find the n-th smallest, and the
+    draw is then a filter. No row is sorted or moved; a histogram has about
+    sqrt(n_rows) and at most 65,536 buckets per member that hold rows.
     """
-    w = _member_words(row_id, n_members, seed, round_no)
+    hashed = _with_words(rows, sizes, n_members, seed, round_no, row_id)
     flags = {k: F.lit(True) for k, n in sizes.items() if n >= n_rows}
     flags.update({k: F.lit(False) for k, n in sizes.items() if n <= 0})
     partial = {k: n for k, n in sizes.items() if 0 < n < n_rows}
     if partial:
-        cuts = _cut_points(rows, w, partial, row_id)
-        for k, (word, last_id) in cuts.items():
-            flags[k] = (w[k] < word) | ((w[k] == word) & (F.col(row_id) <= F.lit(last_id)))
-    return _keep_drawn(rows, flags, n_members)
+        for k, (word, last_id) in _cut_points(hashed, partial, row_id, n_rows).items():
+            w = F.col(f"_w{k}")
+            flags[k] = (w < word) | ((w == word) & (F.col(row_id) <= F.lit(last_id)))
+    return _keep_drawn(hashed, rows.columns, flags, n_members)
 
 
-def _cut_points(rows, w, sizes, row_id):
+def _cut_points(hashed, sizes, row_id, n_rows):
     """Per member, the hash word and row id of the n-th row in draw order."""
     ks = sorted(sizes)
-    word = F.lit(None).cast("bigint")
-    for k in reversed(ks):
-        word = F.when(F.col("k") == k, w[k]).otherwise(word)
-    long = each_member(rows.select(row_id), ks).select("k", row_id, word.alias("word"))
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_w{k}").alias("word")) for k in ks])
+    long = hashed.select(row_id, F.inline(pairs))
 
-    top = F.floor(F.col("word") / HALF_WORD)
+    low_bits = WORD_BITS - min(MAX_TOP_BITS, max(1, math.ceil(math.log2(n_rows) / 2)))
+    top = F.shiftright("word", low_bits)
     high = _cut_bucket(long.select("k", top.alias("b")), sizes)
     tops = {k: b for k, (b, _) in high.items()}
     in_top = long.filter(top == _lookup(tops))
     low = _cut_bucket(
-        in_top.select("k", (F.col("word") % HALF_WORD).alias("b")), {k: left for k, (_, left) in high.items()}
+        in_top.select("k", F.col("word").bitwiseAND(F.lit((1 << low_bits) - 1)).alias("b")),
+        {k: left for k, (_, left) in high.items()},
     )
-    cut_words = {k: tops[k] * HALF_WORD + b for k, (b, _) in low.items()}
+    cut_words = {k: (tops[k] << low_bits) + b for k, (b, _) in low.items()}
     # Rows with the very same 32-bit word: |U| / 2^32 on average.
     same = in_top.filter(F.col("word") == _lookup(cut_words))
     left = {k: n for k, (_, n) in low.items()}

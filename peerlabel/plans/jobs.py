@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from peerlabel.config import CoTrainConfig
 from peerlabel.functions import voting
 from peerlabel.operators import metrics
-from peerlabel.operators.members import Member
+from peerlabel.operators.members import Member, fit_alone
 from peerlabel.plans.cotrain import CoTrainResult, cotrain
 from peerlabel.sources import splits
 
@@ -85,7 +85,8 @@ def supervised_baseline(
 ) -> DataFrame:
     """Test error of one learner trained on every training row's true label."""
     parts = splits.with_part(rows, weights, seed)
-    voter = member.fit(parts.filter(F.col("part") != splits.TEST).withColumn("weight", F.lit(1.0)))
+    train = parts.filter(F.col("part") != splits.TEST).withColumn("weight", F.lit(1.0))
+    voter = fit_alone(member, train)
     voted = voter.vote(splits.part_of(parts, splits.TEST), "dist")
     alone = voted.withColumn("votes", F.array("dist"))
     return metrics.error_rate(voting.classify(alone.drop("dist"), 1, n_classes, voting.SUM))

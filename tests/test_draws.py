@@ -74,7 +74,7 @@ def test_exact_bags_draw_n_of_n(ids):
 
 
 def test_dense_positions(ids):
-    positions = [r.pos for r in bags.with_dense_position(ids).select("pos").collect()]
+    positions = [r.pos for r in bags.with_dense_position(ids, N).select("pos").collect()]
     assert sorted(positions) == list(range(N))
 
 
