@@ -6,6 +6,7 @@ from peerlabel.operators.members import (
     ClassifierMember,
     bucket_members,
     logistic_members,
+    member_subspaces,
     tree_members,
 )
 from peerlabel.plans.cotrain import CoTrainResult, cotrain
@@ -21,6 +22,7 @@ __all__ = [
     "cotrain_partly_labelled",
     "cotrain_split",
     "logistic_members",
+    "member_subspaces",
     "supervised_baseline",
     "tree_members",
 ]

@@ -423,8 +423,8 @@ def g1_lang(spark, sf):
 
 def g1_quality(spark, sf):
     """Quality of a document from text statistics; most rows were never annotated."""
-    config = CoTrainConfig.preset("paper", 2, max_rounds=4, seed=SEED)
-    members = tree_members(K, 2, features_per_node=4, seed=SEED)
+    config = CoTrainConfig.preset("paper", 2, n_features=8, max_rounds=4, seed=SEED)
+    members = tree_members(K, 2, features_per_node=config.features_each(), seed=SEED)
     return jobs.cotrain_partly_labelled(views.docs_quality(spark, sf), members, config).test_errors()
 
 

@@ -96,8 +96,9 @@ class CoTrainConfig:
             return float(self.init_s_prime)
         return float(min(n_unlabelled / 10, 100.0))
 
-    def salt(self, name: str) -> str:
-        return f"{self.seed}:{name}"
+    def features_each(self) -> int:
+        """Features a member may use, from ``n_features`` and the preset's rule."""
+        return subspace_size(self.n_features, self.features_per_member, self.subspace_rule)
 
 
 def _one_of(what, value, allowed):

@@ -71,20 +71,24 @@ def with_dense_position(
 def exact_bags(
     rows: DataFrame, n_members: int, n_rows: int | None = None, seed: int = 1, row_id: str = "row_id"
 ) -> DataFrame:
-    """Append ``bag ARRAY<INT>`` where every member draws exactly n of n rows."""
-    spark = rows.sparkSession
-    n_rows = rows.count() if n_rows is None else n_rows
-    draws = spark.range(n_rows * n_members).select(
+    """Append ``bag ARRAY<INT>`` where every member draws exactly n of n rows.
+
+    Positions and draws are worked out on ids alone; the rows themselves are
+    shuffled once, to meet their counts.
+    """
+    ids = rows.select(row_id)
+    n_rows = ids.count() if n_rows is None else n_rows
+    draws = rows.sparkSession.range(n_rows * n_members).select(
         (F.col("id") % n_members).cast("int").alias("k"),
         F.floor(wide_uniform(F.col("id"), f"{seed}:draw") * F.lit(float(n_rows))).alias("pos"),
     )
+    names = [f"_c{k}" for k in range(n_members)]
     counts = draws.groupBy("pos").agg(
-        *[F.sum((F.col("k") == k).cast("int")).cast("int").alias(f"_c{k}") for k in range(n_members)]
+        *[F.sum((F.col("k") == k).cast("int")).cast("int").alias(name) for k, name in enumerate(names)]
     )
-    names = [f"_c{k}" for k in range(n_members)]
-    drawn = with_dense_position(rows, n_rows, seed, row_id).join(counts, "pos", "left")
     bag = F.array(*[F.coalesce(F.col(name), F.lit(0)) for name in names])
-    return drawn.withColumn("bag", bag).drop("pos", *names)
+    drawn = with_dense_position(ids, n_rows, seed, row_id).join(counts, "pos", "left")
+    return rows.join(drawn.select(row_id, bag.alias("bag")), row_id)
 
 
 def with_bags(

@@ -23,6 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from peerlabel.config import CoTrainConfig
 from peerlabel.functions.voting import hard_vote
 
 MAX_FLAG_BITS = 12
@@ -50,6 +51,12 @@ def subspace(n_features: int, size: int, k: int, seed: int = 1) -> list[int]:
     return sorted(sorted(range(n_features), key=rank)[:size])
 
 
+def member_subspaces(config: CoTrainConfig, n_members: int) -> list[list[int]]:
+    """Feature indices of each member, ``config.features_each()`` of ``n_features``."""
+    size = config.features_each()
+    return [subspace(config.n_features, size, k, config.seed) for k in range(n_members)]
+
+
 # -- any pyspark.ml classifier ------------------------------------------------
 
 

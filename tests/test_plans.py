@@ -77,9 +77,17 @@ def test_only_needed_columns_are_read(spark, sf):
     assert counted.startswith("doc_id:bigint>")
 
 
-def test_exact_bags_shuffle_rows_once_by_position(spark, sf):
-    text = plan(bags.exact_bags(views.order_ids(spark, sf), 3, n_rows=1500))
+def test_exact_bags_move_features_once(spark, sf):
+    """Positions are worked out on ids, so features pass one exchange only."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(bags.exact_bags(q._labelled(spark, sf), 3, n_rows=20))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    lines = text.splitlines()
+    exchanges = [i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+    assert sum("code#" in lines[i + 1] for i in exchanges) == 1
 
 
 def test_bag_weights_reach_the_training_aggregate_combined(spark, sf):
