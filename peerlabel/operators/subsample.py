@@ -14,6 +14,7 @@ from peerlabel.functions.hashing import WORD_RANGE, words
 
 WORD_BITS = 32
 MAX_TOP_BITS = 16
+SPREAD = 8
 
 
 def _with_words(rows, ks, n_members, seed, round_no, row_id):
@@ -66,10 +67,9 @@ def exact_draw(
 ) -> DataFrame:
     """Keep exactly ``min(sizes[k], n_rows)`` rows for member k.
 
-    The rows with the n smallest ``(hash word, row id)``: a histogram over the
-    word's upper bits and one over its lower bits find the n-th smallest, and the
-    draw is then a filter. No row is sorted or moved; a histogram has about
-    sqrt(n_rows) and at most 65,536 buckets per member that hold rows.
+    The rows with the n smallest ``(hash word, row id)``: the n-th smallest is
+    located first, and the draw is then a filter. Only the about sqrt(n_rows) rows
+    near it are ranked; the table itself is neither sorted nor moved.
     """
     hashed = _with_words(rows, sizes, n_members, seed, round_no, row_id)
     flags = {k: F.lit(True) for k, n in sizes.items() if n >= n_rows}
@@ -84,6 +84,39 @@ def exact_draw(
 
 def _cut_points(hashed, sizes, row_id, n_rows):
     """Per member, the hash word and row id of the n-th row in draw order."""
+    cuts = _cuts_near_expectation(hashed, sizes, row_id, n_rows)
+    missed = {k: n for k, n in sizes.items() if k not in cuts}
+    return {**cuts, **_cuts_by_histogram(hashed, missed, row_id, n_rows)} if missed else cuts
+
+
+def _cuts_near_expectation(hashed, sizes, row_id, n_rows):
+    """One pass: the n-th of N uniform words lies within ``SPREAD`` deviations of n / N.
+
+    Words below that window are only counted; those inside, about sqrt(N) rows per
+    member, are ranked. A member whose cut is not in its window is left out.
+    """
+    pairs = []
+    for k, n in sorted(sizes.items()):
+        share = n / n_rows
+        margin = SPREAD * math.sqrt(share * (1 - share) / n_rows)
+        low = max(0, math.floor((share - margin) * WORD_RANGE))
+        high = math.ceil((share + margin) * WORD_RANGE)
+        w, member = F.col(f"_w{k}"), F.lit(k).alias("k")
+        below = F.struct(member, F.lit(-1).cast("bigint").alias("word"), F.lit(None).alias(row_id))
+        inside = F.struct(member, w.alias("word"), F.col(row_id).alias(row_id))
+        pairs.append(F.when(w < low, below).when(w <= high, inside))
+    near = hashed.select(F.inline(F.array(*pairs))).filter(F.col("k").isNotNull())
+    counts = near.groupBy("k", "word", row_id).agg(F.count(F.lit(1)).alias("n"))
+    running = counts.withColumn("upto", F.sum("n").over(W.partitionBy("k").orderBy("word", row_id)))
+    wanted = _lookup(sizes)
+    cut = running.filter(
+        (F.col("word") >= 0) & (F.col("upto") >= wanted) & (F.col("upto") - F.col("n") < wanted)
+    )
+    return {k: (word, last_id) for k, word, last_id in cut.select("k", "word", row_id).collect()}
+
+
+def _cuts_by_histogram(hashed, sizes, row_id, n_rows):
+    """The same for any distribution of words, in three passes: upper bits, lower bits, ties."""
     ks = sorted(sizes)
     pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_w{k}").alias("word")) for k in ks])
     long = hashed.select(row_id, F.inline(pairs))

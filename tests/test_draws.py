@@ -121,5 +121,13 @@ def test_exact_draw_matches_sorting(ids):
     assert got == set(sorted((i * 7 + 3 for i in range(N)), key=rank)[:300])
 
 
+@pytest.mark.parametrize("n", [1, 7, 2500, N - 1])
+def test_both_ways_to_the_cut_agree(ids, n):
+    hashed = subsample._with_words(ids, [0, 2], 3, 4, 1, "row_id")
+    near = subsample._cuts_near_expectation(hashed, {0: n, 2: n}, "row_id", N)
+    assert set(near) == {0, 2}
+    assert near == subsample._cuts_by_histogram(hashed, {0: n, 2: n}, "row_id", N)
+
+
 def test_nothing_to_draw(ids):
     assert subsample.bernoulli_draw(ids, {}, N, 3).count() == 0
