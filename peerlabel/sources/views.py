@@ -25,17 +25,21 @@ def _language_label():
     return label.cast("int")
 
 
-def docs_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flags_of(documents: DataFrame) -> DataFrame:
     """``(row_id, code, label)``: ``code`` has one bit per stop word in the text."""
     code = None
     for bit, word in enumerate(STOP_WORDS):
         flag = F.when(F.col("text").contains(f" {word} "), F.lit(1 << bit)).otherwise(F.lit(0))
         code = flag if code is None else code + flag
-    return table(spark, sf_dir, "documents").select(
+    return documents.select(
         F.col("doc_id").alias("row_id"), code.alias("code"), _language_label().alias("label")
     )
 
 
+def docs_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flags_of(table(spark, sf_dir, "documents"))
+
+
 def _hashed_words(rows: DataFrame, n_features: int) -> DataFrame:
     words = rows.withColumn("_words", F.split(F.lower("text"), r"\s+"))
     counts = HashingTF(numFeatures=n_features, inputCol="_words", outputCol="features")
