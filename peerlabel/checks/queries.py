@@ -209,7 +209,8 @@ def c7_baseline_error(spark, sf):
 
 
 def d1_member_votes(spark, sf):
-    long = _voted(spark, sf).select("row_id", F.posexplode("votes").alias("k", "vote"))
+    repeated = bags.each_member(_voted(spark, sf).select("row_id", "votes"), list(range(K)))
+    long = repeated.withColumn("vote", F.col("votes")[F.col("k")])
     return long.select("row_id", "k", *_spread(F.col("vote"), C, "v"))
 
 

@@ -130,7 +130,9 @@ def in_bag_flags(bag: Column, n_members: int) -> Column:
 
 def bag_summary(bagged: DataFrame, n_members: int) -> DataFrame:
     """Per member: draws, distinct rows drawn and rows left out."""
-    long = bagged.select(F.posexplode("bag").alias("k", "n"))
+    # Not posexplode("bag"): it would add a size filter that computes every bag twice.
+    repeated = each_member(bagged.select("bag"), list(range(n_members)))
+    long = repeated.select("k", F.col("bag")[F.col("k")].alias("n"))
     return long.groupBy("k").agg(
         F.sum("n").cast("bigint").alias("bag_size"),
         F.sum((F.col("n") > 0).cast("bigint")).alias("in_bag_rows"),
