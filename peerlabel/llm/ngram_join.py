@@ -14,9 +14,9 @@ of leaves, then pairs of points, survive by the sum of minima. What survives is
 on the sets themselves.
 
 Most members of a cell are copies of one another, so pairs are made in two rounds:
-first every member with the cell's smallest one, then, where the links found leave a cell
-in several components, the pairs across components. Links between documents that are
-connected already are not looked for; no component is lost by that.
+first every set with the smallest one that it shares a cell with, then, where the links
+found leave a cell in several components, the pairs across components. Links between
+documents that are connected already are not looked for; no component is lost by that.
 """
 
 from __future__ import annotations
@@ -39,20 +39,23 @@ from peerlabel.llm.components import smallest_reachable
 WORDS = 5
 DIMENSIONS = 64
 LEAF_POINTS = 256
-SMALL_IDS = 1_000_000
+GROUP_PAIRS = 500
+SMALL_TABLE = 500_000
 
 
 @dataclass(frozen=True)
 class NgramJoin:
     """``words`` a shingle; two sets link when 100 * intersection >= percent * union.
 
-    ``dimensions`` of the points and ``leaf_points`` a leaf do not change results.
+    ``dimensions`` of the points, ``leaf_points`` a leaf and ``group_pairs`` sent to a task
+    together do not change results.
     """
 
     words: int = WORDS
     percent: int = 80
     dimensions: int = DIMENSIONS
     leaf_points: int = LEAF_POINTS
+    group_pairs: int = GROUP_PAIRS
 
     def components(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(id, n_shingles, component_id) per row of ``docs``.
@@ -60,105 +63,100 @@ class NgramJoin:
         ``component_id`` is the smallest id reachable by links, its own if there are none.
         NULL texts and texts without words are empty sets, linked with nothing. Texts with
         fewer words than a shingle are one shingle. Equal sets link. Rows with a NULL id have
-        a NULL component and do not name one, but link others. Repeated rows stay.
+        a NULL component and link nothing. Repeated rows stay.
         """
-        found = self.sets(docs, id_col, text_col)
-        sets = materialize(found.select("id", "n", "set_id"), "shingle-sets")
-        reps = sets.where("n > 0").groupBy("set_id").agg(F.min("id").alias("rep"), F.min("n").alias("n"))
-        links = self.links(docs, id_col, text_col)
+        named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        sets = materialize(self.sets(named), "shingle-sets")
+        reps = sets.where("n > 0 AND id IS NOT NULL").groupBy("set_id").agg(
+            F.min("id").alias("rep"), F.min("n").alias("n"), F.first("vector").alias("vector")
+        )
+        reps = materialize(reps, "distinct-sets")
+        links = self.links(named, reps)
         roots = smallest_reachable(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
         labels = reps.join(roots, reps["set_id"] == roots["id"], "left").select(
             "set_id", F.coalesce("root", "set_id").alias("root"), "rep"
         )
         least = labels.groupBy("root").agg(F.min("rep").alias("component_id"))
-        named = labels.join(least, "root").select(F.col("set_id").alias("_set"), "component_id")
-        joined = sets.join(named, (sets["set_id"] == named["_set"]) & (sets["n"] > 0), "left")
+        found = labels.join(least, "root").select(F.col("set_id").alias("of"), "component_id")
+        joined = sets.join(found, (sets["set_id"] == found["of"]) & (sets["n"] > 0), "left")
         own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
         return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
     # -- sets and points
 
-    def sets(self, docs: DataFrame, id_col: str, text_col: str, cells: bool = False, content: bool = False) -> DataFrame:
-        """(id, n, set_id[, cells][, vector, shingles]) per row.
+    def sets(self, named: DataFrame) -> DataFrame:
+        """(id, n, set_id, vector) per row of ``named`` (id, text).
 
-        ``set_id`` is a 64-bit hash of the set; documents with equal sets share it and are one
-        from there on. A task gives the cells of a set once.
+        ``set_id`` is a 64-bit hash of the set: documents with equal sets share it and are one
+        from there on. ``vector`` is the point.
         """
-        narrowed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        schema = f"id {dict(narrowed.dtypes)['id']}, n long, set_id long"
-        schema += ", cells array<long>" if cells else ""
-        schema += ", vector array<int>, shingles binary" if content else ""
-        return narrowed.mapInArrow(self._sets(cells, content), schema)
+        dimensions = self.dimensions
+
+        def columns(n: int, found: Iterator[tuple[int, np.ndarray]]) -> list[pa.Array]:
+            size, ids, vectors = np.zeros(n, np.int64), np.zeros(n, np.int64), [None] * n
+            for row, shingles in found:
+                size[row], ids[row] = len(shingles), set_id(shingles)
+                vectors[row] = point_of(shingles, dimensions)
+            return [pa.array(size), pa.array(ids), pa.array(vectors, pa.list_(pa.int32()))]
 
-    def _sets(self, cells: bool, content: bool):
-        words, percent, dimensions = self.words, self.percent, self.dimensions
+        return self._mapped(named, columns, "n long, set_id long, vector array<int>")
+
+    def _mapped(self, named: DataFrame, columns, schema: str) -> DataFrame:
+        """``named`` with its text replaced by what ``columns`` makes of its sets."""
+        others = [c for c in named.columns if c != "text"]
+        kinds = dict(named.dtypes)
+        schema = ", ".join([*(f"{c} {kinds[c]}" for c in others), schema])
+        at, words = len(others), self.words
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: set[int] = set()
+            names = [field.split()[0] for field in schema.split(", ")]
             for batch in batches:
-                n = np.zeros(batch.num_rows, np.int64)
-                ids = np.zeros(batch.num_rows, np.int64)
-                of_cells: list = [None] * batch.num_rows
-                vectors: list = [None] * batch.num_rows
-                contents: list = [None] * batch.num_rows
-                for row, shingles in shingle_sets(batch.column(1), words):
-                    n[row], ids[row] = len(shingles), set_id(shingles)
-                    if cells and ids[row] not in seen:
-                        if len(seen) >= SMALL_IDS:
-                            seen.clear()
-                        seen.add(int(ids[row]))
-                        of_cells[row] = cells_of(shingles, percent).view(np.int64)
-                    if content:
-                        vectors[row] = point_of(shingles, dimensions)
-                        contents[row] = shingles.tobytes()
-                columns = {"id": batch.column(0), "n": pa.array(n), "set_id": pa.array(ids)}
-                if cells:
-                    columns["cells"] = pa.array(of_cells, pa.list_(pa.int64()))
-                if content:
-                    columns["vector"] = pa.array(vectors, pa.list_(pa.int32()))
-                    columns["shingles"] = pa.array(contents, pa.binary())
-                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-        return run
+                made = columns(batch.num_rows, shingle_sets(batch.column(at), words))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:at], *made], names)
+
+        return named.select(*others, "text").mapInArrow(run, schema)
 
     # -- links
 
-    def links(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(x, y) pairs of linked ``set_id``s: enough of them that whoever is connected by
-        links of any kind is connected by these."""
-        shared = self._shared(docs, id_col, text_col)
-        points = self._points(docs, shared, id_col, text_col)
-        first = shared.where("id <> hub").select(F.col("id").alias("x"), F.col("hub").alias("y")).distinct()
-        near = self._verified(self._bounded(first, points), points)
-        near = materialize(near, "links")
-        rest = self._across(shared, near, points)
-        more = self._verified(rest, points)
-        return near.unionByName(materialize(more, "links"))
-
-    def _shared(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """(cell, id, hub) of the cells that hold more than one set; hub is the smallest."""
-        found = self.sets(docs, id_col, text_col, cells=True).where("cells IS NOT NULL")
-        members = found.select(F.explode("cells").alias("cell"), F.col("set_id").alias("id")).repartition("cell")
+    def links(self, named: DataFrame, reps: DataFrame) -> DataFrame:
+        """(x, y) pairs of linked ``set_id``s, y the smaller: enough of them that whoever is
+        connected by links of any kind is connected by these."""
+        shared = self._shared(named)
+        first = shared.where("id <> hub").groupBy(F.col("id").alias("x")).agg(F.min("hub").alias("y"))
+        first = materialize(self._bounded(first, reps), "first-pairs")
+        near = materialize(self._verified(first, named, reps), "links")
+        rest = self._across(shared, near, reps).join(first, ["x", "y"], "left_anti")
+        rest = materialize(rest, "second-pairs")
+        return near.unionByName(materialize(self._verified(rest, named, reps), "links"))
+
+    def _shared(self, named: DataFrame) -> DataFrame:
+        """(cell, id, hub) of the cells that hold more than one set; hub is the smallest.
+
+        A task gives the cells of a set once, so copies are combined before the shuffle.
+        """
+        percent = self.percent
+
+        def columns(n: int, found: Iterator[tuple[int, np.ndarray]]) -> list[pa.Array]:
+            ids, cells, seen = np.zeros(n, np.int64), [None] * n, set()
+            for row, shingles in found:
+                ids[row] = set_id(shingles)
+                if ids[row] not in seen:
+                    seen.add(int(ids[row]))
+                    cells[row] = cells_of(shingles, percent).view(np.int64)
+            return [pa.array(ids), pa.array(cells, pa.list_(pa.int64()))]
+
+        texts = named.where("id IS NOT NULL").select("text")
+        found = self._mapped(texts, columns, "id long, cells array<long>")
+        members = found.select(F.explode("cells").alias("cell"), "id").repartition("cell")
         hubs = members.groupBy("cell").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top")
         hubs = hubs.select(F.col("cell").alias("of"), "hub")
         shared = members.join(hubs, members["cell"] == hubs["of"]).select("cell", "id", "hub")
         return materialize(shared, "cells")
 
-    def _points(self, docs: DataFrame, shared: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """(id, n, vector, shingles) of the sets in shared cells, one row each."""
-        wanted = shared.select("id").distinct()
-        wanted = materialize(wanted, "wanted")
-        small = wanted.count() <= SMALL_IDS
-        found = self.sets(docs, id_col, text_col, content=True).where("n > 0")
-        keep = found.join(F.broadcast(wanted) if small else wanted, found["set_id"] == wanted["id"], "left_semi")
-        points = keep.select(F.col("set_id").alias("id"), "n", "vector", "shingles").dropDuplicates(["id"])
-        return materialize(points, "points")
-
-    def _bounded(self, pairs: DataFrame, points: DataFrame) -> DataFrame:
+    def _bounded(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
         """``pairs`` whose overlap may be large enough, by the sum of minima."""
-        p = points.select("id", "n", "vector")
-        a = p.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("vector").alias("vx"))
-        b = p.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("vector").alias("vy"))
+        a = reps.select(F.col("set_id").alias("x"), F.col("n").alias("nx"), F.col("vector").alias("vx"))
+        b = reps.select(F.col("set_id").alias("y"), F.col("n").alias("ny"), F.col("vector").alias("vy"))
         return pairs.join(a, "x").join(b, "y").where(self._may_link("nx", "vx", "ny", "vy")).select("x", "y")
 
     def _may_link(self, nx: str, vx: str, ny: str, vy: str):
@@ -166,67 +164,75 @@ class NgramJoin:
         overlap = F.expr(f"aggregate(zip_with({vx}, {vy}, (a, b) -> least(a, b)), 0L, (s, c) -> s + c)")
         return overlap * (100 + self.percent) >= self.percent * (F.col(nx) + F.col(ny))
 
-    def _verified(self, pairs: DataFrame, points: DataFrame) -> DataFrame:
-        """The linked ones of ``pairs``, by their sets."""
-        p = points.select("id", "shingles")
-        a = p.select(F.col("id").alias("x"), F.col("shingles").alias("sx"))
-        b = p.select(F.col("id").alias("y"), F.col("shingles").alias("sy"))
-        percent = self.percent
+    def _verified(self, pairs: DataFrame, named: DataFrame, reps: DataFrame) -> DataFrame:
+        """The linked ones of ``pairs``, by their sets.
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = []
-                for left, right in zip(batch.column(2), batch.column(3), strict=True):
-                    s, t = (np.frombuffer(v.as_buffer(), U64) for v in (left, right))
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    keep.append(both * (100 + percent) >= percent * (len(s) + len(t)))
-                yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
-
-        return pairs.join(a, "x").join(b, "y").select("x", "y", "sx", "sy").mapInArrow(run, "x long, y long")
-
-    def _across(self, shared: DataFrame, near: DataFrame, points: DataFrame) -> DataFrame:
-        """Pairs of different components that share a cell, less those with its hub; by a
-        join of leaves."""
+        The sets of each y's partners are sent to it, in groups of ``group_pairs`` at most that
+        each get its set as well: a set crosses the network once a pair.
+        """
+        size = self.group_pairs
+        counts = pairs.groupBy(F.col("y").alias("hub")).agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))
+        part = F.pmod(F.xxhash64("x"), F.col("parts")).cast("int").alias("part")
+        members = pairs.join(counts, pairs["y"] == counts["hub"]).select(F.col("x").alias("of"), "hub", part)
+        hubs = counts.select(
+            F.col("hub").alias("of"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part")
+        )
+        asked = members.unionByName(hubs)
+        asked = asked.join(reps, asked["of"] == reps["set_id"]).select("rep", "of", "hub", "part")
+        asked = materialize(asked, "asked")
+        asked = F.broadcast(asked) if asked.count() <= SMALL_TABLE else asked
+        wanted = named.join(asked, named["id"] == asked["rep"]).select("of", "hub", "part", "text")
+
+        def columns(n: int, found: Iterator[tuple[int, np.ndarray]]) -> list[pa.Array]:
+            contents: list = [None] * n
+            for row, shingles in found:
+                contents[row] = shingles.tobytes()
+            return [pa.array(contents, pa.binary())]
+
+        sets = self._mapped(wanted, columns, "shingles binary")
+        grouped = sets.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("of") != F.col("hub"))
+        return grouped.mapInArrow(_linked_to_hub(self.percent), "x long, y long").distinct()
+
+    def _across(self, shared: DataFrame, near: DataFrame, reps: DataFrame) -> DataFrame:
+        """Pairs of different components that share a cell, by a join of leaves."""
         roots = smallest_reachable(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        part = roots.select(F.col("id").alias("of"), "root")
-        placed = shared.join(part, shared["id"] == part["of"], "left").select(
-            "cell", "id", "hub", F.coalesce("root", "id").alias("part")
+        component = roots.select(F.col("id").alias("of"), "root")
+        placed = shared.join(component, shared["id"] == component["of"], "left").select(
+            "cell", "id", F.coalesce("root", "id").alias("component")
         )
-        mixed = placed.groupBy("cell").agg(
-            F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("size")
-        ).where("low < high AND size > 2")
-        kept = placed.join(mixed.select("cell"), "cell")
-        sized = points.select(F.col("id").alias("of"), "n", "vector")
+        mixed = placed.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        kept = placed.join(mixed.where("low < high").select("cell"), "cell")
+        sized = reps.select(F.col("set_id").alias("of"), "n", "vector")
         kept = kept.join(sized, kept["id"] == sized["of"])
         # Leaves are runs of members of like size and like counts.
         order = W.partitionBy("cell").orderBy("n", "vector", "id")
         leaf = F.floor((F.row_number().over(order) - 1) / self.leaf_points)
+        counts = range(self.dimensions)
         leaves = kept.withColumn("leaf", leaf).groupBy("cell", "leaf").agg(
-            F.collect_list(F.struct("id", "part", F.col("n").alias("size"), "vector")).alias("members"),
-            F.min("hub").alias("hub"),
+            F.collect_list(F.struct("id", "component", "n", "vector")).alias("members"),
             F.min("n").alias("low"),
             F.max("n").alias("high"),
-            *(F.max(F.col("vector")[i]).alias(f"v{i}") for i in range(self.dimensions)),
+            *(F.max(F.col("vector")[i]).alias(f"v{i}") for i in counts),
+        )
+        box = F.array(*(f"v{i}" for i in counts)).alias("box")
+        leaves = materialize(leaves.select("cell", "leaf", "members", "low", "high", box), "leaves")
+        a, b = (
+            leaves.select("cell", *(F.col(c).alias(f"{c}_{side}") for c in leaves.columns if c != "cell"))
+            for side in ("a", "b")
         )
-        box = F.array(*(f"v{i}" for i in range(self.dimensions)))
-        leaves = materialize(leaves.select("cell", "leaf", "members", "hub", "low", "high", box.alias("box")), "leaves")
-        a = leaves.select(*(F.col(c).alias(f"{c}_a" if c not in ("cell", "hub") else c) for c in leaves.columns))
-        b = leaves.drop("hub").select(*(F.col(c).alias(f"{c}_b" if c != "cell" else c) for c in leaves.columns if c != "hub"))
         pairs = a.join(b, "cell").where("leaf_a <= leaf_b").where(
-            (F.col("low_b") * 100 >= F.col("low_a") * 0)
-            & (F.col("high_a") * 100 >= self.percent * F.col("low_b"))
-            & self._may_link("low_a", "box_a", "low_b", "box_b")
+            (F.col("high_a") * 100 >= self.percent * F.col("low_b")) & self._may_link("low_a", "box_a", "low_b", "box_b")
         )
         percent = self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                same, left, right = batch.columns
                 for row in range(batch.num_rows):
-                    hub, same = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
-                    found = leaf_pairs(_Leaf(batch.column(2)[row]), _Leaf(batch.column(3)[row]), same, hub, percent)
-                    yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["x", "y"])
+                    x, y = leaf_pairs(_Leaf(left[row]), _Leaf(right[row]), same[row].as_py(), percent)
+                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
 
-        chosen = pairs.select("hub", (F.col("leaf_a") == F.col("leaf_b")).alias("same"), "members_a", "members_b")
+        chosen = pairs.select((F.col("leaf_a") == F.col("leaf_b")).alias("same"), "members_a", "members_b")
         return chosen.mapInArrow(run, "x long, y long").distinct()
 
 
@@ -235,20 +241,16 @@ class _Leaf:
 
     def __init__(self, members: pa.ListScalar):
         values = members.values
-        self.id, self.part, self.size = (values.field(i).to_numpy() for i in range(3))
+        self.id, self.component, self.size = (values.field(i).to_numpy() for i in range(3))
         self.vector = values.field(3).flatten().to_numpy().reshape(len(self.id), -1)
 
 
-def leaf_pairs(a: _Leaf, b: _Leaf, same: bool, hub: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def leaf_pairs(a: _Leaf, b: _Leaf, same: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of points of different components whose bound allows a link."""
     xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in range(len(a.id)):
-        if a.id[i] == hub:
-            continue
-        later = np.arange(len(b.id)) > i if same else np.ones(len(b.id), bool)
-        j = np.flatnonzero(later & (b.part != a.part[i]) & (b.id != hub))
-        if not len(j):
-            continue
+        j = np.flatnonzero(b.component != a.component[i])
+        j = j[j > i] if same else j
         overlap = np.minimum(b.vector[j], a.vector[i]).sum(axis=1, dtype=np.int64)
         j = j[overlap * (100 + percent) >= percent * (b.size[j] + a.size[i])]
         xs.append(np.maximum(b.id[j], a.id[i]))
@@ -256,6 +258,29 @@ def leaf_pairs(a: _Leaf, b: _Leaf, same: bool, hub: int, percent: int) -> tuple[
     return np.concatenate(xs), np.concatenate(ys)
 
 
+def _linked_to_hub(percent: int):
+    """(x, y) of the sets that link with the hub's set, which comes first in its group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, first = None, None
+        for batch in batches:
+            of, hubs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            xs, ys = [], []
+            for row, content in enumerate(batch.column(3)):
+                shingles = np.frombuffer(content.as_buffer(), U64)
+                if of[row] == hubs[row]:
+                    hub, first = hubs[row], shingles.copy()
+                elif hubs[row] == hub:
+                    both = len(np.intersect1d(first, shingles, assume_unique=True))
+                    if both * (100 + percent) >= percent * (len(first) + len(shingles)):
+                        xs.append(of[row])
+                        ys.append(hub)
+            kinds = pa.array(xs, pa.int64()), pa.array(ys, pa.int64())
+            yield pa.RecordBatch.from_arrays(list(kinds), ["x", "y"])
+
+    return run
+
+
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of the texts that have words."""
     for split in bytewords.split(texts, bytewords.NOT_SPACE, lower=True):
