@@ -1,5 +1,215 @@
-"""DuckDB SQL of the numbered operators that SQL can express."""
+"""DuckDB SQL of the numbered operators that SQL can express.
+
+Not here: op1 (a parser), op2 and op4 (tokenizers), op5 (checksums of bytes), op7 (a trained
+model), and so the pipeline; the tests hold them against brute force.
+"""
+
+from __future__ import annotations
+
+SPACES = r"[\x20\x09-\x0D]+"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+NGRAM_JOIN = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(
+           translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{SPACES}'), lambda w: w <> '') AS ws
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+           WHEN len(ws) = 0 THEN []
+           WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+           ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS shingle
+  FROM words
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY ALL
+), links AS (
+  SELECT x, y FROM common JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y
+  WHERE 100 * c >= 80 * (s.n + t.n - c)
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION
+  SELECT reach.doc_id, links.y FROM reach JOIN links ON links.x = reach.other
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id)
+JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)
+"""
+
+DECONTAMINATION = rf"""
+WITH documents_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), item_words AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(len(ws), 13) AS size,
+         unnest(list_transform(range(1, len(ws) - least(len(ws), 13) + 2),
+           lambda i: array_to_string(ws[i:i + least(len(ws), 13) - 1], ' '))) AS run
+  FROM item_words WHERE len(ws) > 0
+), sizes AS (
+  SELECT DISTINCT size FROM windows
+), runs AS (
+  SELECT doc_id, size, unnest(range(1, len(ws) - size + 2)) AS place, ws
+  FROM documents_words, sizes WHERE len(ws) >= size
+), placed AS (
+  SELECT doc_id, size, place, array_to_string(ws[place:place + size - 1], ' ') AS run FROM runs
+), found AS (
+  SELECT doc_id, item_id, placed.size, place FROM placed JOIN windows ON placed.size = windows.size AND placed.run = windows.run
+), covered AS (
+  SELECT doc_id, count(DISTINCT spot) AS n_hit
+  FROM (SELECT doc_id, unnest(range(place, place + size)) AS spot FROM found) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM documents_words LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+# A quantile here is the smallest value that at least that share of the values do not exceed.
+MEASURES = (
+    ("symbols", "n_symbols * 1000 // greatest(word_chars, 1)", 50, False),
+    ("dup_lines", "n_dup_lines * 1000 // greatest(n_words, 1)", 60, False),
+    ("repeats", "n_repeat_words * 1000 // greatest(n_words, 1)", 250, False),
+    ("long_words", "word_chars * 1000 // greatest(n_words, 1)", 7000, False),
+    ("short_words", "word_chars * 1000 // greatest(n_words, 1)", 2500, True),
+)
+
+
+def _quality() -> str:
+    scores = ", ".join(f"{expression} AS m_{name}" for name, expression, *_ in MEASURES)
+    limits = ", ".join(
+        f"quantile_disc(m_{name}, 0.25) AS {name}_25, quantile_disc(m_{name}, 0.75) AS {name}_75" for name, *_ in MEASURES
+    )
+    tests = []
+    for name, _, allowed, low in MEASURES:
+        q = {
+            p: f"CASE WHEN g.rows >= 200 THEN g.{name}_{p} WHEN l.rows >= 200 THEN l.{name}_{p} ELSE a.{name}_{p} END"
+            for p in (25, 75)
+        }
+        if low:
+            tests.append(f"m_{name} < least({q[25]} - 3 * ({q[75]} - {q[25]}), {allowed})")
+        else:
+            tests.append(f"m_{name} > greatest({q[75]} + 3 * ({q[75]} - {q[25]}), {allowed})")
+    return rf"""
+WITH split AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text,
+         list_filter(string_split_regex(coalesce(text, ''), '{SPACES}'), lambda w: w <> '') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents
+), runs AS (
+  SELECT doc_id, place, array_to_string(ws[place:place + 7], ' ') AS run
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS place FROM split WHERE len(ws) >= 8)
+), repeated AS (
+  SELECT doc_id, count(DISTINCT spot) AS n FROM (
+    SELECT doc_id, unnest(range(place, place + 8)) AS spot
+    FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS times FROM runs) WHERE times > 1
+  ) GROUP BY doc_id
+), counted AS (
+  SELECT doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+         coalesce(n, 0) AS n_repeat_words
+  FROM split LEFT JOIN repeated USING (doc_id)
+), scored AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {scores} FROM counted
+), passed AS (
+  SELECT * FROM scored WHERE NOT base_failed
+), g AS (
+  SELECT lang, source, count(*) AS rows, {limits} FROM passed GROUP BY lang, source
+), l AS (
+  SELECT lang, count(*) AS rows, {limits} FROM passed GROUP BY lang
+), a AS (
+  SELECT {limits} FROM passed
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT ({" OR ".join(tests)}) AS kept
+FROM scored s CROSS JOIN a
+LEFT JOIN g ON g.lang IS NOT DISTINCT FROM s.lang AND g.source IS NOT DISTINCT FROM s.source
+LEFT JOIN l ON l.lang IS NOT DISTINCT FROM s.lang
+"""
+
+
+SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*://"
+
+URL_FILTERS = rf"""
+WITH split AS (
+  SELECT page_id, nullif(lower(regexp_extract(url, '{SCHEME}(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
+         list_filter(string_split(regexp_extract(url, '{SCHEME}[^/?#]*(/[^?#]*)?', 1), '/'), lambda s: s <> '') AS steps,
+         string_split(regexp_extract(url, '{SCHEME}[^/?#]*/([^?#]*)', 1), '/')[1] AS step,
+         DATE '2020-01-01' + CAST(CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 6) AS BIGINT) % 1460 AS INTEGER) AS fetched
+  FROM pages
+), named AS (
+  SELECT DISTINCT list, pattern FROM (
+    SELECT 'spam' AS list, host AS pattern FROM split
+    UNION ALL SELECT 'adult', host || '/' || step FROM split
+    UNION ALL SELECT 'allow', CASE WHEN len(string_split(host, '.')) >= 2 THEN array_to_string(string_split(host, '.')[-2:], '.') END FROM split
+  ) WHERE pattern IS NOT NULL AND pattern NOT LIKE '%/'
+), hashed AS (
+  SELECT list, pattern, md5(list || ':' || pattern) AS h FROM named
+), chosen AS (
+  SELECT list, pattern, CAST('0x' || substr(h, 1, 6) AS BIGINT) AS choice,
+         CAST(CAST('0x' || substr(h, 7, 6) AS BIGINT) % 1200 AS INTEGER) AS beginning,
+         CAST(CAST('0x' || substr(h, 13, 6) AS BIGINT) % 300 AS INTEGER) AS length,
+         CAST('0x' || substr(h, 19, 6) AS BIGINT) % 2 AS ends
+  FROM hashed
+), entries AS (
+  SELECT list, pattern, DATE '2020-01-01' + beginning AS since,
+         CASE WHEN ends = 1 OR list <> 'spam' THEN DATE '2020-01-01' + (beginning + length) ELSE DATE '2100-01-01' END AS until
+  FROM chosen WHERE choice % (CASE list WHEN 'spam' THEN 3 WHEN 'adult' THEN 5 ELSE 1 END) = 0
+), asked AS (
+  SELECT DISTINCT page_id, fetched, unnest(
+    list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.'))
+    || list_transform(range(1, len(steps) + 1), lambda i: host || '/' || array_to_string(steps[1:i], '/'))) AS pattern
+  FROM split WHERE host IS NOT NULL
+), matched AS (
+  SELECT page_id, list, entries.pattern FROM asked JOIN entries
+  ON asked.pattern = entries.pattern AND since <= fetched AND fetched < until
+), summed AS (
+  SELECT page_id, count(*) AS n_matches, string_agg(DISTINCT list, ',' ORDER BY list) AS lists,
+         bool_or(list = 'allow') AS allowed, bool_or(list <> 'allow') AS listed
+  FROM matched GROUP BY page_id
+)
+SELECT page_id, coalesce(n_matches, 0) AS n_matches, coalesce(lists, '') AS lists,
+       coalesce(listed AND NOT allowed, false) AS blocked
+FROM pages LEFT JOIN summed USING (page_id)
+"""
+
+WARC = """
+WITH hashed AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), bits AS (
+  SELECT page_id, payload_bytes, h, array_to_string(list_transform(range(1, 41),
+           lambda i: substr(CAST(CAST('0x' || substr(h, i, 1) AS INTEGER)::BIT AS VARCHAR), 29, 4)), '') AS b FROM hashed
+), coded AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32),
+           lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(list_reduce(list_transform(range(1, 6),
+             lambda j: CAST(substr(b, 5 * i + j, 1) AS INTEGER)), lambda x, y: 2 * x + y) AS INTEGER) + 1, 1)), '') AS payload_digest
+  FROM bits
+), firsts AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM coded
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM firsts
+"""
 
 
 def all_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_ngram_jaccard": NGRAM_JOIN,
+        "op6_decontaminate": DECONTAMINATION,
+        "op8_quality_rules": _quality(),
+        "op9_url_filters": URL_FILTERS,
+        "op10_warc": WARC,
+    }
