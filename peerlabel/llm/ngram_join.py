@@ -5,25 +5,25 @@ shingles into groups; the counts of the groups are a point. The overlap of two s
 most the sum of the smaller counts of each group, and so is that of a set with any set of a
 box, given the box's largest counts.
 
-The tree has three levels. Its root sends points to cells without losing a link. Two
-linked sets of sizes a <= b differ in at most (a + b) / 9 shingles (for a similarity of
-0.8). Among m groups, more than that, some group must then be equal in both. So the
-cells of a document are its groups' contents at a fineness that depends on its size,
-and two linked documents share a cell. Below a cell, leaves of points carry boxes; pairs
-of leaves, then pairs of points, survive by the sum of minima. What survives is verified
-on the sets themselves.
-
-Most members of a cell are copies of one another, so pairs are made in two rounds:
-first every set with the smallest one that it shares a cell with, then, where the links
-found leave a cell in several components, the pairs across components. Links between
-documents that are connected already are not looked for; no component is lost by that.
+The tree has three levels. Its root sends points to cells without losing a link: at the
+finest grouping every shingle is a group of its own, a set of n shingles shares at least
+0.8 n of them with any set that it links with (for a similarity of 0.8), and so two linked
+sets have one in common among the 0.2 n + 1 that come first in any order of all shingles.
+These are a set's cells. The order puts frequent shingles last, so passages that many
+documents share make no cells where there is anything else. Cells with the same smallest
+set make a region. Below it, leaves of points carry boxes; pairs of leaves, then pairs of
+points, survive by the sum of minima. What survives is verified on the sets themselves.
+
+Most members of a region are copies of one another, so pairs are made in rounds: every set
+with one hub of its regions, as long as a region's components leave many more pairs than
+there are sets; then all pairs across components. Links between documents that are
+connected already are not looked for; no component is lost by that.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,18 +37,27 @@ from peerlabel.llm.common import materialize
 from peerlabel.llm.components import smallest_reachable
 
 WORDS = 5
-DIMENSIONS = 64
+DIMENSIONS = 128
 LEAF_POINTS = 256
 GROUP_PAIRS = 500
 SMALL_TABLE = 500_000
+SAMPLE_OF = 8
+HUB_ROUNDS = 4
+CROWD = 8
+LEAF = (
+    "region long, leaf long, members array<struct<id:long,component:long,n:long,vector:array<int>>>, "
+    "low long, high long, box array<int>"
+)
+FREQUENT = 1_000_000
 
 
 @dataclass(frozen=True)
 class NgramJoin:
     """``words`` a shingle; two sets link when 100 * intersection >= percent * union.
 
-    ``dimensions`` of the points, ``leaf_points`` a leaf and ``group_pairs`` sent to a task
-    together do not change results.
+    ``dimensions`` of the points, ``leaf_points`` a leaf, ``group_pairs`` sent to a task
+    together, ``sample_of``, the share of texts that frequencies are taken from, and when to
+    end rounds of hubs (``hub_rounds`` at most, ``crowd`` pairs a place) do not change results.
     """
 
     words: int = WORDS
@@ -56,6 +65,9 @@ class NgramJoin:
     dimensions: int = DIMENSIONS
     leaf_points: int = LEAF_POINTS
     group_pairs: int = GROUP_PAIRS
+    sample_of: int = SAMPLE_OF
+    hub_rounds: int = HUB_ROUNDS
+    crowd: int = CROWD
 
     def components(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(id, n_shingles, component_id) per row of ``docs``.
@@ -119,22 +131,62 @@ class NgramJoin:
     # -- links
 
     def links(self, named: DataFrame, reps: DataFrame) -> DataFrame:
-        """(x, y) pairs of linked ``set_id``s, y the smaller: enough of them that whoever is
-        connected by links of any kind is connected by these."""
-        shared = self._shared(named)
-        first = shared.where("id <> hub").groupBy(F.col("id").alias("x")).agg(F.min("hub").alias("y"))
-        first = materialize(self._bounded(first, reps), "first-pairs")
-        near = materialize(self._verified(first, named, reps), "links")
-        rest = self._across(shared, near, reps).join(first, ["x", "y"], "left_anti")
-        rest = materialize(rest, "second-pairs")
-        return near.unionByName(materialize(self._verified(rest, named, reps), "links"))
-
-    def _shared(self, named: DataFrame) -> DataFrame:
-        """(cell, id, hub) of the cells that hold more than one set; hub is the smallest.
-
-        A task gives the cells of a set once, so copies are combined before the shuffle.
+        """(x, y) pairs of linked ``set_id``s: enough of them that whoever is connected by
+        links of any kind is connected by these."""
+        regions = self._regions(named)
+        pairs = links = None
+        hub_round, last = 0, False
+        while not last:
+            placed = self._placed(regions, links)
+            last = links is not None and (hub_round == self.hub_rounds or not self._crowded(placed))
+            found = self._across(placed, reps) if last else self._bounded(self._with_hubs(placed, hub_round), reps)
+            found = materialize(found if pairs is None else found.join(pairs, ["x", "y"], "left_anti"), "pairs")
+            linked = materialize(self._verified(found, named, reps), "links")
+            pairs = found if pairs is None else pairs.unionByName(found)
+            links = linked if links is None else links.unionByName(linked)
+            hub_round += 1
+        return links
+
+    def _frequent(self, named: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Frequent shingles, sorted, and how often each was seen.
+
+        Counted in the texts whose hash falls into one of ``sample_of`` classes. This only
+        orders shingles: any answer gives the same links, from more cells or fewer. Should
+        there be more than ``FREQUENT`` of them, the most frequent are taken.
+        """
+        sample = named.where((F.pmod(F.xxhash64("text"), F.lit(self.sample_of)) == 0) & F.col("id").isNotNull())
+
+        def columns(n: int, found: Iterator[tuple[int, np.ndarray]]) -> list[pa.Array]:
+            contents, seen = [None] * n, set()
+            for row, shingles in found:
+                key = set_id(shingles)
+                if key not in seen:  # copies count once
+                    seen.add(key)
+                    contents[row] = shingles.view(np.int64)
+            return [pa.array(contents, pa.list_(pa.int64()))]
+
+        counted = self._mapped(sample.select("text"), columns, "shingles array<long>")
+        counted = counted.select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().where("count > 1")
+        counted = materialize(counted, "frequent-shingles")
+        least, rows = 2, 0
+        for row in counted.groupBy("count").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("count")).toLocalIterator():
+            rows += row["n"]
+            if rows > FREQUENT:
+                least = row["count"] + 1
+                break
+        table = counted.where(F.col("count") >= least).toArrow()
+        shingles = table["shingle"].to_numpy().view(U64)
+        order = np.argsort(shingles)
+        return shingles[order], table["count"].to_numpy()[order]
+
+    def _regions(self, named: DataFrame) -> DataFrame:
+        """(region, id): the sets of cells that hold more than one; cells with the same
+        smallest set are one region, named by it.
+
+        A batch gives the cells of a set once, so copies are combined before the shuffle.
         """
         percent = self.percent
+        sent = named.sparkSession.sparkContext.broadcast(self._frequent(named))
 
         def columns(n: int, found: Iterator[tuple[int, np.ndarray]]) -> list[pa.Array]:
             ids, cells, seen = np.zeros(n, np.int64), [None] * n, set()
@@ -142,7 +194,7 @@ class NgramJoin:
                 ids[row] = set_id(shingles)
                 if ids[row] not in seen:
                     seen.add(int(ids[row]))
-                    cells[row] = cells_of(shingles, percent).view(np.int64)
+                    cells[row] = cells_of(shingles, percent, *sent.value).view(np.int64)
             return [pa.array(ids), pa.array(cells, pa.list_(pa.int64()))]
 
         texts = named.where("id IS NOT NULL").select("text")
@@ -150,8 +202,40 @@ class NgramJoin:
         members = found.select(F.explode("cells").alias("cell"), "id").repartition("cell")
         hubs = members.groupBy("cell").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top")
         hubs = hubs.select(F.col("cell").alias("of"), "hub")
-        shared = members.join(hubs, members["cell"] == hubs["of"]).select("cell", "id", "hub")
-        return materialize(shared, "cells")
+        held = members.join(hubs, members["cell"] == hubs["of"]).select(F.col("hub").alias("region"), "id")
+        return materialize(held.distinct(), "regions")
+
+    def _placed(self, regions: DataFrame, links: DataFrame | None) -> DataFrame:
+        """(region, id, component) of the regions with more than one component."""
+        if links is None:
+            return regions.withColumn("component", F.col("id"))
+        roots = smallest_reachable(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        roots = roots.select(F.col("id").alias("of"), "root")
+        placed = regions.join(roots, regions["id"] == roots["of"], "left").select(
+            "region", "id", F.coalesce("root", "id").alias("component")
+        )
+        mixed = placed.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        return materialize(placed.join(mixed.where("low < high").select("region"), "region"), "placed")
+
+    def _crowded(self, placed: DataFrame) -> bool:
+        """Whether pairs across components outnumber the places by far."""
+        sizes = placed.groupBy("region", "component").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        crossing = sizes.groupBy("region").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("p"))
+        pairs = crossing.agg(F.sum("p")).first()[0] or 0.0
+        return pairs > self.crowd * placed.count()
+
+    def _with_hubs(self, placed: DataFrame, hub_round: int) -> DataFrame:
+        """(x, y): every set with one of the hubs of its regions, of another component.
+
+        A region's hub is its smallest set, in later rounds the first by a hash."""
+        order = F.struct(F.lit(0).alias("h"), "id") if not hub_round else F.struct(
+            F.xxhash64("id", F.lit(hub_round)).alias("h"), "id"
+        )
+        hubs = placed.groupBy("region").agg(F.min(F.struct(order.alias("o"), "component")).alias("hub"))
+        hubs = hubs.select("region", F.col("hub.o.id").alias("hub"), F.col("hub.component").alias("hub_component"))
+        with_hub = placed.join(hubs, "region").where("component <> hub_component")
+        chosen = with_hub.groupBy("id").agg(F.min("hub").alias("hub"))
+        return chosen.select(F.greatest("id", "hub").alias("x"), F.least("id", "hub").alias("y"))
 
     def _bounded(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
         """``pairs`` whose overlap may be large enough, by the sum of minima."""
@@ -193,34 +277,23 @@ class NgramJoin:
         grouped = sets.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("of") != F.col("hub"))
         return grouped.mapInArrow(_linked_to_hub(self.percent), "x long, y long").distinct()
 
-    def _across(self, shared: DataFrame, near: DataFrame, reps: DataFrame) -> DataFrame:
-        """Pairs of different components that share a cell, by a join of leaves."""
-        roots = smallest_reachable(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        component = roots.select(F.col("id").alias("of"), "root")
-        placed = shared.join(component, shared["id"] == component["of"], "left").select(
-            "cell", "id", F.coalesce("root", "id").alias("component")
-        )
-        mixed = placed.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        kept = placed.join(mixed.where("low < high").select("cell"), "cell")
+    def _across(self, placed: DataFrame, reps: DataFrame) -> DataFrame:
+        """Pairs of different components of a region, by a join of leaves."""
         sized = reps.select(F.col("set_id").alias("of"), "n", "vector")
-        kept = kept.join(sized, kept["id"] == sized["of"])
+        kept = placed.join(sized, placed["id"] == sized["of"])
         # Leaves are runs of members of like size and like counts.
-        order = W.partitionBy("cell").orderBy("n", "vector", "id")
+        order = W.partitionBy("region").orderBy("n", "vector", "id")
         leaf = F.floor((F.row_number().over(order) - 1) / self.leaf_points)
-        counts = range(self.dimensions)
-        leaves = kept.withColumn("leaf", leaf).groupBy("cell", "leaf").agg(
-            F.collect_list(F.struct("id", "component", "n", "vector")).alias("members"),
-            F.min("n").alias("low"),
-            F.max("n").alias("high"),
-            *(F.max(F.col("vector")[i]).alias(f"v{i}") for i in counts),
+        members = F.collect_list(F.struct("id", "component", "n", "vector")).alias("members")
+        leaves = kept.withColumn("leaf", leaf).groupBy("region", "leaf").agg(
+            members, F.min("n").alias("low"), F.max("n").alias("high")
         )
-        box = F.array(*(f"v{i}" for i in counts)).alias("box")
-        leaves = materialize(leaves.select("cell", "leaf", "members", "low", "high", box), "leaves")
+        leaves = materialize(leaves.mapInArrow(_boxed, LEAF), "leaves")
         a, b = (
-            leaves.select("cell", *(F.col(c).alias(f"{c}_{side}") for c in leaves.columns if c != "cell"))
+            leaves.select("region", *(F.col(c).alias(f"{c}_{side}") for c in leaves.columns if c != "region"))
             for side in ("a", "b")
         )
-        pairs = a.join(b, "cell").where("leaf_a <= leaf_b").where(
+        pairs = a.join(b, "region").where("leaf_a <= leaf_b").where(
             (F.col("high_a") * 100 >= self.percent * F.col("low_b")) & self._may_link("low_a", "box_a", "low_b", "box_b")
         )
         percent = self.percent
@@ -228,9 +301,12 @@ class NgramJoin:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 same, left, right = batch.columns
-                for row in range(batch.num_rows):
-                    x, y = leaf_pairs(_Leaf(left[row]), _Leaf(right[row]), same[row].as_py(), percent)
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
+                found = [
+                    leaf_pairs(_Leaf(left[row]), _Leaf(right[row]), same[row].as_py(), percent)
+                    for row in range(batch.num_rows)
+                ]
+                x, y = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
 
         chosen = pairs.select((F.col("leaf_a") == F.col("leaf_b")).alias("same"), "members_a", "members_b")
         return chosen.mapInArrow(run, "x long, y long").distinct()
@@ -245,6 +321,15 @@ class _Leaf:
         self.vector = values.field(3).flatten().to_numpy().reshape(len(self.id), -1)
 
 
+def _boxed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Leaves with their boxes: the largest count of each group."""
+    for batch in batches:
+        boxes = [_Leaf(members).vector.max(axis=0) for members in batch.column(2)]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(boxes, pa.list_(pa.int32()))], ["region", "leaf", "members", "low", "high", "box"]
+        )
+
+
 def leaf_pairs(a: _Leaf, b: _Leaf, same: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of points of different components whose bound allows a link."""
     xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -305,42 +390,13 @@ def point_of(shingles: np.ndarray, dimensions: int) -> np.ndarray:
     return np.bincount(groups.astype(np.int64), minlength=dimensions).astype(np.int32)
 
 
-@lru_cache(maxsize=1)
-def size_classes() -> np.ndarray:
-    """Lower ends of classes of set sizes, each about half as large again as the last."""
-    ends = [1]
-    while ends[-1] < 1 << 40:
-        ends.append(max(ends[-1] + 1, ends[-1] * 3 // 2))
-    return np.array(ends)
-
-
-def most_differing(size: int, percent: int) -> int:
-    """Shingles in one of two linked sets only, where the larger one has ``size`` at most:
-    a + b - 2 * overlap with overlap >= percent * (a + b) / (100 + percent)."""
-    return 2 * size * (100 - percent) // (100 + percent)
-
-
-def cells_of(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """The cells of a set: contents of its groups, for each size class that the larger set
-    of a link with it can have.
-
-    Of m groups at most ``most_differing`` differ between linked sets, so if a set has more
-    groups than that with something in them, an equal one is among these. Only a set that
-    has fewer also names its empty groups.
-    """
-    ends, n = size_classes(), len(shingles)
-    own = int(np.searchsorted(ends, n, "right")) - 1
-    out = []
-    scrambled = mix(shingles ^ U64(0xE7037ED1A0B428DB))
-    top = shingles >> U64(32)
-    for k in range(own, int(np.searchsorted(ends, n * 100 // percent, "right"))):
-        differing = most_differing(int(ends[k + 1]) - 1, percent)
-        m = differing + 1 + max(1, -(-(differing + 1) * 6 // 100))
-        group = (top * U64(m) >> U64(32)).astype(np.int64)
-        begins = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        salt = mix(np.arange(m, dtype=U64) + U64((k + 1) << 40))
-        filled = group[begins]
-        out.append(mix(np.add.reduceat(scrambled, begins) ^ salt[filled]))
-        if len(filled) <= differing:
-            out.append(mix(salt[np.setdiff1d(np.arange(m), filled)]))
-    return np.unique(np.concatenate(out))
+def cells_of(shingles: np.ndarray, percent: int, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The n - ceil(n * percent / 100) + 1 rarest shingles of a set, by hash on ties."""
+    n = len(shingles)
+    size = n - -(-n * percent // 100) + 1
+    if not len(frequent):
+        return shingles[:size]
+    at = np.searchsorted(frequent, shingles)
+    at[at == len(frequent)] = 0
+    seen = np.where(frequent[at] == shingles, counts[at], 0)
+    return shingles[np.argsort(seen, kind="stable")[:size]]
