@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from peerlabel.llm.common import text_or_empty
 
@@ -180,7 +181,7 @@ class BpeCodec:
 
         All columns and rows stay; a column of the name ``out`` is replaced.
         """
-        return self._with_column(df, text_col, out, "array<int>", text_or_empty(text_col), encode_texts)
+        return self._with_column(df, text_col, out, ArrayType(IntegerType()), text_or_empty(text_col), encode_texts)
 
     def decode(self, df: DataFrame, ids_col: str = "ids", out: str = "text") -> DataFrame:
         """``df`` with the text of ``ids_col``: the tokens' strings joined by a space.
@@ -188,7 +189,7 @@ class BpeCodec:
         NULL ids decode as no tokens; an id beyond the vocabulary fails.
         """
         ids = F.coalesce(F.col(ids_col), F.array().cast("array<int>"))
-        return self._with_column(df, ids_col, out, "string", ids, decode_ids)
+        return self._with_column(df, ids_col, out, StringType(), ids, decode_ids)
 
     def digests(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(id, n_tokens, ids_sha256, decoded_sha256) per row, in one pass.
@@ -213,9 +214,9 @@ class BpeCodec:
 
     def _with_column(self, df, source, out, kind, value, step) -> DataFrame:
         others = [c for c in df.columns if c != out]
-        row = F.struct(*(F.col(f"`{c}`") for c in others))
+        row = F.struct(F.lit(0).alias("__"), *(F.col(f"`{c}`") for c in others))
         narrowed = df.select(row.alias("row"), value.alias("value"))
-        fields = narrowed.schema["row"].dataType.simpleString() if others else "struct<>"
+        schema = narrowed.schema.fields[0]
         path = self.tokenizer_path
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +228,8 @@ class BpeCodec:
                     done += len(made)
                     yield pa.RecordBatch.from_arrays([rows, made], ["row", "made"])
 
-        mapped = narrowed.mapInArrow(run, f"row {fields}, made {kind}")
+        made = StructType([schema, StructField("made", kind)])
+        mapped = narrowed.mapInArrow(run, made)
         kept = [F.col("row").getField(c).alias(c) for c in others]
         return mapped.select(*kept, F.col("made").alias(out))
 

@@ -20,6 +20,7 @@ from peerlabel.llm import bytewords
 from peerlabel.llm.common import materialize
 
 WINDOW = 8
+LIMITS = "__limits"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 CONTINUES = (np.arange(256) & 0xC0) == 0x80
@@ -197,25 +198,24 @@ class QualityRules:
         The base rules always reject. Of the rest, a document is rejected when a score is
         beyond both its group's threshold and what the measure allows anyway. Repeated rows
         and NULLs stay and count; an empty table gives an empty one. Columns of the
-        names made here are replaced.
+        names made here (scores ``m_<name>`` too, which are left out) are replaced.
         """
         scored = self.scored(docs, text_col)
         limits = materialize(self.thresholds(scored, lang_col, source_col), "quality-limits")
-        limits = limits.select(
-            F.col("lang").alias("_lang"), F.col("source").alias("_source"), *(f"t_{m.name}" for m in self.measures)
-        )
-        same = scored[lang_col].eqNullSafe(limits["_lang"]) & scored[source_col].eqNullSafe(limits["_source"])
+        limits = limits.select(F.struct(*limits.columns).alias(LIMITS))
+        of = F.col(LIMITS)
+        same = scored[lang_col].eqNullSafe(of["lang"]) & scored[source_col].eqNullSafe(of["source"])
         judged = scored.join(self._sized(limits), same, "left")
         beyond = F.lit(False)
         for m in self.measures:
-            score, limit = F.col(f"m_{m.name}"), F.col(f"t_{m.name}")
+            score, limit = F.col(f"m_{m.name}"), of[f"t_{m.name}"]
             if m.low:
                 beyond = beyond | (score < F.least(limit, F.lit(m.allowed)))
             else:
                 beyond = beyond | (score > F.greatest(limit, F.lit(m.allowed)))
         kept = ~F.col("base_failed") & ~F.coalesce(beyond, F.lit(False))
-        outs = [c for c in scored.columns if not c.startswith("m_")]
-        return judged.select(*(F.col(f"`{c}`") for c in outs), kept.alias("kept"))
+        made = {"kept", *(f"m_{m.name}" for m in self.measures)}
+        return judged.select(*(F.col(f"`{c}`") for c in scored.columns if c not in made), kept.alias("kept"))
 
     @staticmethod
     def _sized(limits: DataFrame, most: int = 100_000) -> DataFrame:

@@ -98,7 +98,7 @@ class HilbertSharder:
         Ties on the curve are ordered by a hash of the id, then the id, then the dimensions;
         rows equal in all these take neighbouring slots in any order, so ids should be
         unique. With fewer rows than shards some shards stay empty. Columns of the names
-        made here are replaced.
+        made here are replaced; names that begin with two underscores are the operator's.
         """
         kept = [c for c in docs.columns if c not in ("curve", "shard", "slot")]
         placed = self._on_curve(docs.select(*(F.col(f"`{c}`") for c in kept)))
@@ -106,24 +106,24 @@ class HilbertSharder:
         sub = self._sub(id_col, groups)
         # Rows before each group, from counts alone: of the cells before its own, and of the
         # hash groups before it in its cell.
-        counts = placed.groupBy("curve", sub.alias("_sub")).agg(F.count(F.lit(1)).alias("_n"))
-        cells = counts.groupBy("curve").agg(F.sum("_n").alias("_cell"))
+        counts = placed.groupBy("curve", sub.alias("__sub")).agg(F.count(F.lit(1)).alias("__n"))
+        cells = counts.groupBy("curve").agg(F.sum("__n").alias("__cell"))
         before = cells.select(  # one row a cell of the grid at most
-            "curve", (F.sum("_cell").over(W.orderBy("curve")) - F.col("_cell")).alias("_cells_before")
+            "curve", (F.sum("__cell").over(W.orderBy("curve")) - F.col("__cell")).alias("__cells_before")
         )
-        within = F.sum("_n").over(W.partitionBy("curve").orderBy("_sub")) - F.col("_n")
-        starts = counts.select("curve", "_sub", within.alias("_within")).join(F.broadcast(before), "curve")
-        starts = starts.select("curve", "_sub", (F.col("_within") + F.col("_cells_before")).alias("_start"))
-        ordered = W.partitionBy("curve", "_sub").orderBy(
+        within = F.sum("__n").over(W.partitionBy("curve").orderBy("__sub")) - F.col("__n")
+        starts = counts.select("curve", "__sub", within.alias("__within")).join(F.broadcast(before), "curve")
+        starts = starts.select("curve", "__sub", (F.col("__within") + F.col("__cells_before")).alias("__start"))
+        ordered = W.partitionBy("curve", "__sub").orderBy(
             *(F.col(f"`{c}`") for c in dict.fromkeys((id_col, *self.dimensions)))
         )
-        ranked = placed.withColumn("_sub", sub).withColumn("_row", F.row_number().over(ordered) - 1)
-        rank = F.col("_start") + F.col("_row")
+        ranked = placed.withColumn("__sub", sub).withColumn("__row", F.row_number().over(ordered) - 1)
+        rank = F.col("__start") + F.col("__row")
         rows = max(total, 1)
-        shard = F.expr(f"CAST((_start + _row) * {self.shards}L DIV {rows}L AS INT)")
+        shard = F.expr(f"CAST((__start + __row) * {self.shards}L DIV {rows}L AS INT)")
         first = F.expr(f"(shard * {rows}L + {self.shards - 1}) DIV {self.shards}L")
         return (
-            ranked.join(starts, ["curve", "_sub"])
+            ranked.join(starts, ["curve", "__sub"])
             .withColumn("shard", shard)
             .withColumn("slot", (rank - first).cast("long"))
             .select(*(F.col(f"`{c}`") for c in kept), "curve", "shard", "slot")
@@ -139,7 +139,7 @@ class HilbertSharder:
     def _on_curve(self, docs: DataFrame) -> DataFrame:
         kinds = dict(docs.dtypes)
         values = {
-            f"_d{i}": text_order(F.col(f"`{c}`")) if kinds[c] == "string" else F.col(f"`{c}`").cast("double")
+            f"__d{i}": text_order(F.col(f"`{c}`")) if kinds[c] == "string" else F.col(f"`{c}`").cast("double")
             for i, c in enumerate(self.dimensions)
         }
         steps = [q / (1 << self.bits) for q in range(1, 1 << self.bits)]
@@ -153,8 +153,8 @@ class HilbertSharder:
                 bin_ = bin_ + F.coalesce((value > F.lit(cut)).cast("int"), F.lit(0))
             cell = cell * (1 << self.bits) + bin_
         spark = docs.sparkSession
-        table = spark.createDataFrame(self._cells(), "_cell long, curve long")  # 2^(bits * dimensions) rows
-        return docs.withColumn("_cell", cell.cast("long")).join(F.broadcast(table), "_cell").drop("_cell")
+        table = spark.createDataFrame(self._cells(), "__cell long, curve long")  # 2^(bits * dimensions) rows
+        return docs.withColumn("__cell", cell.cast("long")).join(F.broadcast(table), "__cell").drop("__cell")
 
     def _cells(self) -> list[tuple[int, int]]:
         n, side = len(self.dimensions), 1 << self.bits
