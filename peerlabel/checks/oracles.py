@@ -14,6 +14,7 @@ from peerlabel.operators.bags import poisson_bounds
 from peerlabel.sources import splits, views
 
 K, C = q.K, q.C
+SQL_ROUNDS = 9  # more than any run over the test tables takes; a longer one would not match
 
 
 # -- expressions --------------------------------------------------------------
@@ -29,6 +30,12 @@ def uniform(row_id: str, salt: str, slot: str = "0") -> str:
     return f"({word(row_id, salt, slot)}::DOUBLE / {WORD_RANGE}::DOUBLE)"
 
 
+def wide_word(row_id: str, salt: str, slot: str) -> str:
+    """The ``slot``-th 52-bit hash word of a row; ``slot`` may be a column."""
+    digest = f"md5({row_id}::VARCHAR || ':{salt}:' || ({slot} // 2)::VARCHAR)"
+    return f"('0x' || substr({digest}, (13 * ({slot} % 2) + 1)::INTEGER, 13))::BIGINT"
+
+
 def wide_uniform(row_id: str, salt: str) -> str:
     digest = f"md5({row_id}::VARCHAR || ':{salt}')"
     return f"(('0x' || substr({digest}, 1, 13))::BIGINT::DOUBLE / {WIDE_RANGE}::DOUBLE)"
@@ -134,9 +141,9 @@ def voter_steps(r: int, training: str) -> list[tuple[str, str]]:
     ]
 
 
-def first_voter_steps(config: CoTrainConfig) -> list[tuple[str, str]]:
+def first_voter_steps(config: CoTrainConfig, weights=None) -> list[tuple[str, str]]:
     return [
-        *docs_steps(),
+        *docs_steps(weights),
         *bagged_steps(config),
         ("bag_rows", "SELECT k, mask, code, label, bag AS w FROM bagged WHERE bag > 0"),
         *voter_steps(0, "bag_rows"),
@@ -231,8 +238,8 @@ def opened_step(r: int, config: CoTrainConfig) -> tuple[str, str]:
 def drawn_sql(source: str, sizes: str, n_rows: str, salt: str, method: str) -> str:
     """``(k, row_id)`` drawn from ``source`` given ``sizes`` (k, n)."""
     if method == "bernoulli":
-        u = uniform("row_id", salt, "k")
-        return f"SELECT k, row_id FROM {source}, {sizes} WHERE {u} < least(1, n::DOUBLE / ({n_rows})::DOUBLE)"
+        accepted = f"least({WIDE_RANGE}::HUGEINT, (n::HUGEINT * {WIDE_RANGE} + ({n_rows}) - 1) // ({n_rows}))"
+        return f"SELECT k, row_id FROM {source}, {sizes} WHERE {wide_word('row_id', salt, 'k')} < {accepted}"
     ranked = (
         f"SELECT k, row_id, n, row_number() OVER (PARTITION BY k ORDER BY {word('row_id', salt, 'k')}, row_id) AS rk "
         f"FROM {source}, {sizes}"
@@ -242,6 +249,8 @@ def drawn_sql(source: str, sizes: str, n_rows: str, salt: str, method: str) -> s
 
 def pseudo_label_steps(r: int, config: CoTrainConfig) -> list[tuple[str, str]]:
     salt = f"{config.seed}:sub:{r}"
+    # A round exists only if someone changed in the one before.
+    going = "true" if r == 0 else f"(SELECT bool_or(updated) FROM closed_{r - 1})"
     return [
         opened_step(r, config),
         (f"sizes_{r}", f"SELECT k, n FROM opened_{r} WHERE gate1"),
@@ -261,7 +270,7 @@ def pseudo_label_steps(r: int, config: CoTrainConfig) -> list[tuple[str, str]]:
         ),
         (
             f"closed_{r}",
-            "SELECT *, gate1 AND gate2 AND gate3 AS updated FROM (SELECT o.*, w.li_size, w.s, "
+            f"SELECT *, gate1 AND gate2 AND gate3 AND {going} AS updated FROM (SELECT o.*, w.li_size, w.s, "
             "gate1 AND s_prev < li_size AS gate2, gate1 AND coalesce(err * s < err_prev * s_prev, false) AS gate3 "
             f"FROM opened_{r} o JOIN weights_{r} w ON w.k = o.k)",
         ),
@@ -287,21 +296,47 @@ def retrain_steps(r: int, config: CoTrainConfig) -> list[tuple[str, str]]:
     ]
 
 
+def loop_steps(config: CoTrainConfig, weights=None) -> list[tuple[str, str]]:
+    """The whole loop, SQL_ROUNDS rounds written out; ``votes_{SQL_ROUNDS}`` are the last."""
+    steps = first_voter_steps(config, weights)
+    for r in range(SQL_ROUNDS):
+        steps += out_of_bag_steps(r, config) + ensemble_steps(r, config.normaliser) + train_error_steps(r)
+        steps += pseudo_label_steps(r, config) + retrain_steps(r, config)
+    return steps + ensemble_steps(SQL_ROUNDS, config.normaliser)
+
+
 def history_sql(config: CoTrainConfig) -> str:
-    """Two rounds, written out; the second exists only if the first changed a member."""
-    steps = first_voter_steps(config)
     selects = []
-    for r in range(2):
-        steps += out_of_bag_steps(r, config) + ensemble_steps(r, config.normaliser) + train_error_steps(r)
-        steps += pseudo_label_steps(r, config)
-        if r == 0:
-            steps += retrain_steps(r, config)
-        went_on = "" if r == 0 else "WHERE EXISTS (SELECT 1 FROM closed_0 WHERE updated)"
+    for r in range(SQL_ROUNDS):
+        went_on = "" if r == 0 else f"WHERE EXISTS (SELECT 1 FROM closed_{r - 1} WHERE updated)"
         selects.append(
             f"SELECT {r}::INTEGER AS round, k::INTEGER AS k, err, err_prev, n, li_size, s, s_prev, gate1, gate2, "
             f"gate3, updated, train_error FROM closed_{r} CROSS JOIN train_{r} {went_on}"
         )
-    return statement(steps, " UNION ALL ".join(selects))
+    return statement(loop_steps(config), " UNION ALL ".join(selects))
+
+
+def test_error_sql(config: CoTrainConfig) -> str:
+    test = f"JOIN parts USING (row_id) WHERE part = '{splits.TEST}'"
+    wrong = "sum((decision <> label)::INTEGER)::BIGINT"
+    selects = [
+        f"SELECT '{stage}' AS stage, count(*) AS n_rows, {wrong} AS wrong, {wrong}::DOUBLE / count(*)::DOUBLE AS error "
+        f"FROM ens_{r} {test}"
+        for stage, r in (("first", 0), ("last", SQL_ROUNDS))
+    ]
+    return statement(loop_steps(config, splits.TENTH_AND_TEST), " UNION ALL ".join(selects))
+
+
+def code_steps(rows: str) -> list[tuple[str, str]]:
+    """Classes of each code in ``rows`` (code, label, w): heaviest, whether alone, shares."""
+    return [
+        ("code_weights", f"SELECT code, label, sum(w) AS w FROM {rows} GROUP BY code, label"),
+        (
+            "codes",
+            "SELECT code, arg_max(label, w) AS heaviest, count(*) FILTER (WHERE w = top) = 1 AS untied FROM ("
+            "SELECT *, max(w) OVER (PARTITION BY code) AS top FROM code_weights) GROUP BY code",
+        ),
+    ]
 
 
 def spread_dist(name: str, keys: str) -> str:
@@ -396,6 +431,28 @@ def all_sql() -> dict[str, str]:
             "count(*) FILTER (WHERE bag = 0) AS out_of_bag_rows FROM bags GROUP BY k",
         ),
         "c1_bucket_votes": statement(first, spread_votes("votes_0")),
+        "c2_lr_member": statement(
+            [*first, ("bag_0", "SELECT * FROM bag_rows WHERE k = 0"), *code_steps("bag_0")],
+            "SELECT row_id, "
+            + columns("(heaviest = {i})::INTEGER::DOUBLE AS v_{i}", C)
+            + " FROM docs JOIN codes USING (code) WHERE untied",
+        ),
+        "c4_tree_member": statement(
+            [*first, ("bag_0", "SELECT * FROM bag_rows WHERE k = 0"), *code_steps("bag_0")],
+            "SELECT row_id, "
+            + columns("round(coalesce(sum(w) FILTER (WHERE c.label = {i}), 0)::DOUBLE / sum(w)::DOUBLE, 9) AS v_{i}", C)
+            + " FROM docs JOIN code_weights c USING (code) GROUP BY row_id",
+        ),
+        "c7_baseline_error": statement(
+            [
+                *docs_steps(splits.TENTH_AND_TEST),
+                ("known", f"SELECT code, label, 1 AS w FROM parts WHERE part <> '{splits.TEST}'"),
+                *code_steps("known"),
+            ],
+            "SELECT count(*) AS n_rows, sum((heaviest <> label)::INTEGER)::BIGINT AS wrong, "
+            "avg((heaviest <> label)::INTEGER::DOUBLE) AS error "
+            f"FROM parts JOIN codes USING (code) WHERE untied AND part = '{splits.TEST}'",
+        ),
         "c3_hard_vote": statement(first, f"SELECT row_id, {one_hot} FROM votes_0 WHERE k = 0"),
         "c5_subspace_sizes": statement(
             [csv, numbers],
@@ -459,6 +516,12 @@ def all_sql() -> dict[str, str]:
         "e9_round1_votes": statement(round0 + retrain_steps(0, config), spread_votes("votes_1")),
         "e11_loop_history": history_sql(config),
         "e11_paper_history": history_sql(q.PAPER),
+        "f1_test_error": test_error_sql(config),
+        "g1_scored_test": statement(
+            loop_steps(config, splits.TENTH_AND_TEST),
+            f"SELECT row_id, label, decision AS prediction, confidence FROM ens_{SQL_ROUNDS} "
+            f"JOIN parts USING (row_id) WHERE part = '{splits.TEST}'",
+        ),
         "f1_error_rate": statement(
             [*ens, ("judged", judged)],
             "SELECT count(*) AS n_rows, sum((prediction <> label)::INTEGER)::BIGINT AS wrong, "

@@ -9,23 +9,23 @@ from peerlabel.functions import gates, voting
 from peerlabel.operators import bags, metrics, rounds, subsample
 from peerlabel.operators.members import (
     bucket_members,
-    fit_alone,
     logistic_members,
     tree_members,
     with_votes,
 )
 from peerlabel.plans import jobs
-from peerlabel.plans.cotrain import bagged_voters, close_round, cotrain, open_round
+from peerlabel.plans.cotrain import MemberState, bagged_voters, cotrain, finish_round, start_round
 from peerlabel.sources import splits, views
-from peerlabel.sources.tables import parse_features, parse_numbers
+from peerlabel.sources.tables import local_table, parse_features, parse_numbers
 
 K = 5
 C = len(views.LANGUAGES)
 N_BITS = len(views.STOP_WORDS)
 FLAGS_PER_MEMBER = 5
 SEED = 1
-CONFIG = CoTrainConfig(n_classes=C, n_members=K, init_s_prime=100.0, max_rounds=2, seed=SEED)
-PAPER = CoTrainConfig.preset("paper", C, n_members=K, threshold=0.6, max_rounds=2, seed=SEED)
+LITTLE = 1e-4  # regularisation that keeps a saturated model finite
+CONFIG = CoTrainConfig(n_classes=C, n_members=K, init_s_prime=100.0, seed=SEED)
+PAPER = CoTrainConfig.preset("paper", C, n_members=K, threshold=0.6, seed=SEED)
 
 
 def flag_members():
@@ -72,9 +72,8 @@ def _errors(spark, sf, voters=None):
 
 
 def _opened(spark, sf, voters, n_unlabelled):
-    errors = rounds.out_of_bag_errors(_errors(spark, sf, voters))
-    state = errors.withColumns({"err_prev": F.lit(0.5), "s_prev": F.lit(0.0)})
-    return open_round(state, CONFIG.starting_weight(n_unlabelled), n_unlabelled)
+    """Round 0 as it begins, by member: K rows, on the driver."""
+    return start_round(_voted_bagged(spark, sf, voters), [MemberState()] * K, n_unlabelled, CONFIG)
 
 
 def _first_round(spark, sf):
@@ -83,11 +82,17 @@ def _first_round(spark, sf):
     pool = _unlabelled(spark, sf)
     n_unlabelled = pool.count()
     opened = _opened(spark, sf, voters, n_unlabelled)
-    sizes = {r["k"]: r["n"] for r in opened.filter("gate1").select("k", "n").collect()}
+    sizes = {k: row["n"] for k, row in opened.items() if row["gate1"]}
     sampled = with_votes(subsample.bernoulli_draw(pool, sizes, n_unlabelled, K, SEED, 0), voters)
     return voters, opened, sorted(sizes), sampled
 
 
+def _member_table(spark, by_member, schema):
+    names = [column.split()[0] for column in schema.split(", ")]
+    rows = [(k, *(row[n] for n in names[1:])) for k, row in sorted(by_member.items())]
+    return local_table(spark, rows, schema)
+
+
 # -- A: sources and splits ----------------------------------------------------
 
 
@@ -147,16 +152,26 @@ def c1_bucket_votes(spark, sf):
     return rows.select("row_id", *[v.predicted().alias(f"vote_{k}") for k, v in enumerate(voters)])
 
 
-def _lang_bagged(spark, sf):
-    rows = splits.with_part(views.docs_lang(spark, sf), splits.TENTH, SEED)
-    return bags.poisson_bags(splits.part_of(rows, splits.LABELLED), K, SEED)
+def _bag_codes(bagged, untied):
+    """Codes of bag 0, those whose heaviest class is tied left out if ``untied``."""
+    weights = bags.in_bag_rows(bagged, 0).groupBy("code", "label").agg(F.sum("weight").alias("w"))
+    return _codes(weights, untied)
+
+
+def _codes(weights, untied):
+    best = weights.groupBy("code").agg(F.sort_array(F.collect_list("w"), asc=False).alias("ws"))
+    clear = (F.size("ws") == 1) | (F.get("ws", F.lit(0)) > F.get("ws", F.lit(1)))
+    return F.broadcast(best.filter(clear if untied else F.lit(True)).select("code"))  # 256 rows at most
 
 
 def c2_lr_member(spark, sf):
-    """One logistic regression trained on its bag; its vote on every document."""
-    member = logistic_members(1, C)[0]
-    voter = fit_alone(member, bags.in_bag_rows(_lang_bagged(spark, sf), 0))
-    voted = voter.vote(views.docs_lang(spark, sf), "dist")
+    """One logistic regression on one-hot codes, trained on its bag; its vote on every
+    document whose code the bag settles: there it must be the code's heaviest class."""
+    rows = views.docs_one_hot(spark, sf)
+    labelled = splits.part_of(splits.with_part(rows, splits.TENTH, SEED), splits.LABELLED)
+    bagged = bags.poisson_bags(labelled, K, SEED)
+    voter = logistic_members(1, C, reg_param=LITTLE)[0].fit(bags.in_bag_rows(bagged, 0))
+    voted = voter.vote(rows, "dist").join(_bag_codes(bagged, untied=True), "code")
     return voted.select("row_id", *_spread(F.col("dist"), C, "v"))
 
 
@@ -166,11 +181,15 @@ def c3_hard_vote(spark, sf):
 
 
 def c4_tree_member(spark, sf):
-    """One random tree trained on its bag; its class shares on every document."""
-    member = tree_members(1, C, features_per_node=16)[0]
-    voter = fit_alone(member, bags.in_bag_rows(_lang_bagged(spark, sf), 0))
-    voted = voter.vote(views.docs_lang(spark, sf), "dist")
-    return voted.select("row_id", *_spread(F.col("dist"), C, "v"))
+    """One tree over all flags, trained on its bag; its class shares on every document
+    whose code the bag has: a full-grown tree splits all codes that differ."""
+    rows = views.docs_flag_vector(spark, sf)
+    labelled = splits.part_of(splits.with_part(rows, splits.TENTH, SEED), splits.LABELLED)
+    bagged = bags.poisson_bags(labelled, K, SEED)
+    voter = tree_members(1, C, features_per_node=N_BITS)[0].fit(bags.in_bag_rows(bagged, 0))
+    voted = voter.vote(rows, "dist").join(_bag_codes(bagged, untied=False), "code")
+    shares = [F.round(F.col("dist")[c], 9).alias(f"v_{c}") for c in range(C)]
+    return voted.select("row_id", *shares)
 
 
 def c5_subspace_sizes(spark, sf):
@@ -193,8 +212,8 @@ def c6_round0_state(spark, sf):
         .agg(F.sum("weight").alias("bag_weight"), F.sum(wrong).alias("bag_wrong"))
         .select(
             "k",
-            F.lit(0.5).alias("err_prev"),
-            F.lit(0.0).alias("s_prev"),
+            F.lit(MemberState().err_prev).alias("err_prev"),
+            F.lit(MemberState().s_prev).alias("s_prev"),
             "bag_weight",
             "bag_wrong",
         )
@@ -202,7 +221,13 @@ def c6_round0_state(spark, sf):
 
 
 def c7_baseline_error(spark, sf):
-    return jobs.supervised_baseline(views.docs_lang(spark, sf), logistic_members(1, C)[0], C, seed=SEED)
+    """The supervised baseline on one-hot codes, tested where the training rows settle a code."""
+    parts = splits.with_part(views.docs_one_hot(spark, sf), splits.TENTH_AND_TEST, SEED)
+    train = parts.filter(F.col("part") != splits.TEST)
+    weights = train.groupBy("code", "label").agg(F.count(F.lit(1)).alias("w"))
+    test = splits.part_of(parts, splits.TEST).join(_codes(weights, untied=True), "code")
+    member = logistic_members(1, C, reg_param=LITTLE)[0]
+    return jobs.supervised_baseline(train, member, C, seed=SEED, test=test)
 
 
 # -- D: ensemble scoring ------------------------------------------------------
@@ -301,7 +326,8 @@ def e1_oob_error(spark, sf):
 
 def e2_draw_size(spark, sf):
     n_unlabelled = _unlabelled(spark, sf).count()
-    return _opened(spark, sf, _voters(spark, sf), n_unlabelled).select("k", "gate1", "s_prev", "n")
+    opened = _opened(spark, sf, _voters(spark, sf), n_unlabelled)
+    return _member_table(spark, opened, "k INT, gate1 BOOLEAN, s_prev DOUBLE, n BIGINT")
 
 
 def _twentieths(n_rows):
@@ -337,23 +363,21 @@ def e6_pseudo_labels(spark, sf):
     return rounds.pseudo_labels(sampled, CONFIG, ks).select("k", "row_id", "pseudo_label", "confidence")
 
 
-def _closed(opened, ks, sampled):
-    weights = rounds.pseudo_label_weights(rounds.pseudo_labels(sampled, CONFIG, ks))
-    # One row per member on both sides.
-    joined = opened.join(F.broadcast(rounds.every_member(weights, list(range(K)))), "k")
-    return close_round(joined)
-
-
 def e8_gates(spark, sf):
     _, opened, ks, sampled = _first_round(spark, sf)
-    return _closed(opened, ks, sampled).select(
-        "k", "err", "err_prev", "n", "li_size", "s", "s_prev", "gate1", "gate2", "gate3", "updated"
+    closed = finish_round(sampled, opened, ks, CONFIG, spark)
+    return _member_table(
+        spark,
+        closed,
+        "k INT, err DOUBLE, err_prev DOUBLE, n BIGINT, li_size BIGINT, s DOUBLE, s_prev DOUBLE, "
+        "gate1 BOOLEAN, gate2 BOOLEAN, gate3 BOOLEAN, updated BOOLEAN",
     )
 
 
 def _retrain_long(spark, sf):
     voters, opened, ks, sampled = _first_round(spark, sf)
-    updated = sorted(r["k"] for r in _closed(opened, ks, sampled).filter("updated").select("k").collect())
+    closed = finish_round(sampled, opened, ks, CONFIG, spark)
+    updated = [k for k, row in sorted(closed.items()) if row["updated"]]
     labelled = bags.each_member(_labelled(spark, sf), updated)
     labels = rounds.pseudo_labels(sampled, CONFIG, updated)
     return voters, rounds.retraining_rows(labelled, labels, "code", weighted=False)
@@ -406,16 +430,30 @@ def f3_train_error(spark, sf):
 # -- whole jobs ---------------------------------------------------------------
 
 
-def lang_job(spark, sf, max_rounds=4):
-    """Language of a document from hashed word counts, 10 % of the labels known."""
-    config = CoTrainConfig(n_classes=C, max_rounds=max_rounds, seed=SEED)
-    return jobs.cotrain_split(views.docs_lang(spark, sf), logistic_members(K, C, max_iter=50), config)
+def lang_job(spark, sf):
+    """Language of a document from hashed word counts, 10 % of the labels known.
+
+    Words are hashed for the labelled and the drawn documents only.
+    """
+    return jobs.cotrain_split(
+        views.docs_text(spark, sf),
+        logistic_members(K, C),
+        CoTrainConfig(n_classes=C, seed=SEED),
+        featurise=views.word_features,
+    )
+
+
+def _flag_job(spark, sf):
+    return jobs.cotrain_split(views.docs_flags(spark, sf), flag_members(), CONFIG)
 
 
 def f1_test_error(spark, sf):
-    return jobs.cotrain_split(
-        views.docs_flags(spark, sf), flag_members(), CoTrainConfig(n_classes=C, max_rounds=4, seed=SEED)
-    ).test_errors()
+    return _flag_job(spark, sf).test_errors()
+
+
+def g1_scored_test(spark, sf):
+    """The whole job with lookup members: its answers on the test part."""
+    return _flag_job(spark, sf).scored_test().select("row_id", "label", "prediction", "confidence")
 
 
 def g1_lang(spark, sf):
@@ -424,7 +462,7 @@ def g1_lang(spark, sf):
 
 def g1_quality(spark, sf):
     """Quality of a document from text statistics; most rows were never annotated."""
-    config = CoTrainConfig.preset("paper", 2, n_features=8, max_rounds=4, seed=SEED)
+    config = CoTrainConfig.preset("paper", 2, n_features=8, seed=SEED)
     members = tree_members(K, 2, features_per_node=config.features_each(), seed=SEED)
     return jobs.cotrain_partly_labelled(views.docs_quality(spark, sf), members, config).test_errors()
 
@@ -440,5 +478,5 @@ REGISTERED = (
     e6_pseudo_labels, e8_gates, e9_retrain_set, e9_round1_votes, e11_loop_history,
     e11_paper_history,
     f1_test_error, f1_error_rate, f2_error_by_class, f3_train_error,
-    g1_lang, g1_quality,
+    g1_scored_test, g1_lang, g1_quality,
 )

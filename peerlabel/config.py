@@ -45,7 +45,7 @@ class CoTrainConfig:
     retrain_weights: bool = False
     seed: int = 1
     parallelism: int = 4
-    persist_inputs: bool = True
+    persist_inputs: bool = False
 
     def __post_init__(self):
         if self.threshold == 0:

@@ -50,6 +50,14 @@ def wide_uniform(row_id: Column, salt: str) -> Column:
     return _hex_to_long(text) / F.lit(float(WIDE_RANGE))
 
 
+def wide_words(row_id: Column, salt: str, n: int) -> list[Column]:
+    """``n`` independent 52-bit integers per row; one digest serves two of them."""
+    blocks = [digest(row_id, f"{salt}:{block}") for block in range((n + 1) // 2)]
+    return [
+        _hex_to_long(F.substring(blocks[i // 2], WIDE_HEX_DIGITS * (i % 2) + 1, WIDE_HEX_DIGITS)) for i in range(n)
+    ]
+
+
 def row_key(columns: list[str]) -> Column:
     """A row id for tables without a unique key: digest of all given columns."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]

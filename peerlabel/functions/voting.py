@@ -30,32 +30,52 @@ def hard_vote(predicted: Column, n_classes: int) -> Column:
     return F.array(*[(predicted == c).cast("double") for c in range(n_classes)])
 
 
-def class_sums(n_members: int, n_classes: int, weights: Sequence[str] | None = None) -> list[Column]:
-    """Sum ``votes`` class by class, each member times the column named in ``weights``."""
-    factors = ["" if weights is None else f"{weights[i]} * " for i in range(n_members)]
-    return [
-        F.expr(" + ".join(f"{factors[i]}votes[{i}][{c}]" for i in range(n_members)))
-        for c in range(n_classes)
-    ]
+def class_sums(n_members: int, n_classes: int, voters: Sequence[str] | None = None) -> list[Column]:
+    """Sum ``votes`` class by class, of the members whose column in ``voters`` is true.
 
+    The vote of a member that is left out is not looked at, whatever it holds.
+    """
+
+    def term(i: int, c: int) -> str:
+        vote = f"votes[{i}][{c}]"
+        return vote if voters is None else f"IF({voters[i]}, {vote}, 0D)"
+
+    return [F.expr(" + ".join(term(i, c) for i in range(n_members))) for c in range(n_classes)]
 
-def _class_sums_by_lambda(n_classes: int, weights: Sequence[Column] | None) -> Column:
+
+def _class_sums_by_lambda(n_classes: int, voters: Sequence[Column] | None) -> Column:
     """The same as one array, for groups too large to write out."""
     votes = F.col("votes")
-    if weights is not None:
-        votes = F.zip_with(votes, F.array(*weights), lambda v, w: F.transform(v, lambda x: x * w))
     zeros = F.array_repeat(F.lit(0.0), n_classes)
+    if voters is not None:
+        votes = F.zip_with(votes, F.array(*voters), lambda v, keep: F.when(keep, v).otherwise(zeros))
     return F.aggregate(votes, zeros, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
 
 
+def checked_vote(vote: Column, n_classes: int) -> Column:
+    """A distribution as the sums need it: ``n_classes`` values, NaN turned into NULL.
+
+    A NULL vote is one of NULLs; one of another length fails.
+    """
+    missing = F.lit(None).cast("double")
+    values = F.array(*[F.nanvl(vote[c], missing) for c in range(n_classes)])
+    wrong = F.raise_error(F.format_string(f"a vote has %d values, not {n_classes}", F.size(vote)))
+    nothing = F.array(*[missing] * n_classes)
+    return (
+        F.when(vote.isNull(), nothing)
+        .when(F.size(vote) == n_classes, values)
+        .otherwise(wrong.cast("array<double>"))
+    )
+
+
 def all_but(k: Column, n_members: int) -> list[Column]:
-    """Weight 1 for every member but ``k`` (summed directly, not total minus one)."""
-    return [(k != i).cast("double") for i in range(n_members)]
+    """Every member but ``k`` votes (summed directly, not total minus one)."""
+    return [k != i for i in range(n_members)]
 
 
 def out_of_bag_but(k: Column, bag: Column, n_members: int) -> list[Column]:
-    """Weight 1 for the members other than ``k`` that never drew the row."""
-    return [((k != i) & (bag[i] == 0)).cast("double") for i in range(n_members)]
+    """The members other than ``k`` that never drew the row vote."""
+    return [(k != i) & (bag[i] == 0) for i in range(n_members)]
 
 
 def scale_of(sums: Sequence[Column], normaliser: str, keep_zeros: bool = False) -> tuple[Column, Column]:
@@ -101,7 +121,8 @@ def argmax(dist: Sequence[Column], top: Column, normaliser: str) -> Column:
 
 
 def is_confident(conf: Column, threshold: float) -> Column:
-    return F.coalesce(conf > F.lit(float(threshold)), F.lit(False))
+    known = F.nanvl(conf, F.lit(None).cast("double"))  # NaN sorts above every number
+    return F.coalesce(known > F.lit(float(threshold)), F.lit(False))
 
 
 def _stage(rows: DataFrame, prefix: str, columns: Sequence[Column]) -> tuple[DataFrame, list[str]]:
@@ -114,18 +135,18 @@ def with_decision(
     n_members: int,
     n_classes: int,
     normaliser: str,
-    weights: Sequence[Column] | None = None,
+    voters: Sequence[Column] | None = None,
     keep_zeros: bool = False,
 ) -> DataFrame:
     """Append ``dist ARRAY<DOUBLE>``, ``confidence`` and ``decision`` to rows with ``votes``."""
     staged = rows
     if n_members * n_classes > UNROLL_LIMIT:
-        staged = staged.withColumn("_sums", _class_sums_by_lambda(n_classes, weights))
+        staged = staged.withColumn("_sums", _class_sums_by_lambda(n_classes, voters))
         sums = [F.col("_sums")[c] for c in range(n_classes)]
     else:
         names = None
-        if weights is not None:
-            staged, names = _stage(staged, "w", weights)
+        if voters is not None:
+            staged, names = _stage(staged, "w", voters)
         sums = class_sums(n_members, n_classes, names)
     staged, names = _stage(staged, "s", sums)
     sums = [F.col(name) for name in names]

@@ -9,7 +9,6 @@ immutable, so pseudo-labels computed from them cannot change after the fact.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -24,10 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peerlabel.config import CoTrainConfig
-from peerlabel.functions.voting import hard_vote
+from peerlabel.functions.voting import checked_vote, hard_vote
 
 MAX_FLAG_BITS = 12
-ROWS_PER_TASK = 10_000
+DEEPEST_TREE = 30  # what pyspark.ml allows
 
 
 class Voter(Protocol):
@@ -68,6 +67,10 @@ class ClassifierVoter:
     feature_col: str
     indices: tuple[int, ...] | None = None
 
+    @property
+    def hard(self) -> bool:
+        return not self.soft
+
     def vote(self, rows: DataFrame, out_col: str) -> DataFrame:
         kept = rows.columns
         inputs, sliced = _sliced(rows, self.feature_col, self.indices)
@@ -163,12 +166,16 @@ def tree_members(
     n_members: int,
     n_classes: int,
     features_per_node: int,
-    max_depth: int = 10,
+    max_depth: int = DEEPEST_TREE,
     seed: int = 1,
     soft: bool = True,
     feature_col: str = "features",
 ) -> list[ClassifierMember]:
-    """Single random trees; each has its own seed and keeps it when retrained."""
+    """Single random trees; each has its own seed and keeps it when retrained.
+
+    They grow until nothing can be split, or to ``max_depth``, by default the largest that
+    ``pyspark.ml`` allows.
+    """
     return [
         ClassifierMember(
             RandomForestClassifier(
@@ -196,6 +203,7 @@ class BucketVoter:
     winners: tuple[int, ...]
     n_classes: int
     feature_col: str
+    hard = True  # votes are one-hot by construction
 
     def predicted(self) -> Column:
         # Written as text so that the plan holds one literal, folded before execution.
@@ -232,8 +240,12 @@ class BucketMember:
     def fit_jointly(members: Sequence[BucketMember], rows: DataFrame) -> dict[int, BucketVoter]:
         """Train several members (id in ``k``) with one aggregation."""
         feature_col = members[0].feature_col
+        code, top = F.col(feature_col), (1 << members[0].n_bits) - 1
+        in_range = F.when(code.between(0, top), code).otherwise(
+            F.raise_error(F.format_string(f"code %s is not in 0..{top}", code.cast("string"))).cast("int")
+        )
         weights = (
-            rows.groupBy("k", feature_col, "label")
+            rows.groupBy("k", in_range.alias(feature_col), "label")
             .agg(F.sum("weight").alias("w"))
             .filter(F.col("w") > 0)
             .collect()  # at most members x 2^n_bits x classes rows
@@ -314,26 +326,20 @@ def fit_members(
         return dict(zip(ks, pool.map(fit, ks)))
 
 
-def in_few_tasks(rows: DataFrame, n_rows: int) -> DataFrame:
-    """Join small partitions before iterative training; never splits or shuffles.
+def with_votes(rows: DataFrame, voters: Sequence[Voter], n_classes: int | None = None) -> DataFrame:
+    """Append ``votes ARRAY<ARRAY<DOUBLE>>``: every member asked once per row.
 
-    Every optimiser step is a job, so a small training set in many tasks pays for
-    scheduling only. Meant for rows read from a cache, whose own computation
-    stays as parallel as it was.
+    Votes that are computed, not looked up, are checked on entry (``checked_vote``): as
+    many values as there are classes, NaN as NULL. ``n_classes`` is that of the voters
+    unless given; voters that do not tell theirs are checked only if it is given.
     """
-    return rows.coalesce(max(1, math.ceil(n_rows / ROWS_PER_TASK)))
-
-
-def fit_alone(member: Member, rows: DataFrame) -> Voter:
-    """Train on rows that are not cached; few rows are gathered into few tasks first."""
-    n_tasks = max(1, math.ceil(rows.count() / ROWS_PER_TASK))
-    return member.fit(rows.repartition(n_tasks) if n_tasks < rows.rdd.getNumPartitions() else rows)
-
-
-def with_votes(rows: DataFrame, voters: Sequence[Voter]) -> DataFrame:
-    """Append ``votes ARRAY<ARRAY<DOUBLE>>``: every member asked once per row."""
     names = [f"_v{k}" for k in range(len(voters))]
     scored = rows
     for name, voter in zip(names, voters):
         scored = voter.vote(scored, name)
-    return scored.select(*rows.columns, F.array(*names).alias("votes"))
+    votes = [
+        F.col(name) if wanted is None or getattr(voter, "hard", False) else checked_vote(F.col(name), wanted)
+        for name, voter in zip(names, voters)
+        for wanted in [n_classes or getattr(voter, "n_classes", None)]
+    ]
+    return scored.select(*rows.columns, F.array(*votes).alias("votes"))

@@ -16,13 +16,13 @@ def out_of_bag_decisions(rows: DataFrame, config: CoTrainConfig, ks: list[int] |
     """``rows`` (with ``bag`` and ``votes``) once per member ``k``, judged by the other
     members that did not train on the row."""
     ks = list(range(config.n_members)) if ks is None else ks
-    weights = voting.out_of_bag_but(F.col("k"), F.col("bag"), config.n_members)
+    voters = voting.out_of_bag_but(F.col("k"), F.col("bag"), config.n_members)
     return voting.with_decision(
         each_member(rows, ks),
         config.n_members,
         config.n_classes,
         config.normaliser,
-        weights,
+        voters,
         keep_zeros=True,
     )
 
@@ -35,16 +35,13 @@ def labelled_errors(rows: DataFrame, config: CoTrainConfig) -> DataFrame:
     which carries K + 1 groups per task.
     """
     k = F.col("k")
-    weights = [
-        ((k == ENSEMBLE) | ((k != i) & (F.col("bag")[i] == 0))).cast("double")
-        for i in range(config.n_members)
-    ]
+    voters = [(k == ENSEMBLE) | ((k != i) & (F.col("bag")[i] == 0)) for i in range(config.n_members)]
     judged = voting.with_decision(
         each_member(rows.select("label", "bag", "votes"), [ENSEMBLE, *range(config.n_members)]),
         config.n_members,
         config.n_classes,
         config.normaliser,
-        weights,
+        voters,
         keep_zeros=True,
     )
     counted = voting.is_confident(F.col("confidence"), config.threshold)
@@ -72,9 +69,9 @@ def training_error(errors: DataFrame) -> DataFrame:
 def leave_one_out_decisions(rows: DataFrame, config: CoTrainConfig, ks: list[int] | None = None) -> DataFrame:
     """``rows`` (with ``votes``) once per member ``k``, judged by all other members."""
     ks = list(range(config.n_members)) if ks is None else ks
-    weights = voting.all_but(F.col("k"), config.n_members)
+    voters = voting.all_but(F.col("k"), config.n_members)
     return voting.with_decision(
-        each_member(rows, ks), config.n_members, config.n_classes, config.normaliser, weights
+        each_member(rows, ks), config.n_members, config.n_classes, config.normaliser, voters
     )
 
 
@@ -94,8 +91,8 @@ def pseudo_labels(sampled: DataFrame, config: CoTrainConfig, ks: list[int]) -> D
     ``sampled`` carries ``drawn`` and ``votes``.
     """
     mine = each_member(sampled, ks).filter(F.col("drawn")[F.col("k")])
-    weights = voting.all_but(F.col("k"), config.n_members)
-    judged = voting.with_decision(mine, config.n_members, config.n_classes, config.normaliser, weights)
+    voters = voting.all_but(F.col("k"), config.n_members)
+    judged = voting.with_decision(mine, config.n_members, config.n_classes, config.normaliser, voters)
     return _pseudo_labelled(judged, config)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from peerlabel.functions.hashing import WORD_RANGE, words
+from peerlabel.functions.hashing import WIDE_RANGE, WORD_RANGE, wide_words, words
 
 WORD_BITS = 32
 MAX_TOP_BITS = 16
@@ -34,6 +34,11 @@ def _keep_drawn(hashed: DataFrame, kept: list[str], flags: dict[int, Column], n_
     return hashed.select(*kept, chosen)
 
 
+def words_accepted(size: int, n_rows: int) -> int:
+    """How many of the 2^52 hash words are drawn, for ``size`` rows of ``n_rows`` on average."""
+    return min(WIDE_RANGE, -(-size * WIDE_RANGE // n_rows))
+
+
 def bernoulli_draw(
     rows: DataFrame,
     sizes: dict[int, int],
@@ -46,13 +51,12 @@ def bernoulli_draw(
     """Keep each row for member k with probability ``min(1, sizes[k] / n_rows)``.
 
     One pass for all members. Only the row id is looked at, so rows nobody drew
-    are dropped before any member is asked about them.
+    are dropped before any member is asked about them. Hash words of 52 bits keep the
+    probability true to 2^-52, whatever the size of the table.
     """
-    hashed = _with_words(rows, sizes, n_members, seed, round_no, row_id)
-    flags = {
-        k: F.col(f"_w{k}") / F.lit(float(WORD_RANGE)) < F.lit(min(1.0, n / n_rows))
-        for k, n in sizes.items()
-    }
+    every = wide_words(F.col(row_id), f"{seed}:sub:{round_no}", n_members)
+    hashed = rows.withColumns({f"_w{k}": every[k] for k in sorted(sizes)})
+    flags = {k: F.col(f"_w{k}") < F.lit(words_accepted(n, n_rows)) for k, n in sizes.items()}
     return _keep_drawn(hashed, rows.columns, flags, n_members)
 
 

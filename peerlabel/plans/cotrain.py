@@ -8,7 +8,7 @@ executor's share is recomputed to the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -19,7 +19,7 @@ from peerlabel.config import CoTrainConfig
 from peerlabel.functions import gates, voting
 from peerlabel.operators import rounds
 from peerlabel.operators.bags import in_bag_rows, in_bag_rows_of_all, each_member, with_bags
-from peerlabel.operators.members import Member, Voter, fit_members, in_few_tasks, with_votes
+from peerlabel.operators.members import Member, Voter, fit_members, with_votes
 from peerlabel.operators.subsample import draw
 from peerlabel.sources.tables import local_table
 
@@ -51,21 +51,32 @@ class CoTrainResult:
         names = [column.split()[0] for column in HISTORY_SCHEMA.split(", ")]
         return local_table(spark, [tuple(r[n] for n in names) for r in self.rounds], HISTORY_SCHEMA)
 
-    def score(self, rows: DataFrame, voters: list[Voter] | None = None) -> DataFrame:
-        """``rows`` with ``prediction`` and ``confidence`` of the whole ensemble."""
+    def score(self, rows: DataFrame, voters: list[Voter] | None = None, dist: bool = False) -> DataFrame:
+        """``rows`` with ``prediction`` and ``confidence`` of the whole ensemble, and with
+        its distribution over the classes if ``dist``."""
         c = self.config
-        voted = with_votes(rows, self.voters if voters is None else voters)
-        return voting.classify(voted, c.n_members, c.n_classes, c.normaliser).drop("votes", "dist")
+        voted = with_votes(rows, self.voters if voters is None else voters, c.n_classes)
+        scored = voting.classify(voted, c.n_members, c.n_classes, c.normaliser).drop("votes")
+        return scored if dist else scored.drop("dist")
 
 
 def cotrain(
-    labelled: DataFrame, unlabelled: DataFrame, members: Sequence[Member], config: CoTrainConfig
+    labelled: DataFrame,
+    unlabelled: DataFrame,
+    members: Sequence[Member],
+    config: CoTrainConfig,
+    featurise: Callable[[DataFrame], DataFrame] | None = None,
 ) -> CoTrainResult:
     """Train ``members`` on ``labelled`` and let them label ``unlabelled`` for each other.
 
     ``labelled`` has ``row_id``, the members' feature column and ``label`` in 0..C-1;
     ``unlabelled`` the first two. Row ids must be unique within each table.
+
+    With ``featurise`` the tables hold raw columns instead of features. It makes the feature
+    column from them, row by row, keeping the other columns, and is called on the
+    rows drawn in a round, not on the whole unlabelled table.
     """
+    featurise = featurise or (lambda rows: rows)
     config = config.for_members(len(members))
     feature_col = members[0].feature_col
     if any(m.feature_col != feature_col for m in members):
@@ -73,13 +84,13 @@ def cotrain(
     # Only the exact bootstrap needs the size beforehand; ids alone are read for it.
     n_draws = labelled.count() if config.bootstrap == "exact" else None
     bagged = with_bags(
-        labelled.select("row_id", feature_col, F.col("label").cast("int").alias("label")),
+        featurise(labelled).select("row_id", feature_col, F.col("label").cast("int").alias("label")),
         config.n_members,
         config.bootstrap,
         config.seed,
         n_draws,
     ).persist(StorageLevel.MEMORY_AND_DISK)
-    pool = unlabelled.select("row_id", feature_col)
+    pool = unlabelled
     if config.persist_inputs:
         pool = pool.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -88,7 +99,7 @@ def cotrain(
         n_unlabelled = pool.count()
         if n_unlabelled == 0:
             raise ValueError("there are no unlabelled rows")
-        return _run(bagged, pool, n_labelled, n_unlabelled, members, feature_col, config)
+        return _run(bagged, pool, n_labelled, n_unlabelled, members, feature_col, config, featurise)
     finally:
         bagged.unpersist()
         if config.persist_inputs:
@@ -109,46 +120,36 @@ def _checked_size(labelled, config):
     return size.n
 
 
-def _run(bagged, pool, n_labelled, n_unlabelled, members, feature_col, config):
+def _run(bagged, pool, n_labelled, n_unlabelled, members, feature_col, config, featurise):
     spark = bagged.sparkSession
     everyone = list(range(config.n_members))
-    voters = bagged_voters(bagged, members, config, n_labelled)
+    voters = bagged_voters(bagged, members, config)
     result = CoTrainResult(config, list(voters), voters, [], n_labelled, n_unlabelled)
     states = [MemberState() for _ in everyone]
 
     for round_no in range(config.max_rounds):
-        opened = _open_round(with_votes(bagged, voters), states, n_unlabelled, config)
+        opened = start_round(with_votes(bagged, voters, config.n_classes), states, n_unlabelled, config)
         sizes = {k: row["n"] for k, row in opened.items() if row["gate1"]}
         if sizes:
-            sampled = with_votes(
-                draw(
-                    config.subsample,
-                    pool,
-                    sizes,
-                    n_unlabelled,
-                    config.n_members,
-                    config.seed,
-                    round_no,
-                ),
-                voters,
-            ).persist(StorageLevel.MEMORY_AND_DISK)
+            drawn = draw(
+                config.subsample, pool, sizes, n_unlabelled, config.n_members, config.seed, round_no
+            )
+            features = featurise(drawn).select("row_id", feature_col, "drawn")
+            sampled = with_votes(features, voters, config.n_classes).persist(StorageLevel.MEMORY_AND_DISK)
         else:
             sampled = None
         try:
-            closed = _close_round(sampled, opened, sorted(sizes), config, spark)
+            closed = finish_round(sampled, opened, sorted(sizes), config, spark)
             updated = [k for k in everyone if closed[k]["updated"]]
             result.rounds.extend({"round": round_no, "k": k, **closed[k]} for k in everyone)
             replaced = fit_members(
                 members,
                 updated,
-                lambda k: in_few_tasks(
-                    rounds.retraining_rows(
-                        bagged,
-                        rounds.pseudo_labels_of(sampled, config, k),
-                        feature_col,
-                        config.retrain_weights,
-                    ),
-                    n_labelled + closed[k]["li_size"],
+                lambda k: rounds.retraining_rows(
+                    bagged,
+                    rounds.pseudo_labels_of(sampled, config, k),
+                    feature_col,
+                    config.retrain_weights,
                 ),
                 lambda ks: rounds.retraining_rows(
                     each_member(bagged, ks),
@@ -203,7 +204,10 @@ def close_round(weighed: DataFrame) -> DataFrame:
     )
 
 
-def _open_round(voted, states, n_unlabelled, config) -> dict[int, dict]:
+def start_round(
+    voted: DataFrame, states: Sequence[MemberState], n_unlabelled: int, config: CoTrainConfig
+) -> dict[int, dict]:
+    """What ``open_round`` says of every member, measured on labelled rows with votes."""
     measured = {row["k"]: row for row in rounds.labelled_errors(voted, config).collect()}
     whole = measured.pop(rounds.ENSEMBLE)
     state = local_table(
@@ -220,7 +224,10 @@ def _open_round(voted, states, n_unlabelled, config) -> dict[int, dict]:
     return {row["k"]: {**row.asDict(), "train_error": train_error} for row in opened.collect()}
 
 
-def _close_round(sampled, opened, drawn, config, spark) -> dict[int, dict]:
+def finish_round(
+    sampled: DataFrame | None, opened: dict[int, dict], drawn: list[int], config: CoTrainConfig, spark
+) -> dict[int, dict]:
+    """What ``close_round`` says of every member, given the rows drawn for members ``drawn``."""
     everyone = list(range(config.n_members))
     weights = {k: (0, 0.0) for k in everyone}
     if drawn:
@@ -242,18 +249,15 @@ def _close_round(sampled, opened, drawn, config, spark) -> dict[int, dict]:
     return closed
 
 
-def bagged_voters(
-    bagged: DataFrame, members: Sequence[Member], config: CoTrainConfig, n_rows: int | None = None
-) -> list[Voter]:
-    """Round 0: every member trained on its own bag; ``n_rows`` if ``bagged`` is cached."""
+def bagged_voters(bagged: DataFrame, members: Sequence[Member], config: CoTrainConfig) -> list[Voter]:
+    """Round 0: every member trained on its own bag."""
     config = config.for_members(len(members))
     ks = list(range(config.n_members))
-
-    def rows_of(k):
-        rows = in_bag_rows(bagged, k)
-        return rows if n_rows is None else in_few_tasks(rows, n_rows)
-
     fitted = fit_members(
-        members, ks, rows_of, lambda wanted: in_bag_rows_of_all(bagged, wanted), config.parallelism
+        members,
+        ks,
+        lambda k: in_bag_rows(bagged, k),
+        lambda wanted: in_bag_rows_of_all(bagged, wanted),
+        config.parallelism,
     )
     return [fitted[k] for k in ks]

@@ -72,12 +72,3 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     arrays = [pa.array([r[i] for r in rows], types[kind]) for i, (_, kind) in enumerate(fields)]
     return spark.createDataFrame(pa.table(arrays, names=[name for name, _ in fields]), schema)
 
-
-def spread(rows: DataFrame, n_partitions: int | None = None) -> DataFrame:
-    """Repartition a table that is read in fewer tasks than there are cores.
-
-    Meant before costly per-row work on small inputs; a large table already has
-    more partitions and is returned as it is, without a shuffle.
-    """
-    wanted = n_partitions or rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(wanted) if rows.rdd.getNumPartitions() < wanted else rows

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import HashingTF, OneHotEncoder
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peerlabel.sources.tables import spread
-
 # Label order and the stop words that mark the languages.
 LANGUAGES = ("de", "en", "es", "fr")
 STOP_WORDS = ("the", "der", "el", "le", "und", "los", "les", "and")
@@ -46,12 +44,35 @@ def _hashed_words(rows: DataFrame, n_features: int) -> DataFrame:
     return counts.transform(words).drop("_words")
 
 
-def docs_lang(spark: SparkSession, sf_dir: str, n_features: int = 64) -> DataFrame:
-    """``(row_id, features, label)``: hashed word counts of the whole text, language."""
-    rows = spread(table(spark, sf_dir, "documents")).select(
+def docs_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(row_id, text, label)``: whole texts and their language."""
+    return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("row_id"), "text", _language_label().alias("label")
     )
-    return _hashed_words(rows, n_features).select("row_id", "features", "label")
+
+
+def word_features(rows: DataFrame, n_features: int = 64) -> DataFrame:
+    """``rows`` with hashed word counts in ``features`` instead of ``text``; row by row."""
+    return _hashed_words(rows, n_features).drop("text")
+
+
+def docs_lang(spark: SparkSession, sf_dir: str, n_features: int = 64) -> DataFrame:
+    """``(row_id, features, label)``: hashed word counts of the whole text, language."""
+    return word_features(docs_text(spark, sf_dir), n_features).select("row_id", "features", "label")
+
+
+def docs_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``docs_flags`` with ``features``, a vector with a one at the row's code."""
+    n_codes = 1 << len(STOP_WORDS)
+    codes = spark.range(n_codes).select(F.col("id").cast("double").alias("_code"))
+    encoder = OneHotEncoder(inputCols=["_code"], outputCols=["features"], dropLast=False).fit(codes)
+    return encoder.transform(docs_flags(spark, sf_dir).withColumn("_code", F.col("code").cast("double"))).drop("_code")
+
+
+def docs_flag_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``docs_flags`` with ``features``, a vector of the flags themselves."""
+    flags = F.array(*[(F.shiftright("code", bit) % 2).cast("double") for bit in range(len(STOP_WORDS))])
+    return docs_flags(spark, sf_dir).withColumn("features", array_to_vector(flags))
 
 
 def docs_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +95,7 @@ def docs_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         share(r"[^\p{Punct}]"),
         share(r"[^\p{Lu}]"),
     )
-    documents = spread(table(spark, sf_dir, "documents")).select("doc_id", statistics.alias("_numbers"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", statistics.alias("_numbers"))
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
     return documents.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("row_id"), array_to_vector("_numbers").alias("features"), "label"

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from peerlabel.functions.hashing import row_key, uniform
+from peerlabel.functions.hashing import row_key, uniform, wide_words
 from peerlabel.operators import bags, subsample
 from peerlabel.sources import splits
 
@@ -46,6 +46,15 @@ def test_row_key_tells_rows_apart(spark):
     assert rows.select(row_key(["p", "q"])).distinct().count() == 4
 
 
+def test_small_shares_are_not_rounded_up(spark):
+    """A draw of 100 of 10^12 rows accepts that share of the words, to 2^-52."""
+    for size, n in ((100, 10**12), (1, 3 * 10**9), (5, 5), (7, 3), (0, 9)):
+        accepted = subsample.words_accepted(size, n) / 2**52
+        assert 0 <= accepted - min(1, size / n) <= 2**-52
+    word = spark.range(1).select(wide_words(F.lit(42), "1:sub:0", 3)[2]).first()[0]
+    assert word == int(hashlib.md5(b"42:1:sub:0:1").hexdigest()[:13], 16)
+
+
 def test_poisson_bags(ids):
     bagged = bags.poisson_bags(ids.repartition(6), 6, seed=5)
     again = bags.poisson_bags(ids.coalesce(2), 6, seed=5)

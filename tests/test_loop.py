@@ -72,6 +72,53 @@ def test_stops_when_nobody_changes(flags):
     assert all(row["err"] is None and not row["gate1"] for row in result.rounds)
 
 
+def test_runs_until_nobody_changes(flags):
+    """Without a cap of its own, a run ends with a round without updates, after others."""
+    result = run(flags, CoTrainConfig(n_classes=4))
+    updates = {}
+    for row in result.rounds:
+        updates[row["round"]] = updates.get(row["round"], 0) + row["updated"]
+    assert len(updates) > 2 and len(updates) < 100
+    assert updates.pop(max(updates)) == 0 and all(updates.values())
+
+
+def test_features_are_made_for_drawn_rows_only(spark, flags, usual):
+    """Raw rows and a step that makes features give the run that ready features give."""
+    raw = flags.withColumnRenamed("code", "raw")
+    asked = []
+
+    def featurise(rows):
+        asked.append(rows)
+        return rows.withColumn("code", F.col("raw"))
+
+    parts = splits.with_part(raw, splits.TENTH, 1)
+    members = bucket_members(5, 4, len(views.STOP_WORDS), 5)
+    result = cotrain(
+        splits.part_of(parts, "labelled"),
+        splits.part_of(parts, "unlabelled", drop_label=True),
+        members,
+        CoTrainConfig(n_classes=4, max_rounds=2),
+        featurise,
+    )
+    assert result.rounds == usual.rounds and result.voters == usual.voters
+    assert "drawn" not in asked[0].columns and all("drawn" in rows.columns for rows in asked[1:])
+
+
+def test_separate_test_tables_and_distributions(spark, flags, usual):
+    train, test = flags.filter("row_id % 3 > 0"), flags.filter("row_id % 3 = 0")
+    members = bucket_members(3, 4, len(views.STOP_WORDS), 5)
+    job = cotrain_split(train, members, CoTrainConfig(n_classes=4, max_rounds=1), test=test)
+    assert job.test_errors().first().n_rows == test.count()
+    assert job.result.n_labelled + job.result.n_unlabelled == train.count()
+    partly = train.withColumn("label", F.when(F.col("row_id") % 5 == 0, F.col("label")))
+    job = cotrain_partly_labelled(partly, members, CoTrainConfig(n_classes=4, max_rounds=1), test=test)
+    assert job.test_errors().first().n_rows == test.count()
+    assert supervised_baseline(train, members[0], 4, test=test).first().n_rows == test.count()
+    scored = usual.score(flags, dist=True)
+    assert "dist" in scored.columns and "dist" not in usual.score(flags).columns
+    assert scored.filter("confidence <> array_max(dist)").count() == 0
+
+
 def test_scoring_a_stream(spark, testdata, flags, usual):
     """Scoring is a narrow step, so a stream of documents gets the same answers."""
     folder = f"{testdata}/sf0.01"
@@ -98,9 +145,9 @@ def test_paper_preset(flags):
 
 
 def test_one_round_variants(spark, flags, usual):
-    """Uncached inputs change nothing, another seed does; caches are released."""
+    """Cached inputs change nothing, another seed does; caches are released."""
     before = len(spark.sparkContext._jsc.getPersistentRDDs())
-    plain = run(flags, CoTrainConfig(n_classes=4, max_rounds=1, persist_inputs=False))
+    plain = run(flags, CoTrainConfig(n_classes=4, max_rounds=1, persist_inputs=True))
     assert plain.rounds == usual.rounds[:5]
     assert run(flags, CoTrainConfig(n_classes=4, max_rounds=1, seed=2)).rounds != plain.rounds
     assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before

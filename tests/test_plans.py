@@ -69,6 +69,17 @@ def test_confidence_is_not_computed_twice(spark, sf, sampled):
     assert not [line for line in text.splitlines() if "Filter" in line and "greatest" in line]
 
 
+def test_features_lie_above_the_draw(spark, sf):
+    """Words are hashed for drawn rows only: the draw's explode is below that step."""
+    pool = splits.part_of(splits.with_part(views.docs_text(spark, sf), splits.TENTH, 1), splits.UNLABELLED)
+    drawn = subsample.bernoulli_draw(pool, {0: 10}, 180, q.K)
+    lines = plan(views.word_features(drawn)).splitlines()
+    explode = next(i for i, line in enumerate(lines) if "Generate explode" in line)
+    features = [i for i, line in enumerate(lines) if "features#" in line and "UDF" in line]
+    assert features and max(features) < explode
+    assert not [line for line in lines[explode:] if "split(" in line]
+
+
 def test_only_needed_columns_are_read(spark, sf):
     schema = re.search(r"ReadSchema: struct<([^>]*)>", plan(q.b5_bag_summary(spark, sf))).group(1)
     assert schema == "event_id:bigint"

@@ -2,7 +2,7 @@
 
 import pytest
 
-from peerlabel.sources.tables import MissingTable, parse_features, read_feature_table, read_table, spread
+from peerlabel.sources.tables import MissingTable, parse_features, read_feature_table, read_table
 
 
 def test_parse_by_name_and_position(spark):
@@ -41,9 +41,3 @@ def test_read_from_files_and_views(spark, tmp_path):
     raw.createOrReplaceTempView("raw_features")
     assert read_feature_table(spark, "raw_features").count() == 2
     spark.catalog.dropTempView("raw_features")
-
-
-def test_spread_leaves_wide_tables_alone(spark):
-    wide = spark.range(0, 100, 1, 16)
-    assert spread(wide, 8) is wide
-    assert spread(spark.range(0, 100, 1, 2), 8).rdd.getNumPartitions() == 8

@@ -113,6 +113,25 @@ def test_own_vote_does_not_count(spark):
     assert before.select("dist").first() == after.select("dist").first()
 
 
+@pytest.mark.parametrize("n_members", [4, 9])
+@pytest.mark.parametrize("normaliser", ["minmax", "sum"])
+def test_nan_and_null_votes(spark, n_members, normaliser):
+    """What a left-out member says does not matter, and no row is confident with a confidence
+    of NaN or NULL. One-member and joint forms agree."""
+    config = CoTrainConfig(n_classes=3, n_members=n_members, normaliser=normaliser)
+    plain = [[0.0, 1.0, 0.0]] * n_members
+    odd = [[None] * 3, [None, 1.0, 0.0], [float("nan"), 1.0, 0.0]]
+    data = [(i, [True] * n_members, [o, *plain[1:]]) for i, o in enumerate(odd)]
+    rows = spark.createDataFrame(data, "row_id INT, drawn ARRAY<BOOLEAN>, votes ARRAY<ARRAY<DOUBLE>>")
+    columns = ["k", "row_id", "pseudo_label", "confidence"]
+    ks = list(range(n_members))
+    joint = sorted(map(tuple, rounds.pseudo_labels(rows, config, ks).select(columns).collect()))
+    alone = [r for k in ks for r in rounds.pseudo_labels_of(rows, config, k).select(columns).collect()]
+    assert joint == sorted(map(tuple, alone))
+    assert [r for r in joint if r[0] == 0] == [(0, i, 1, 1.0) for i in range(3)]
+    assert not [r for r in joint if r[0] != 0 and (r[3] is None or np.isnan(r[3]))]
+
+
 def test_one_member_form_equals_joint_form(spark):
     config = CoTrainConfig(n_classes=3, n_members=4)
     random = np.random.default_rng(3)
