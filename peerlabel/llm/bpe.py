@@ -64,9 +64,9 @@ class Vocabulary:
 
     @staticmethod
     def _check(spec: dict) -> None:
-        model, pre = spec["model"], spec["pre_tokenizer"]
-        kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
-        splits = [p["type"] for p in pre["pretokenizers"]]
+        model = spec["model"]
+        kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", ())]
+        splits = [p["type"] for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", ())]
         plain = not any(t[k] for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word", "normalized"))
         known = (
             model["type"] == "BPE"

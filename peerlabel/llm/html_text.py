@@ -50,7 +50,7 @@ BARRIERS = frozenset("table td th caption html template".split())
 
 TAG = re.compile(
     r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)"
-    r"|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z))",
+    r"|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z))",
     re.S,
 )
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -348,7 +348,7 @@ def aligned(rows: list[list[tuple[list[str], int, int]]]) -> Iterator[str]:
         starts[column] = at
         at += widths.get(column, 0) + (2 if widths.get(column, 0) else 0)
     for line in placed:
-        for i in range(max((len(cell) for _, _, cell in line), default=0)):
+        for i in range(max((len(cell) for _, _, cell in line if any(cell)), default=0)):
             text = ""
             for column, _, cell in line:
                 if i < len(cell) and cell[i]:
@@ -356,8 +356,7 @@ def aligned(rows: list[list[tuple[list[str], int, int]]]) -> Iterator[str]:
                     if text and not text.endswith("  "):
                         text += "  "
                     text += cell[i]
-            if text.strip():
-                yield text.rstrip()
+            yield text.rstrip()
 
 
 def extract(html: str | None) -> str:

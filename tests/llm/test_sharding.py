@@ -1,0 +1,75 @@
+"""Hilbert curve and shards."""
+
+import itertools
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest_llm import with_clashes
+from peerlabel.llm import queries
+from peerlabel.llm.sharding import HilbertSharder, hilbert_index
+
+
+@pytest.mark.parametrize("n, bits", [(1, 3), (2, 1), (2, 4), (3, 1), (3, 3), (4, 2)])
+def test_neighbours_on_the_curve_touch(n, bits):
+    places = {hilbert_index(p, bits): p for p in itertools.product(range(1 << bits), repeat=n)}
+    assert sorted(places) == list(range(1 << (n * bits)))
+    for i in range(len(places) - 1):
+        assert sum(abs(a - b) for a, b in zip(places[i], places[i + 1], strict=True)) == 1
+
+
+def check_rows_law(rows, n_shards=8):
+    counts = [0] * n_shards
+    slots = {}
+    for r in rows:
+        counts[r.shard] += 1
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert max(counts) - min(counts) <= 1 and sum(counts) == len(rows)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 8, 9, 100])
+@pytest.mark.parametrize("rows_per_group", [3, 10**6])
+def test_rows_law(docs_of, n, rows_per_group):
+    docs = with_clashes(docs_of([f"text {i % 7} " * (i % 5) for i in range(n)]), "shard", "slot", "rank")
+    rows = HilbertSharder(rows_per_group=rows_per_group).assign(docs).collect()
+    assert len(rows) == n
+    check_rows_law(rows)
+    # The order is the curve's.
+    ordered = sorted(rows, key=lambda r: (r.shard, r.slot))
+    assert [r.curve for r in ordered] == sorted(r.curve for r in rows)
+
+
+def test_one_hot_cell_and_nulls(spark):
+    rows = [(i if i % 50 else None, "t", None if i % 3 else "en", "s" * (i % 2), None) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG")
+    check_rows_law(HilbertSharder(rows_per_group=50).assign(docs).collect())
+
+
+def test_same_shards_for_any_partitioning(some_docs):
+    sharder = HilbertSharder()
+    a = {r.doc_id: (r.shard, r.slot) for r in sharder.assign(some_docs).collect()}
+    b = {r.doc_id: (r.shard, r.slot) for r in sharder.assign(some_docs.repartition(7)).collect()}
+    assert a == b
+
+
+def test_query(spark, testdata):
+    folder = f"{testdata}/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = queries.op5_hilbert_shards(spark, folder).collect()
+    check_rows_law(rows)
+    for r in rows:
+        raw = texts[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 1, zlib.crc32(raw), "rows", None)
+
+
+def test_files_have_narrow_ranges(spark, tmp_path, docs_of):
+    docs = docs_of(["x" * (i % 97) for i in range(2000)]).withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 13))
+    sharder = HilbertSharder()
+    sharder.write(sharder.assign(docs), str(tmp_path / "shards"), files_per_shard=2)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert back.count() == 2000
+    ranges = back.groupBy("shard").agg(F.count_distinct("lang").alias("langs"), (F.max("n_chars") - F.min("n_chars")).alias("width"))
+    whole = 13 * 96
+    assert all(r.langs * r.width < whole * 0.6 for r in ranges.collect())
