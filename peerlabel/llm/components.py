@@ -21,16 +21,21 @@ def smallest_reachable(edges: DataFrame) -> DataFrame:
     Edges may repeat, point either way or be loops; vertices that are their component's
     smallest have no row.
     """
-    current = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    current, before = materialize(current, "edges"), None
+    current = edges.where("a <> b").select("a", "b")
     while True:
         large = _stars(_both_ways(current), larger_only=True)
         current = materialize(_stars(_both_ways(large), larger_only=False), "edges")
-        digest = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-        state = current.agg(F.count(F.lit(1)), digest).first()
-        if state == before:  # no edge moved: each vertex is linked to its smallest, and only to it
+        if _are_stars(current):
             return current.select(F.col("a").alias("id"), F.col("b").alias("root"))
-        before = state
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every vertex is a root, or has one edge, to a root."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(
+        edges.select(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("root"))
+    )
+    counts = ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("root").alias("root"))
+    return counts.where("up > 1 OR up = 1 AND root = 1").isEmpty()
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -44,5 +49,5 @@ def _stars(pairs: DataFrame, larger_only: bool) -> DataFrame:
     joined = pairs.join(least, pairs["a"] == least["hub"])
     linked = joined.where("b > hub" if larger_only else "b < hub").select(F.col("b").alias("a"), F.col("low").alias("b"))
     if not larger_only:
-        linked = linked.unionByName(least.select(F.col("hub").alias("a"), F.col("low").alias("b")))
-    return linked.where("a <> b").distinct()
+        linked = linked.unionByName(least.select(F.col("hub").alias("a"), F.col("low").alias("b"))).distinct()
+    return linked.where("a <> b")

@@ -14,10 +14,10 @@ documents share make no cells where there is anything else. Cells with the same
 set make a region. Below it, leaves of points carry boxes; pairs of leaves, then pairs of
 points, survive by the sum of minima. What survives is verified on the sets themselves.
 
-Most members of a region are copies of one another, so pairs are made in rounds: every set
-with one hub of its regions, as long as a region's components leave many more pairs than
-there are sets; then all pairs across components. Links between documents that are
-connected already are not looked for; no component is lost by that.
+Most members of a region are copies of one another, so pairs are made in three rounds:
+every set with the smallest one of its regions; every set with the one of another component
+whose bound is highest; all that the bound still allows between components. Links between
+documents that are connected already are not looked for; no component is lost by that.
 """
 
 from __future__ import annotations
@@ -42,8 +42,6 @@ LEAF_POINTS = 256
 GROUP_PAIRS = 500
 SMALL_TABLE = 500_000
 SAMPLE_OF = 8
-HUB_ROUNDS = 4
-CROWD = 8
 LEAF = (
     "region long, leaf long, members array<struct<id:long,component:long,n:long,vector:array<int>>>, "
     "low long, high long, box array<int>"
@@ -56,8 +54,8 @@ class NgramJoin:
     """``words`` a shingle; two sets link when 100 * intersection >= percent * union.
 
     ``dimensions`` of the points, ``leaf_points`` a leaf, ``group_pairs`` sent to a task
-    together, ``sample_of``, the share of texts that frequencies are taken from, and when to
-    end rounds of hubs (``hub_rounds`` at most, ``crowd`` pairs a place) do not change results.
+    together and ``sample_of``, the share of texts that frequencies are taken from, do not
+    change results.
     """
 
     words: int = WORDS
@@ -66,8 +64,6 @@ class NgramJoin:
     leaf_points: int = LEAF_POINTS
     group_pairs: int = GROUP_PAIRS
     sample_of: int = SAMPLE_OF
-    hub_rounds: int = HUB_ROUNDS
-    crowd: int = CROWD
 
     def components(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(id, n_shingles, component_id) per row of ``docs``.
@@ -83,8 +79,7 @@ class NgramJoin:
             F.min("id").alias("rep"), F.min("n").alias("n"), F.first("vector").alias("vector")
         )
         reps = materialize(reps, "distinct-sets")
-        links = self.links(named, reps)
-        roots = smallest_reachable(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        roots = self.roots(named, reps)
         labels = reps.join(roots, reps["set_id"] == roots["id"], "left").select(
             "set_id", F.coalesce("root", "set_id").alias("root"), "rep"
         )
@@ -128,24 +123,27 @@ class NgramJoin:
 
         return named.select(*others, "text").mapInArrow(run, schema)
 
-    # -- links
+    # -- components
 
-    def links(self, named: DataFrame, reps: DataFrame) -> DataFrame:
-        """(x, y) pairs of linked ``set_id``s: enough of them that whoever is connected by
-        links of any kind is connected by these."""
+    def roots(self, named: DataFrame, reps: DataFrame) -> DataFrame:
+        """(id, root): the smallest ``set_id`` that links reach, of sets that reach a smaller."""
         regions = self._regions(named)
-        pairs = links = None
-        hub_round, last = 0, False
-        while not last:
-            placed = self._placed(regions, links)
-            last = links is not None and (hub_round == self.hub_rounds or not self._crowded(placed))
-            found = self._across(placed, reps) if last else self._bounded(self._with_hubs(placed, hub_round), reps)
-            found = materialize(found if pairs is None else found.join(pairs, ["x", "y"], "left_anti"), "pairs")
-            linked = materialize(self._verified(found, named, reps), "links")
-            pairs = found if pairs is None else pairs.unionByName(found)
-            links = linked if links is None else links.unionByName(linked)
-            hub_round += 1
-        return links
+        chosen = regions.where("id <> region").groupBy(F.col("id").alias("x")).agg(F.min("region").alias("y"))
+        pairs = materialize(self._bounded(chosen, reps), "pairs")
+        roots = self._joined(pairs, named, reps, None)
+        for best_only in (True, False):
+            found = self._across(self._placed(regions, roots), reps, best_only)
+            found = materialize(found.join(pairs, ["x", "y"], "left_anti"), "pairs")
+            roots = self._joined(found, named, reps, roots)
+            pairs = pairs.unionByName(found)
+        return roots
+
+    def _joined(self, pairs: DataFrame, named: DataFrame, reps: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """``roots`` with the links among ``pairs``."""
+        links = self._verified(pairs, named, reps).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        if roots is not None:
+            links = links.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))
+        return smallest_reachable(materialize(links, "links"))
 
     def _frequent(self, named: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """Frequent shingles, sorted, and how often each was seen.
@@ -205,37 +203,14 @@ class NgramJoin:
         held = members.join(hubs, members["cell"] == hubs["of"]).select(F.col("hub").alias("region"), "id")
         return materialize(held.distinct(), "regions")
 
-    def _placed(self, regions: DataFrame, links: DataFrame | None) -> DataFrame:
+    def _placed(self, regions: DataFrame, roots: DataFrame) -> DataFrame:
         """(region, id, component) of the regions with more than one component."""
-        if links is None:
-            return regions.withColumn("component", F.col("id"))
-        roots = smallest_reachable(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
         roots = roots.select(F.col("id").alias("of"), "root")
         placed = regions.join(roots, regions["id"] == roots["of"], "left").select(
             "region", "id", F.coalesce("root", "id").alias("component")
         )
         mixed = placed.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        return materialize(placed.join(mixed.where("low < high").select("region"), "region"), "placed")
-
-    def _crowded(self, placed: DataFrame) -> bool:
-        """Whether pairs across components outnumber the places by far."""
-        sizes = placed.groupBy("region", "component").agg(F.count(F.lit(1)).cast("double").alias("n"))
-        crossing = sizes.groupBy("region").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("p"))
-        pairs = crossing.agg(F.sum("p")).first()[0] or 0.0
-        return pairs > self.crowd * placed.count()
-
-    def _with_hubs(self, placed: DataFrame, hub_round: int) -> DataFrame:
-        """(x, y): every set with one of the hubs of its regions, of another component.
-
-        A region's hub is its smallest set, in later rounds the first by a hash."""
-        order = F.struct(F.lit(0).alias("h"), "id") if not hub_round else F.struct(
-            F.xxhash64("id", F.lit(hub_round)).alias("h"), "id"
-        )
-        hubs = placed.groupBy("region").agg(F.min(F.struct(order.alias("o"), "component")).alias("hub"))
-        hubs = hubs.select("region", F.col("hub.o.id").alias("hub"), F.col("hub.component").alias("hub_component"))
-        with_hub = placed.join(hubs, "region").where("component <> hub_component")
-        chosen = with_hub.groupBy("id").agg(F.min("hub").alias("hub"))
-        return chosen.select(F.greatest("id", "hub").alias("x"), F.least("id", "hub").alias("y"))
+        return placed.join(mixed.where("low < high").select("region"), "region")
 
     def _bounded(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
         """``pairs`` whose overlap may be large enough, by the sum of minima."""
@@ -275,10 +250,11 @@ class NgramJoin:
 
         sets = self._mapped(wanted, columns, "shingles binary")
         grouped = sets.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("of") != F.col("hub"))
-        return grouped.mapInArrow(_linked_to_hub(self.percent), "x long, y long").distinct()
+        return grouped.mapInArrow(_linked_to_hub(self.percent), "x long, y long")
 
-    def _across(self, placed: DataFrame, reps: DataFrame) -> DataFrame:
-        """Pairs of different components of a region, by a join of leaves."""
+    def _across(self, placed: DataFrame, reps: DataFrame, best_only: bool) -> DataFrame:
+        """Pairs of different components of a region whose bound allows a link, by a join of
+        leaves; or for each set only the one with the highest bound."""
         sized = reps.select(F.col("set_id").alias("of"), "n", "vector")
         kept = placed.join(sized, placed["id"] == sized["of"])
         # Leaves are runs of members of like size and like counts.
@@ -302,14 +278,20 @@ class NgramJoin:
             for batch in batches:
                 same, left, right = batch.columns
                 found = [
-                    leaf_pairs(_Leaf(left[row]), _Leaf(right[row]), same[row].as_py(), percent)
+                    leaf_pairs(_Leaf(left[row]), _Leaf(right[row]), same[row].as_py(), percent, best_only)
                     for row in range(batch.num_rows)
                 ]
-                x, y = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
+                columns = [np.concatenate([f[i] for f in found]) if found else [] for i in range(3)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)],
+                    ["p", "q", "score"],
+                )
 
         chosen = pairs.select((F.col("leaf_a") == F.col("leaf_b")).alias("same"), "members_a", "members_b")
-        return chosen.mapInArrow(run, "x long, y long").distinct()
+        found = chosen.mapInArrow(run, "p long, q long, score double")
+        if best_only:
+            found = found.groupBy("p").agg(F.max_by("q", F.struct("score", "q")).alias("q"))
+        return found.select(F.greatest("p", "q").alias("x"), F.least("p", "q").alias("y")).distinct()
 
 
 class _Leaf:
@@ -330,17 +312,25 @@ def _boxed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def leaf_pairs(a: _Leaf, b: _Leaf, same: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of points of different components whose bound allows a link."""
-    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def leaf_pairs(
+    a: _Leaf, b: _Leaf, same: bool, percent: int, best_only: bool
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(p, q, similarity at most) of points of different components whose bound allows a link:
+    each pair once, or with ``best_only`` the best partner of each point of either leaf."""
+    bound = np.zeros((len(a.id), len(b.id)))
     for i in range(len(a.id)):
-        j = np.flatnonzero(b.component != a.component[i])
-        j = j[j > i] if same else j
-        overlap = np.minimum(b.vector[j], a.vector[i]).sum(axis=1, dtype=np.int64)
-        j = j[overlap * (100 + percent) >= percent * (b.size[j] + a.size[i])]
-        xs.append(np.maximum(b.id[j], a.id[i]))
-        ys.append(np.minimum(b.id[j], a.id[i]))
-    return np.concatenate(xs), np.concatenate(ys)
+        overlap = np.minimum(b.vector, a.vector[i]).sum(axis=1, dtype=np.int64)
+        total = b.size + a.size[i]
+        allowed = (b.component != a.component[i]) & (overlap * (100 + percent) >= percent * total)
+        bound[i] = np.where(allowed, overlap / (total - np.minimum(overlap, total // 2)), 0)
+    if best_only:
+        i, j = np.arange(len(a.id)), bound.argmax(axis=1)
+        k, m = bound.argmax(axis=0), np.arange(len(b.id))
+        p, q = np.concatenate([a.id[i], b.id[m]]), np.concatenate([b.id[j], a.id[k]])
+        score = np.concatenate([bound[i, j], bound[k, m]])
+        return p[score > 0], q[score > 0], score[score > 0]
+    i, j = np.nonzero(np.triu(bound, 1) if same else bound)
+    return a.id[i], b.id[j], bound[i, j]
 
 
 def _linked_to_hub(percent: int):
