@@ -471,6 +471,41 @@ def all_sql() -> dict[str, str]:
         "d3_loo_dist": statement(
             first + loo + decision_steps("loo", "loo_sums", config.normaliser), spread_dist("loo", "row_id, k")
         ),
+        "d2_scored_dist": statement(
+            round0 + retrain_steps(0, config) + ensemble_steps(1, config.normaliser),
+            f"SELECT row_id, {columns('max(p) FILTER (WHERE c = {i}) AS p_{i}', C)}, any_value(decision) AS prediction "
+            "FROM ens_1_dist JOIN ens_1 USING (row_id) GROUP BY row_id",
+        ),
+        "d3_soft_loo": statement(
+            [
+                *first,
+                (
+                    "shares",
+                    "SELECT k, code & mask AS bucket, label, sum(w)::DOUBLE / sum(sum(w)) OVER (PARTITION BY k, code & mask) "
+                    "AS p FROM bag_rows GROUP BY k, code & mask, label",
+                ),
+                (
+                    "overall",
+                    "SELECT k, label, sum(w)::DOUBLE / sum(sum(w)) OVER (PARTITION BY k) AS p FROM bag_rows GROUP BY k, label",
+                ),
+                (
+                    "soft",
+                    "SELECT d.row_id, m.k, c.c, coalesce(CASE WHEN EXISTS (SELECT 1 FROM shares x WHERE x.k = m.k AND "
+                    "x.bucket = d.code & m.mask) THEN s.p ELSE o.p END, 0)::DOUBLE AS p FROM docs d CROSS JOIN members m "
+                    "CROSS JOIN classes c "
+                    "LEFT JOIN shares s ON s.k = m.k AND s.bucket = d.code & m.mask AND s.label = c.c "
+                    "LEFT JOIN overall o ON o.k = m.k AND o.label = c.c",
+                ),
+                (
+                    "soft_sums",
+                    "SELECT row_id, t.k, c, sum(p) FILTER (WHERE soft.k <> t.k) AS s FROM soft CROSS JOIN members t "
+                    "GROUP BY row_id, t.k, c",
+                ),
+                *decision_steps("soft_loo", "soft_sums", "sum"),
+            ],
+            f"SELECT row_id, k, {columns('round(max(p) FILTER (WHERE c = {i}), 9) AS p_{i}', C)} "
+            "FROM soft_loo_dist GROUP BY row_id, k",
+        ),
         "d4_oob_loo_dist": statement(errors, spread_dist("oob_0", "row_id, k")),
         "d5_normalise_minmax": statement(
             lines, f"SELECT l_orderkey, l_linenumber, {columns('minmax_{i}', 4)} FROM d"

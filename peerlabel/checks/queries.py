@@ -28,8 +28,8 @@ CONFIG = CoTrainConfig(n_classes=C, n_members=K, init_s_prime=100.0, seed=SEED)
 PAPER = CoTrainConfig.preset("paper", C, n_members=K, threshold=0.6, seed=SEED)
 
 
-def flag_members():
-    return bucket_members(K, C, N_BITS, FLAGS_PER_MEMBER, SEED)
+def flag_members(soft=False):
+    return bucket_members(K, C, N_BITS, FLAGS_PER_MEMBER, SEED, soft=soft)
 
 
 # -- shared steps -------------------------------------------------------------
@@ -249,6 +249,20 @@ def d3_loo_dist(spark, sf):
     return judged.select("row_id", "k", *_spread(F.col("dist"), C))
 
 
+def d3_soft_loo(spark, sf):
+    """The same of members that vote with the shares of the classes in a row's bucket."""
+    voters = bagged_voters(_bagged(spark, sf), flag_members(soft=True), PAPER)
+    judged = rounds.leave_one_out_decisions(with_votes(views.docs_flags(spark, sf), voters), PAPER)
+    return judged.select("row_id", "k", *[F.round(F.col("dist")[c], 9).alias(f"p_{c}") for c in range(C)])
+
+
+def d2_scored_dist(spark, sf):
+    """The ensemble's distribution as ``score`` gives it, after one round."""
+    result = _loop(spark, sf, CoTrainConfig(n_classes=C, n_members=K, max_rounds=1, seed=SEED))
+    scored = result.score(views.docs_flags(spark, sf), dist=True)
+    return scored.select("row_id", *_spread(F.col("dist"), C), "prediction")
+
+
 def d4_oob_loo_dist(spark, sf):
     judged = rounds.out_of_bag_decisions(_voted_bagged(spark, sf), CONFIG)
     return judged.select("row_id", "k", *_spread(F.col("dist"), C))
@@ -472,7 +486,7 @@ REGISTERED = (
     b1_bag_counts, b2_exact_bootstrap, b3_inbag_rows, b4_oob_flags, b5_bag_summary,
     c1_bucket_votes, c2_lr_member, c3_hard_vote, c4_tree_member, c5_subspace_sizes,
     c6_round0_state, c7_baseline_error,
-    d1_member_votes, d2_ensemble_dist, d3_loo_dist, d4_oob_loo_dist, d5_normalise_minmax,
+    d1_member_votes, d2_ensemble_dist, d2_scored_dist, d3_loo_dist, d3_soft_loo, d4_oob_loo_dist, d5_normalise_minmax,
     d6_normalise_sum, d7_argmax, d8_confidence, d9_classify, d10_high_confidence,
     e1_oob_error, e2_draw_size, e3_subsample_bernoulli, e4_subsample_exact, e5_li_weight,
     e6_pseudo_labels, e8_gates, e9_retrain_set, e9_round1_votes, e11_loop_history,

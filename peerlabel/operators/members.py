@@ -198,12 +198,14 @@ def tree_members(
 
 @dataclass(frozen=True)
 class BucketVoter:
-    """Votes for the heaviest class of the row's bucket, by table lookup."""
+    """Votes for the heaviest class of the row's bucket, or with ``shares`` for all of its
+    classes by their shares, by table lookup."""
 
     winners: tuple[int, ...]
     n_classes: int
     feature_col: str
-    hard = True  # votes are one-hot by construction
+    shares: tuple[tuple[float, ...], ...] = ()  # by class, then code
+    hard = True  # votes are complete and finite by construction
 
     def predicted(self) -> Column:
         # Written as text so that the plan holds one literal, folded before execution.
@@ -211,7 +213,10 @@ class BucketVoter:
         return table[F.col(self.feature_col)]
 
     def vote(self, rows: DataFrame, out_col: str) -> DataFrame:
-        return rows.withColumn(out_col, hard_vote(self.predicted(), self.n_classes))
+        if not self.shares:
+            return rows.withColumn(out_col, hard_vote(self.predicted(), self.n_classes))
+        tables = [F.split(F.lit(",".join(map(repr, s))), ",").cast("array<double>") for s in self.shares]
+        return rows.withColumn(out_col, F.array(*[t[F.col(self.feature_col)] for t in tables]))
 
 
 @dataclass(frozen=True)
@@ -226,6 +231,7 @@ class BucketMember:
     n_bits: int
     n_classes: int
     feature_col: str = "code"
+    soft: bool = False
 
     def __post_init__(self):
         if not 0 < self.n_bits <= MAX_FLAG_BITS:
@@ -268,7 +274,11 @@ class BucketMember:
             _heaviest(buckets[code & self.mask]) if code & self.mask in buckets else majority
             for code in range(1 << self.n_bits)
         )
-        return BucketVoter(winners, self.n_classes, self.feature_col)
+        shares = ()
+        if self.soft:
+            weights = [buckets.get(code & self.mask, overall) for code in range(1 << self.n_bits)]
+            shares = tuple(tuple(w[c] / sum(w) for w in weights) for c in range(self.n_classes))
+        return BucketVoter(winners, self.n_classes, self.feature_col, shares)
 
 
 def _heaviest(weights: list[float]) -> int:
@@ -282,12 +292,14 @@ def bucket_members(
     flags_per_member: int,
     seed: int = 1,
     feature_col: str = "code",
+    soft: bool = False,
 ) -> list[BucketMember]:
-    """Lookup-table members, each on its own digest-chosen flags."""
+    """Lookup-table members, each on its own digest-chosen flags; ``soft`` ones vote with
+    the shares of the classes in a bucket."""
     masks = [
         sum(1 << j for j in subspace(n_bits, flags_per_member, k, seed)) for k in range(n_members)
     ]
-    return [BucketMember(mask, n_bits, n_classes, feature_col) for mask in masks]
+    return [BucketMember(mask, n_bits, n_classes, feature_col, soft) for mask in masks]
 
 
 # -- training and voting of the whole group -----------------------------------
