@@ -73,6 +73,8 @@ def per_text(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def duplicate_lines(words: bytewords.Words) -> np.ndarray:
     """Lines with a word that equal an earlier line of their text."""
     data, bounds = words.data, words.bounds
+    if not len(data):
+        return np.zeros(len(words), np.int64)
     breaks = np.flatnonzero(data == 0x0A)
     texts = np.flatnonzero(np.diff(bounds))
     start = np.union1d(breaks + 1, bounds[texts])
