@@ -74,7 +74,7 @@ def rule_spans(text: str) -> list[tuple[int, int, int]]:
 
 # -- word shapes --------------------------------------------------------------
 
-GROUPS = (8, 2, 5, 2, 6, 2, 2, 2, 5, 7, 7)
+GROUPS = (8, 2, 5, 2, 6, 2, 2, 2, 5, 7, 7, 3)
 _B = np.arange(256)
 DIGIT = (_B >= 48) & (_B <= 57)
 LETTER = (_B >= 65) & (_B <= 90) | (_B >= 97) & (_B <= 122) | (_B >= 128)
@@ -84,7 +84,8 @@ LENGTH_STEPS = np.array([3, 6, 12, 20])
 
 
 def shapes(words: bytewords.Words) -> np.ndarray:
-    """Features (words, groups): of each word's own bytes, and its neighbours' classes."""
+    """Features (words, groups): of each word's own bytes, its neighbours' classes, and
+    whether many digits pass the check that card numbers pass."""
     data, start, end = words.data, words.start, words.end
 
     def number(flags: np.ndarray) -> np.ndarray:
@@ -114,6 +115,9 @@ def shapes(words: bytewords.Words) -> np.ndarray:
     last[words.first] = True  # a text's first word has no neighbour before it
     out[1:, 9] = np.where(last[1:-1], 0, kind[:-1])
     out[:-1, 10] = np.where(last[1:-1], 0, kind[1:])
+    for i in np.flatnonzero((digits >= 12) & (digits <= 19)).tolist():
+        raw = data[start[i] : end[i]]
+        out[i, 11] = 1 + luhn(raw[DIGIT[raw]].tobytes().decode())
     return out
 
 
@@ -139,12 +143,12 @@ class PiiFinder:
         text, so the same table gives the same sample.
         """
         text = F.col(text_col)
-        sample = (
-            docs.where(text.rlike("[0-9@]"))
-            .select(text.alias("text"), F.xxhash64(F.col(id_col), text).alias("at"))
-            .orderBy("at")
-            .limit(self.sample_docs)
+        hashed = docs.where(text.rlike("[0-9@]")).select(
+            text.alias("text"), F.xxhash64(F.col(id_col), text).alias("at")
         )
+        # The hashes alone are sorted; the texts stay where they are.
+        last = hashed.select("at").orderBy("at").limit(self.sample_docs).agg(F.max("at")).first()[0]
+        sample = hashed.where(F.col("at") <= F.lit(last)).limit(self.sample_docs)
         return sample.select("text").mapInArrow(_labelled, "features array<array<int>>, labels array<int>")
 
     def train(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> crf.Crf | None:
