@@ -14,8 +14,8 @@ documents share make no cells where there is anything else. Cells with the same
 set make a region. Below it, leaves of points carry boxes; pairs of leaves, then pairs of
 points, survive by the sum of minima. What survives is verified on the sets themselves.
 
-Most members of a region are copies of one another, so pairs are made in three rounds:
-every set with the smallest one of its regions; every set with the one of another component
+Most members of a region are copies of one another, so pairs are made in rounds: every set
+with the smallest one of its regions; twice, every set with the one of another component
 whose bound is highest; all that the bound still allows between components. Links between
 documents that are connected already are not looked for; no component is lost by that.
 """
@@ -131,7 +131,7 @@ class NgramJoin:
         chosen = regions.where("id <> region").groupBy(F.col("id").alias("x")).agg(F.min("region").alias("y"))
         pairs = materialize(self._bounded(chosen, reps), "pairs")
         roots = self._joined(pairs, named, reps, None)
-        for best_only in (True, False):
+        for best_only in (True, True, False):
             found = self._across(self._placed(regions, roots), reps, best_only)
             found = materialize(found.join(pairs, ["x", "y"], "left_anti"), "pairs")
             roots = self._joined(found, named, reps, roots)
