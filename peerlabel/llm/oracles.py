@@ -79,7 +79,7 @@ MEASURES = (
     ("symbols", "n_symbols * 1000 // greatest(word_chars, 1)", 50, False),
     ("dup_lines", "n_dup_lines * 1000 // greatest(n_words, 1)", 60, False),
     ("repeats", "n_repeat_words * 1000 // greatest(n_words, 1)", 250, False),
-    ("long_words", "word_chars * 1000 // greatest(n_words, 1)", 7000, False),
+    ("long_words", "word_chars * 1000 // greatest(n_words, 1)", 10000, False),
     ("short_words", "word_chars * 1000 // greatest(n_words, 1)", 2500, True),
 )
 

@@ -132,7 +132,7 @@ MEASURES = (
     Measure("symbols", "n_symbols * 1000 DIV greatest(word_chars, 1)", 50),
     Measure("dup_lines", "n_dup_lines * 1000 DIV greatest(n_words, 1)", 60),
     Measure("repeats", "n_repeat_words * 1000 DIV greatest(n_words, 1)", 250),
-    Measure("long_words", "word_chars * 1000 DIV greatest(n_words, 1)", 7000),
+    Measure("long_words", "word_chars * 1000 DIV greatest(n_words, 1)", 10000),
     Measure("short_words", "word_chars * 1000 DIV greatest(n_words, 1)", 2500, low=True),
 )
 

@@ -18,7 +18,7 @@ def folder(spark, testdata, tmp_path_factory):
     docs = spark.read.parquet(f"{testdata}/sf0.001/documents.parquet")
     items = [r.text for r in spark.read.parquet(f"{testdata}/sf0.001/benchmark.parquet").collect()]
     rng = random.Random(9)
-    words = [f"word{i}" for i in range(900)]
+    words = [f"w{i}" for i in range(900)]
 
     def prose(n):
         return " ".join(rng.choice(words) for _ in range(n))
