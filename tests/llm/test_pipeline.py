@@ -1,5 +1,6 @@
 """The pipeline, stage by stage, on planted cases."""
 
+import itertools
 import random
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as pipeline
 from peerlabel.llm import pii
 
-PII = ("+1 (017) 555-7713", "some.one@mail4.example.com", "97.51.17.173", "4417744280351547")
+PII = ("+1 (017) 555-7713", "some.one@mail4.example.com", "97.51.17.173", "4111111111111111")
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +19,7 @@ def folder(spark, testdata, tmp_path_factory):
     docs = spark.read.parquet(f"{testdata}/sf0.001/documents.parquet")
     items = [r.text for r in spark.read.parquet(f"{testdata}/sf0.001/benchmark.parquet").collect()]
     rng = random.Random(9)
-    words = [f"w{i}" for i in range(900)]
+    words = ["".join(p) for p in itertools.product("aeiou", "bdfgklmnprst", ("", "n", "sta"), "aeiou")]
 
     def prose(n):
         return " ".join(rng.choice(words) for _ in range(n))
