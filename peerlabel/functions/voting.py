@@ -49,7 +49,9 @@ def _class_sums_by_lambda(n_classes: int, voters: Sequence[Column] | None) -> Co
     zeros = F.array_repeat(F.lit(0.0), n_classes)
     if voters is not None:
         votes = F.zip_with(votes, F.array(*voters), lambda v, keep: F.when(keep, v).otherwise(zeros))
-    return F.aggregate(votes, zeros, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
+    # From the first vote on: an array of zeros could not hold a NULL sum.
+    rest = F.slice(votes, F.lit(2), F.greatest(F.size(votes) - 1, F.lit(0)))
+    return F.aggregate(rest, votes[0], lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
 
 
 def checked_vote(vote: Column, n_classes: int) -> Column:
