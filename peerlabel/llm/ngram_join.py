@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from peerlabel.llm import bytewords
 from peerlabel.llm.bytewords import U64, mix
-from peerlabel.llm.common import materialize
+from peerlabel.llm.common import arrow_batches, materialize
 from peerlabel.llm.components import smallest_reachable
 
 WORDS = 5
@@ -42,6 +42,7 @@ LEAF_POINTS = 256
 GROUP_PAIRS = 500
 SMALL_TABLE = 500_000
 SAMPLE_OF = 8
+BATCH_ROWS = 500
 LEAF = (
     "region long, leaf long, members array<struct<id:long,component:long,n:long,vector:array<int>>>, "
     "low long, high long, box array<int>"
@@ -74,6 +75,11 @@ class NgramJoin:
         a NULL component and link nothing. Repeated rows stay.
         """
         named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        with arrow_batches(docs.sparkSession, BATCH_ROWS):
+            return self._components(named).withColumnRenamed("id", id_col)
+
+    def _components(self, named: DataFrame) -> DataFrame:
+        """All that runs Python is written to files in here."""
         sets = materialize(self.sets(named), "shingle-sets")
         reps = sets.where("n > 0 AND id IS NOT NULL").groupBy("set_id").agg(
             F.min("id").alias("rep"), F.min("n").alias("n"), F.first("vector").alias("vector")
@@ -87,7 +93,7 @@ class NgramJoin:
         found = labels.join(least, "root").select(F.col("set_id").alias("of"), "component_id")
         joined = sets.join(found, (sets["set_id"] == found["of"]) & (sets["n"] > 0), "left")
         own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-        return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
+        return joined.select("id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
     # -- sets and points
 
