@@ -25,7 +25,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from peerlabel.llm.common import text_or_empty
 
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 200_000
 IDS_BYTES = 16 << 20
 
 
@@ -101,12 +101,13 @@ class Vocabulary:
 
 @lru_cache(maxsize=2)
 def vocabulary_of(path: str) -> Vocabulary:
-    """Read once a Python worker, which keeps its encoded words from task to task."""
+    """Read once a Python worker; its encoded words are kept for one task only, since the
+    worker goes on to other stages."""
     return Vocabulary(path)
 
 
 class _Encoded(dict):
-    """Encoded words of a task, emptied when full."""
+    """Encoded words of a task, emptied when full and at its end."""
 
     def __init__(self, vocabulary: Vocabulary, limit: int):
         super().__init__()
@@ -209,6 +210,7 @@ class BpeCodec:
                 for ids in encode_texts(batch.column(1), vocabulary):
                     yield _digest(batch.column(0).slice(row, len(ids)), ids, vocabulary)
                     row += len(ids)
+            vocabulary.words.clear()
 
         return narrowed.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
@@ -227,6 +229,7 @@ class BpeCodec:
                     rows = batch.column(0).slice(done, len(made))
                     done += len(made)
                     yield pa.RecordBatch.from_arrays([rows, made], ["row", "made"])
+            vocabulary.words.clear()
 
         made = StructType([schema, StructField("made", kind)])
         mapped = narrowed.mapInArrow(run, made)
