@@ -2,8 +2,9 @@
 
 Every document gets counts by fixed rules. The counts of each (language, source) go
 into mergeable quantile sketches; their quantiles are the thresholds of that group,
-joined back to its documents. The sketches of small groups are merged into those of
-their language, and of small languages into one of all.
+joined back to its documents. Every group is judged by its own sketch, to which its language
+adds a fixed number of rows (and all rows to the language): they steady small groups and
+fade as a group grows. Word lengths are never taken from another language.
 """
 
 from __future__ import annotations
@@ -13,13 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peerlabel.llm import bytewords
 from peerlabel.llm.common import materialize
 
 WINDOW = 8
+GRID = 128  # values of a sketch that can become a threshold; those of 1/4 and 3/4 are among them
 LIMITS = "__limits"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -119,12 +121,15 @@ class Measure:
     A document is odd in it above the upper fence of its group, q75 + fence * (q75 - q25)
     (below the lower one, if ``low``), unless the score is still within ``allowed``: that
     much is never held against a document, however alike the others of its group are.
+    What is usual ``of_language`` tells nothing about other languages: there a language with
+    few rows has a wider fence instead of rows of others.
     """
 
     name: str
     expression: str
     allowed: int
     low: bool = False
+    of_language: bool = False
 
 
 # Scores are shares of a thousand, or thousandths, so that sketches hold integers.
@@ -132,17 +137,18 @@ MEASURES = (
     Measure("symbols", "n_symbols * 1000 DIV greatest(word_chars, 1)", 50),
     Measure("dup_lines", "n_dup_lines * 1000 DIV greatest(n_words, 1)", 60),
     Measure("repeats", "n_repeat_words * 1000 DIV greatest(n_words, 1)", 250),
-    Measure("long_words", "word_chars * 1000 DIV greatest(n_words, 1)", 10000),
-    Measure("short_words", "word_chars * 1000 DIV greatest(n_words, 1)", 2500, low=True),
+    Measure("long_words", "word_chars * 1000 DIV greatest(n_words, 1)", 10000, of_language=True),
+    Measure("short_words", "word_chars * 1000 DIV greatest(n_words, 1)", 2500, low=True, of_language=True),
 )
 
 
 @dataclass(frozen=True)
 class QualityRules:
-    """``min_rows``: a (language, source) with fewer documents uses its language's
-    thresholds, a language with fewer uses those of all. ``k`` is the sketches' size:
-    quantiles are exact up to about k documents a group, beyond that their rank is off
-    by about 1.7 / k of the group's documents.
+    """``min_rows``: a tenth as many rows of its language count with the rows of each
+    (language, source), and of all rows with those of each language, as if they were its own.
+    Measures of a language alone get min_rows / (rows of the language) of their quartile on
+    top of the fence instead. ``k`` is the sketches' size: quantiles are exact up to about k
+    documents a group, beyond that their rank is off by about 1.7 / k of the group's documents.
     """
 
     min_rows: int = 200
@@ -180,17 +186,44 @@ class QualityRules:
         langs = self._named(groups.groupBy("lang").agg(rows, *merged), "l_").withColumnRenamed("l_lang", "of")
         every = self._named(groups.agg(rows, *merged), "a_")
         levels = groups.join(langs, groups["lang"].eqNullSafe(langs["of"])).join(F.broadcast(every))
-        own, lang = F.col("rows") >= self.min_rows, F.col("l_rows") >= self.min_rows
         limits = []
         for m in self.measures:
-            sketch = F.when(own, F.col(m.name)).when(lang, F.col(f"l_{m.name}")).otherwise(F.col(f"a_{m.name}"))
-            q25 = F.kll_sketch_get_quantile_bigint(sketch, F.lit(0.25))
-            q75 = F.kll_sketch_get_quantile_bigint(sketch, F.lit(0.75))
+            q25, q75 = (self._quantile(m, share) for share in (0.25, 0.75))
             width = self.fence * (q75 - q25)
+            if m.of_language:
+                width = width + F.floor((q25 if m.low else q75) * self.min_rows / F.col("l_rows"))
             limits.append((q25 - width if m.low else q75 + width).alias(f"t_{m.name}"))
+        own, lang = F.col("rows") >= self.min_rows, F.col("l_rows") >= self.min_rows
+        # Says how far the rows of a group go; no threshold depends on it.
         level = F.when(own, "source").when(lang, "language").otherwise("all").alias("level")
         return levels.select("lang", "source", "rows", level, *limits)
 
+    def _quantile(self, m: Measure, share: float) -> Column:
+        """The smallest value that ``share`` of a group's rows do not exceed, the rows lent to
+        it included: its language's, to which all rows lend unless ``m`` is of the language.
+        """
+        lent = self.min_rows / 10
+        if m.of_language:
+            parts = [("", F.col("rows")), ("l_", F.lit(lent))]
+        else:
+            whole = F.col("l_rows") + lent
+            parts = [("", F.col("rows")), ("l_", lent * F.col("l_rows") / whole), ("a_", lent * lent / whole)]
+        grid = F.array(*(F.lit(i / GRID) for i in range(1, GRID + 1)))
+
+        def weighted(values, weight):
+            return F.transform(values, lambda v: F.struct(v.alias("value"), weight.cast("double").alias("weight")))
+
+        each = [weighted(F.kll_sketch_get_quantile_bigint(prefix + m.name, grid), weight) for prefix, weight in parts]
+        total = sum((weight for _, weight in parts[1:]), parts[0][1])
+        enough = share * GRID * total - 1e-6
+
+        def add(seen, point):
+            more = F.struct((seen["weight"] + point["weight"]).alias("weight"), point["value"].alias("value"))
+            return F.when(seen["weight"] >= enough, seen).otherwise(more)
+
+        start = F.struct(F.lit(0.0).alias("weight"), F.lit(None).cast("long").alias("value"))
+        return F.aggregate(F.sort_array(F.concat(*each)), start, add, lambda seen: seen["value"])
+
     def _named(self, df: DataFrame, prefix: str) -> DataFrame:
         return df.select(*(F.col(c).alias(prefix + c) for c in df.columns))
 

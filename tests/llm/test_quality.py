@@ -101,3 +101,43 @@ def test_null_groups_repeats_and_empty_tables(spark, docs_of):
     rows = quality.QualityRules().judge(bare.unionByName(bare)).collect()
     assert len(rows) == 8 and all(r.base_failed and not r.kept for r in rows)
     assert quality.QualityRules().judge(docs.limit(0)).count() == 0
+
+
+def styled(docs_of, parts):
+    """Documents of (number, word maker, lang, source) parts, ids from 0 on."""
+    rng = random.Random(5)
+    made, first = None, 0
+    for n, word, lang, source in parts:
+        texts = [" ".join(word(rng) for _ in range(40)) for _ in range(n)]
+        part = docs_of(texts, lang=lang, source=source).withColumn("doc_id", F.col("doc_id") + first)
+        made, first = (part if made is None else made.unionByName(part)), first + n
+    return made
+
+
+def english(rng):
+    return f"word{rng.randint(0, 300)}"
+
+
+def unspaced(rng):
+    return "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(rng.randint(25, 60)))
+
+
+@pytest.mark.parametrize("n", [1, 4, 30, 250])
+def test_word_length_of_a_rare_language_is_its_own(docs_of, n):
+    docs = styled(docs_of, [(400, english, "en", "web"), (n, unspaced, "zh", "web"), (n, unspaced, None, "news")])
+    assert quality.QualityRules().judge(docs).where("kept").count() == 400 + 2 * n
+
+
+@pytest.mark.parametrize("n", [60, 199, 200])
+def test_groups_under_min_rows_have_fences_of_their_own(docs_of, n):
+    code = lambda rng: english(rng) + rng.choice(["#", "##"])
+    docs = styled(docs_of, [(800, english, "en", "web"), (n, code, "en", "code"), (1, code, "en", "web")])
+    kept = {r.doc_id for r in quality.QualityRules().judge(docs).where("kept").collect()}
+    assert kept == set(range(800 + n))
+
+
+def test_rows_lent_keep_odd_documents_out_of_tiny_groups(docs_of):
+    junk = lambda rng: english(rng) + "###"
+    docs = styled(docs_of, [(300, english, "en", "web"), (2, english, "en", "tiny"), (1, junk, "en", "tiny"), (1, junk, "xx", "web")])
+    kept = {r.doc_id for r in quality.QualityRules().judge(docs).where("kept").collect()}
+    assert kept == set(range(302))
