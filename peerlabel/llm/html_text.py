@@ -22,8 +22,8 @@ from peerlabel.llm.common import text_or_empty
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = frozenset(
-    "head script style template noscript title iframe object svg math canvas audio video "
-    "select datalist noembed noframes".split()
+    "head script style template noscript title iframe object canvas audio video "
+    "datalist noembed noframes".split()
 )
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset "
@@ -46,6 +46,21 @@ IMPLIED = {
     "thead": (("thead", "tbody", "tfoot", "caption", "colgroup"), ("table",)),
     "tfoot": (("thead", "tbody", "tfoot", "caption", "colgroup"), ("table",)),
 }
+# Drawings show the text of their text elements, and HTML in a foreignObject.
+SVG_UNSEEN = frozenset("defs symbol clippath mask pattern marker metadata desc lineargradient radialgradient filter".split())
+MATH_UNSEEN = frozenset("annotation annotation-xml mphantom".split())
+#: Formulas place the parts of these apart.
+MATH_APART = frozenset(
+    "mfrac msub msup msubsup munder mover munderover mroot mmultiscripts mtable mtr mlabeledtr".split()
+)
+MATH_TOKENS = frozenset("mi mo mn ms mtext annotation-xml".split())
+#: HTML that ends a drawing or formula it stands in.
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li "
+    "listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+MOVED = re.compile(r"(?:^|\s)(?:x|y|dy)\s*=", re.I)
+BARE_SLASH = re.compile(r"=\s*[^\s\"'>]*/\Z")
 BARRIERS = frozenset("table td th caption html template".split())
 
 TAG = re.compile(
@@ -55,17 +70,31 @@ TAG = re.compile(
 )
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-HINTS = re.compile(r"hidden|style|colspan|rowspan|start|value|alt", re.I)
+HINTS = re.compile(r"hidden|style|colspan|rowspan|start|value|alt|display|visibility|select|multiple|size|label|disabled|systemlanguage", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    """``space`` is what the element belongs to and ``inside`` what its children do: "svg",
+    "text" (of a drawing), "math", or "" for HTML. ``moved``: placed apart from what precedes."""
+
+    __slots__ = ("tag", "attributes", "children", "space", "inside", "moved")
 
-    def __init__(self, tag: str, attributes: dict[str, str]):
-        self.tag, self.attributes = tag, attributes
+    def __init__(self, tag: str, attributes: dict[str, str], space: str = ""):
+        self.tag, self.attributes, self.space = tag, attributes, space
+        self.inside, self.moved = _inside(tag, space), False
         self.children: list[Node | str] = []
 
 
+def _inside(tag: str, space: str) -> str:
+    if tag in ("svg", "math"):
+        return tag
+    if space == "svg" and tag == "text":
+        return "text"
+    if tag == "foreignobject" or (space == "math" and tag in MATH_TOKENS):
+        return ""
+    return space
+
+
 def attributes_of(raw: str) -> dict[str, str]:
     if not raw or not HINTS.search(raw):
         return {}  # none that the renderer asks for
@@ -111,6 +140,11 @@ def _raw_end(html: str, tag: str, at: int) -> int:
 
 def open_element(stack: list[Node], tag: str, raw: str) -> Node | None:
     """Appends an element, after closing what it closes; returns it if it can hold content."""
+    if stack[-1].inside and tag in BREAKS_OUT:
+        while stack[-1].inside:
+            stack.pop()
+    if tag in ("select", "input", "textarea") and _close_up_to(stack, ("select",), BARRIERS) and tag == "select":
+        return None  # a second start tag ends the first
     if tag in CLOSES_P:
         _close_up_to(stack, ("p",), BARRIERS)
     implied = IMPLIED.get(tag)
@@ -120,9 +154,11 @@ def open_element(stack: list[Node], tag: str, raw: str) -> Node | None:
             barrier = ("table",) if tag != "td" and tag != "th" else barrier
         while _close_up_to(stack, inside, barrier):
             pass
-    node = Node(tag, attributes_of(raw))
+    node = Node(tag, attributes_of(raw), stack[-1].inside)
     stack[-1].children.append(node)
-    if tag in VOID:
+    if node.space:
+        node.moved = bool(MOVED.search(raw))
+    if tag in VOID or ((node.space or node.inside) and raw.endswith("/") and not BARE_SLASH.search(raw)):
         return None
     stack.append(node)
     return node
@@ -152,12 +188,64 @@ def close(stack: list[Node], tag: str) -> None:
 
 
 def hidden(node: Node) -> bool:
-    if node.tag in UNSEEN:
+    if node.tag in UNSEEN or node.tag in (MATH_UNSEEN if node.space == "math" else SVG_UNSEEN if node.space else ()):
         return True
     a = node.attributes
+    if node.space and (a.get("display") == "none" or a.get("visibility") in ("hidden", "collapse")):
+        return True
     return bool(a) and ("hidden" in a or bool(HIDING.search(a.get("style", ""))))
 
 
+def parts_of(node: Node) -> list[Node | str]:
+    """The children that can be shown."""
+    if node.space == "svg" and node.tag == "switch":  # shows the first that applies
+        cases = [c for c in node.children if isinstance(c, Node)]
+        return ([c for c in cases if "systemlanguage" not in c.attributes] or cases)[:1]
+    if node.inside == "svg":
+        return [c for c in node.children if isinstance(c, Node)]
+    if node.space == "math" and node.tag in MATH_APART:
+        return [x for c in node.children for x in (c, " ")]
+    return node.children
+
+
+def choices(select: Node) -> list[str]:
+    """The options that a select shows: all of a list box, else the last selected one or the first."""
+    options: list[tuple[Node, bool]] = []
+    todo: list[tuple[Node, bool]] = [(select, False)]
+    while todo:
+        node, off = todo.pop()
+        off = off or (node is not select and "disabled" in node.attributes)
+        if node.tag == "option":
+            options.append((node, off))
+        else:
+            todo.extend((c, off) for c in reversed(node.children) if isinstance(c, Node))
+    a = select.attributes
+    if "multiple" in a or _number(a.get("size"), 1) > 1:
+        shown = [node for node, _ in options if not hidden(node)]
+    else:
+        chosen = [node for node, _ in options if "selected" in node.attributes]
+        shown = chosen[-1:] or [node for node, off in options if not off][:1]
+    return [node.attributes.get("label") or _inner(node) for node in shown]
+
+
+def _inner(node: Node) -> str:
+    texts, todo = [], [node]
+    while todo:
+        part = todo.pop()
+        if isinstance(part, str):
+            texts.append(unescape(part))
+        elif part is node or not hidden(part):
+            todo.extend(reversed(part.children))
+    return "".join(texts)
+
+
+def apart(node: Node) -> bool:
+    """Whether a drawing or formula starts a line with this element."""
+    if node.space in ("svg", "text"):
+        return node.tag in ("text", "foreignobject")
+    return node.tag == "math" and node.attributes.get("display") == "block"
+
+
 class Lines:
     """Lines of a block being written: collapsed inline text, breaks and indents."""
 
@@ -242,6 +330,14 @@ def render(root: Node) -> str:
             if tag == "img":
                 lines.text(node.attributes.get("alt", ""))
                 continue
+            if tag == "select":
+                for choice in choices(node):
+                    lines.text(f" {choice} ")
+                continue
+            if apart(node):
+                lines.block()
+            elif node.moved and node.space == "text":
+                lines.text(" ")
             if tag in BLOCKS:
                 nested = tag in ("ul", "ol") and counters
                 lines.gap() if tag in SPACED and not nested else lines.block()
@@ -264,8 +360,10 @@ def render(root: Node) -> str:
             elif tag == "pre":
                 pre += 1
             todo.append((node, True))
-            todo.extend((child, False) for child in reversed(node.children))
+            todo.extend((child, False) for child in reversed(parts_of(node)))
             continue
+        if apart(node):
+            lines.block()
         if tag in ("td", "th") and tables:
             cell = out.pop().done()
             a = node.attributes

@@ -55,6 +55,37 @@ def test_layout(name):
     assert extract(html) == expected
 
 
+SHOWN = {
+    "formula": ("<p>Let <math><mi>x</mi><mo>+</mo><mn>1</mn></math>.", "Let x+1."),
+    "fraction": ("a <math><mfrac><mn>1</mn><mn>2</mn></mfrac></math> b", "a 1 2 b"),
+    "annotation": ("<math><semantics><mi>x</mi><annotation encoding='tex'>\\x</annotation></semantics></math>y", "xy"),
+    "displayed formula": ("a<math display=block><mi>x</mi></math>b", "a\nx\nb"),
+    "drawing": (
+        "a<svg><title>t</title><desc>d</desc><style>s{}</style><defs><text>no</text></defs>stray"
+        "<rect width='1'/><text x='1'>One <tspan>two</tspan></text><g><text>three</text></g></svg>b",
+        "a\nOne two\nthree\nb",
+    ),
+    "icon": ("a<svg><title>t</title><path d='M0'/></svg>b", "ab"),
+    "lines of a label": ("<svg><text><tspan x=0>one</tspan><tspan x=0 dy=9>two</tspan></text></svg>", "one two"),
+    "foreign object": ("<svg><foreignObject><p>in</p><p>side</p></foreignObject><g>no</g></svg>out", "in\n\nside\n\nout"),
+    "switch": ("<svg><switch><foreignObject><div>label</div></foreignObject><text>label</text></switch></svg>", "label"),
+    "hidden label": ("<svg><text display='none'>a</text><g visibility=hidden><text>b</text></g><text>c</text></svg>", "c"),
+    "drawing left open": ("<svg><g><p>after</p>text", "after\n\ntext"),
+    "first option": ("Size<select><option>S<option>M</select>now", "Size S now"),
+    "selected option": ("<select><option>S<option selected>M &amp; L</select>", "M & L"),
+    "disabled options": ("<select><optgroup label=g disabled><option>a</optgroup><option disabled>b<option>c</select>", "c"),
+    "labelled option": ("<select><option label='shown'>not</select>", "shown"),
+    "list box": ("<select multiple><option>a<option>b</select>", "a b"),
+    "no option": ("a<select>text</select>b", "ab"),
+}
+
+
+@pytest.mark.parametrize("name", SHOWN)
+def test_formulas_drawings_and_choices(name):
+    html, expected = SHOWN[name]
+    assert extract(html) == expected
+
+
 def test_deep_and_long_pages():
     deep = "<div>" * 20000 + "x" + "</div>" * 20000
     assert extract(deep) == "x"
