@@ -164,15 +164,37 @@ def _codes(weights, untied):
     return F.broadcast(best.filter(clear if untied else F.lit(True)).select("code"))  # 256 rows at most
 
 
-def c2_lr_member(spark, sf):
+def _bag_of_labelled(rows):
+    labelled = splits.part_of(splits.with_part(rows, splits.TENTH, SEED), splits.LABELLED)
+    return bags.poisson_bags(labelled, K, SEED)
+
+
+def _settled(voted, codes):
+    """Every row of ``voted``, and whether its code is one of ``codes``."""
+    marked = voted.join(codes.withColumn("_known", F.lit(True)), "code", "left")
+    return marked.withColumn("settled", F.col("_known").isNotNull())
+
+
+def c2_lr_every(spark, sf):
     """One logistic regression on one-hot codes, trained on its bag; its vote on every
-    document whose code the bag settles: there it must be the code's heaviest class."""
+    document. Where the bag settles the code (``settled``) it must be the code's heaviest class."""
     rows = views.docs_one_hot(spark, sf)
-    labelled = splits.part_of(splits.with_part(rows, splits.TENTH, SEED), splits.LABELLED)
-    bagged = bags.poisson_bags(labelled, K, SEED)
+    bagged = _bag_of_labelled(rows)
     voter = logistic_members(1, C, reg_param=LITTLE)[0].fit(bags.in_bag_rows(bagged, 0))
-    voted = voter.vote(rows, "dist").join(_bag_codes(bagged, untied=True), "code")
-    return voted.select("row_id", *_spread(F.col("dist"), C, "v"))
+    voted = _settled(voter.vote(rows, "dist"), _bag_codes(bagged, untied=True))
+    return voted.select("row_id", "settled", *_spread(F.col("dist"), C, "v"))
+
+
+def c2_lr_member(spark, sf):
+    """The documents of ``c2_lr_every`` for which SQL knows the vote."""
+    return c2_lr_every(spark, sf).filter("settled").drop("settled")
+
+
+def c2_lr_words(spark, sf):
+    """The same learner on 64 hashed words of the whole text; its vote on every document."""
+    rows = views.docs_lang(spark, sf)
+    voter = logistic_members(1, C)[0].fit(bags.in_bag_rows(_bag_of_labelled(rows), 0))
+    return voter.vote(rows, "dist").select("row_id", "label", *_spread(F.col("dist"), C, "v"))
 
 
 def c3_hard_vote(spark, sf):
@@ -180,16 +202,28 @@ def c3_hard_vote(spark, sf):
     return classes.select("row_id", *_spread(voting.hard_vote(F.col("vote_0"), C), C, "v"))
 
 
-def c4_tree_member(spark, sf):
-    """One tree over all flags, trained on its bag; its class shares on every document
-    whose code the bag has: a full-grown tree splits all codes that differ."""
+def c4_tree_every(spark, sf):
+    """One tree over all flags, trained on its bag; its class shares on every document.
+    A full-grown tree splits all codes of the bag that differ: there (``settled``) they are
+    the bag's shares."""
     rows = views.docs_flag_vector(spark, sf)
-    labelled = splits.part_of(splits.with_part(rows, splits.TENTH, SEED), splits.LABELLED)
-    bagged = bags.poisson_bags(labelled, K, SEED)
+    bagged = _bag_of_labelled(rows)
     voter = tree_members(1, C, features_per_node=N_BITS)[0].fit(bags.in_bag_rows(bagged, 0))
-    voted = voter.vote(rows, "dist").join(_bag_codes(bagged, untied=False), "code")
+    voted = _settled(voter.vote(rows, "dist"), _bag_codes(bagged, untied=False))
     shares = [F.round(F.col("dist")[c], 9).alias(f"v_{c}") for c in range(C)]
-    return voted.select("row_id", *shares)
+    return voted.select("row_id", "settled", *shares)
+
+
+def c4_tree_member(spark, sf):
+    """The documents of ``c4_tree_every`` for which SQL knows the shares."""
+    return c4_tree_every(spark, sf).filter("settled").drop("settled")
+
+
+def c4_tree_words(spark, sf):
+    """One tree on 64 hashed words, 16 random ones a node; its shares on every document."""
+    rows = views.docs_lang(spark, sf)
+    voter = tree_members(1, C, features_per_node=16)[0].fit(bags.in_bag_rows(_bag_of_labelled(rows), 0))
+    return voter.vote(rows, "dist").select("row_id", "label", *_spread(F.col("dist"), C, "v"))
 
 
 def c5_subspace_sizes(spark, sf):
@@ -230,6 +264,17 @@ def c7_baseline_error(spark, sf):
     return jobs.supervised_baseline(train, member, C, seed=SEED, test=test)
 
 
+def c7_every_error(spark, sf):
+    """The same baseline, tested on every test document."""
+    member = logistic_members(1, C, reg_param=LITTLE)[0]
+    return jobs.supervised_baseline(views.docs_one_hot(spark, sf), member, C, seed=SEED)
+
+
+def c7_words_error(spark, sf):
+    """The baseline on 64 hashed words of the whole text, tested on every test document."""
+    return jobs.supervised_baseline(views.docs_lang(spark, sf), logistic_members(1, C)[0], C, seed=SEED)
+
+
 # -- D: ensemble scoring ------------------------------------------------------
 
 
@@ -484,8 +529,8 @@ def g1_quality(spark, sf):
 REGISTERED = (
     a1_parse_features, a4_split, a6_sizes,
     b1_bag_counts, b2_exact_bootstrap, b3_inbag_rows, b4_oob_flags, b5_bag_summary,
-    c1_bucket_votes, c2_lr_member, c3_hard_vote, c4_tree_member, c5_subspace_sizes,
-    c6_round0_state, c7_baseline_error,
+    c1_bucket_votes, c2_lr_every, c2_lr_member, c2_lr_words, c3_hard_vote, c4_tree_every, c4_tree_member,
+    c4_tree_words, c5_subspace_sizes, c6_round0_state, c7_baseline_error, c7_every_error, c7_words_error,
     d1_member_votes, d2_ensemble_dist, d2_scored_dist, d3_loo_dist, d3_soft_loo, d4_oob_loo_dist, d5_normalise_minmax,
     d6_normalise_sum, d7_argmax, d8_confidence, d9_classify, d10_high_confidence,
     e1_oob_error, e2_draw_size, e3_subsample_bernoulli, e4_subsample_exact, e5_li_weight,
