@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from peerlabel.llm import bytewords, crf
@@ -127,11 +127,13 @@ RADIX = np.cumprod((1, *GROUPS[:-1]))
 @dataclass(frozen=True)
 class PiiFinder:
     """``sample_docs`` bounds the texts that are labelled for training, ``sample_runs`` the
-    runs of words taken from them; ``margin`` is how much more likely (as a logarithm) a
+    runs of words taken from them, ``text_runs`` those of each kind (or none) from one text;
+    ``margin`` is how much more likely (as a logarithm) a
     reading with personal data must be than one without, to add its spans."""
 
     sample_docs: int = 600
     sample_runs: int = 800
+    text_runs: int = 8
     margin: float = 4.0
 
     # -- training
@@ -139,7 +141,8 @@ class PiiFinder:
     def labelled_runs(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """The training table: (features, labels) of runs of words around numbers and @.
 
-        From the ``sample_docs`` texts with a digit or @ that come first by a hash of id and
+        Those first by a hash of text and place, at most ``text_runs`` of a kind from one text
+        and ``sample_runs`` in all; a tenth of these is for each kind before the rest. From the ``sample_docs`` texts with a digit or @ that come first by a hash of id and
         text, so the same table gives the same sample.
         """
         text = F.col(text_col)
@@ -149,11 +152,19 @@ class PiiFinder:
         # The hashes alone are sorted; the texts stay where they are.
         last = hashed.select("at").orderBy("at").limit(self.sample_docs).agg(F.max("at")).first()[0]
         sample = hashed.where(F.col("at") <= F.lit(last)).limit(self.sample_docs)
-        return sample.select("text").mapInArrow(_labelled, "features array<array<int>>, labels array<int>")
+        schema = "features array<array<int>>, labels array<int>, at long, place long"
+        runs = sample.select("text", "at").mapInArrow(_labelled, schema)
+        kind = F.expr("CASE WHEN array_max(labels) > 0 THEN (array_max(labels) + 1) DIV 2 ELSE 0 END")
+        runs = runs.withColumns({"kind": kind, "draw": F.xxhash64("at", "place")})
+        first = F.row_number().over(Window.partitionBy("at", "kind").orderBy("draw", "place"))
+        runs = runs.withColumn("n", first).where(F.col("n") <= self.text_runs)
+        runs = runs.withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy("draw", "at", "place")))
+        later = (F.col("kind") == 0) | (10 * F.col("n") > self.sample_runs)
+        return runs.orderBy(later, "draw", "at", "place").limit(self.sample_runs).select("features", "labels")
 
     def train(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> crf.Crf | None:
         """The model; None where no text of the sample has personal data."""
-        rows = self.labelled_runs(docs, id_col, text_col).limit(self.sample_runs).collect()
+        rows = self.labelled_runs(docs, id_col, text_col).collect()
         rows = sorted((tuple(map(tuple, r["features"])), tuple(r["labels"])) for r in rows)
         if not any(any(labels) for _, labels in rows):
             return None
@@ -288,7 +299,7 @@ def _trimmed(words: bytewords.Words, a: int, b: int, text: int) -> tuple[int, in
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(0)
-        features, labels = [], []
+        features, labels, at, place = [], [], [], []
         for words in bytewords.split(texts, bytewords.NOT_SPACE, hashed=False):
             shape = shapes(words)
             marked = (shape[:, 0] > 0) | (shape[:, 1] > 0)
@@ -298,9 +309,14 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for s, e in _around(np.flatnonzero(marked[a:b]), b - a):
                     features.append(shape[a + s : a + e].tolist())
                     labels.append(y[s:e].tolist())
+                    at.append(batch.column(1)[words.row0 + t].as_py())
+                    place.append(s)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(features, pa.list_(pa.list_(pa.int32()))), pa.array(labels, pa.list_(pa.int32()))],
-            ["features", "labels"],
+            [
+                pa.array(features, pa.list_(pa.list_(pa.int32()))), pa.array(labels, pa.list_(pa.int32())),
+                pa.array(at, pa.int64()), pa.array(place, pa.int64()),
+            ],
+            ["features", "labels", "at", "place"],
         )
 
 

@@ -169,3 +169,19 @@ def test_overlapping_spans_are_cut_once():
     assert pii.redacted("a 1.2.3.4 b", [(1, 2, 9, True), (2, 4, 9, True)]) == "a [IP] b"
     assert pii.redacted("abcdef", [(0, 0, 3, True), (3, 2, 5, True)]) == "[EMAIL]f"
     assert F is not None
+
+
+def test_sample_does_not_depend_on_the_layout(spark, docs_of):
+    """The same runs from any partitioning, and no text takes the sample of the others."""
+    long = " ".join(f"number {i} of very many plain words in a row here and there" for i in range(3000))
+    texts = [long] + [f"write to user{i}@example.org or call +1 (555) 010-{1000 + i} from 10.0.0.{i} today" for i in range(60)]
+    finder = pii.PiiFinder(sample_runs=200)
+
+    def runs(n_partitions):
+        docs = docs_of(texts).repartition(n_partitions).orderBy("doc_id" if n_partitions == 1 else F.rand(3))
+        return sorted((str(r.features), str(r.labels)) for r in finder.labelled_runs(docs).collect())
+
+    one = runs(1)
+    assert one == runs(7)
+    assert len(one) == 60 + finder.text_runs
+    assert sum(any(c in labels for c in "12345678") for _, labels in one) == 60
