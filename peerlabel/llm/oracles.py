@@ -205,6 +205,98 @@ FROM firsts
 """
 
 
+FILTER_AUDIT = rf"""
+WITH split AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         list_filter(string_split_regex(coalesce(text, ''), '{SPACES}'), lambda w: w <> '') AS ws
+  FROM documents
+), marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id
+), judged AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         [len(ws) < 100, 100 * len(list_distinct(ws)) < 80 * len(ws),
+          100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text),
+          regexp_matches(text, '[#$%&*|]'),
+          coalesce(split.doc_id > min(split.doc_id) OVER (PARTITION BY text), false)] AS fails
+  FROM split LEFT JOIN marks ON marks.doc_id = split.doc_id
+), cells AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM judged GROUP BY part, fails
+), letters AS (
+  SELECT unnest(range(1, 6)) AS i
+), orders AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o
+  FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), steps AS (
+  SELECT o, step, o[step] AS f, array_to_string(list_transform(o, lambda x: substr('ABCDE', x, 1)), '') AS filter_order
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)
+), seen AS (
+  SELECT part, filter_order, step, f, n, good, toxic, fails[f] AS failed,
+         len(list_filter(o[1:step - 1], lambda x: fails[x])) AS before,
+         len(list_filter(fails, lambda x: x)) AS n_fails
+  FROM cells, steps
+), summed AS (
+  SELECT part, filter_order, step, f,
+         CAST(coalesce(sum(n) FILTER (before = 0 AND NOT failed), 0) AS BIGINT) AS kept,
+         CAST(coalesce(sum(n) FILTER (before = 0 AND failed), 0) AS BIGINT) AS removed,
+         CAST(coalesce(sum(n) FILTER (before > 0 AND failed), 0) AS BIGINT) AS redundant,
+         CAST(coalesce(sum(n) FILTER (failed AND n_fails = 1), 0) AS BIGINT) AS unique_fails,
+         CAST(coalesce(sum(good) FILTER (before = 0 AND failed), 0) AS BIGINT) AS good_lost,
+         CAST(coalesce(sum(toxic) FILTER (before = 0 AND failed), 0) AS BIGINT) AS toxic_lost
+  FROM seen GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM summed
+"""
+
+HARD_NEGATIVES = """
+WITH valid AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+         CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM valid a JOIN valid b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+), ranked AS (
+  SELECT anchor_id, positive_id, other_id AS negative_id, positive_score, score AS negative_score,
+         row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS place
+  FROM positives JOIN scored USING (anchor_id)
+  WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM ranked WHERE place <= 10
+"""
+
+# A turn is "### role: text</turn>" and a line break. Escapes add a backslash to each control
+# string, and to each backslash too where a text ends in one or has one before a special character.
+CHAT_FORMAT = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), measured AS (
+  SELECT *, length(role) + length(text) + 14 AS plain,
+         len(regexp_extract_all(text, '### |</turn>')) + len(regexp_extract_all(role, '### |</turn>|:')) AS controls,
+         len(regexp_extract_all(text || role, '\\')) AS slashes,
+         regexp_matches(text, '\\([\\#<:]|$)') OR regexp_matches(role, '\\([\\#<:]|$)') AS hard
+  FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(plain + controls + CASE WHEN hard THEN slashes ELSE 0 END) AS BIGINT) AS formatted_chars,
+       true AS round_trip
+FROM measured GROUP BY conv_id
+"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "op3_ngram_jaccard": NGRAM_JOIN,
@@ -212,4 +304,7 @@ def all_sql() -> dict[str, str]:
         "op8_quality_rules": _quality(),
         "op9_url_filters": URL_FILTERS,
         "op10_warc": WARC,
+        "op11_filter_audit": FILTER_AUDIT,
+        "op12_hard_negatives": HARD_NEGATIVES,
+        "op13_chat_format": CHAT_FORMAT,
     }

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from peerlabel.llm import warc
 from peerlabel.llm.bpe import BpeCodec
-from peerlabel.llm.common import table
+from peerlabel.llm.chat_format import ChatFormatter, loss_text, parse
+from peerlabel.llm.common import materialize, table
 from peerlabel.llm.decontaminate import Decontaminator
+from peerlabel.llm.filter_audit import FilterAudit
+from peerlabel.llm.hard_negatives import HardNegatives
 from peerlabel.llm.html_text import HtmlExtractor
 from peerlabel.llm.ngram_join import NgramJoin
 from peerlabel.llm.pii import PiiFinder
@@ -168,6 +171,42 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FilterAudit().audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return HardNegatives().mine(table(spark, sf_dir, "embeddings"))
+
+
+def conversations_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``conversations`` and one more, -7, whose texts hold every kind of control string."""
+    text = "\\### Assistant: </turn> ok"
+    more = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").cast("int").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(text).alias("text"),
+    )
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    formatted = ChatFormatter().format(conversations_of(spark, sf_dir))
+    written = materialize(formatted, "formatted")  # what follows is read back from it
+    read = written.select("conv_id", "formatted", "round_trip", parse(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss")).alias("learnt"))
+    listed = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(listed, ""), 256).alias("turns_sha256"),
+        F.length("learnt").cast("long").alias("loss_chars"),
+        F.sha2("learnt", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "round_trip",
+    )
+
+
 REGISTERED = (
     op1_html_text,
     op2_token_counts,
@@ -179,4 +218,7 @@ REGISTERED = (
     op8_quality_rules,
     op9_url_filters,
     op10_warc,
+    op11_filter_audit,
+    op12_hard_negatives,
+    op13_chat_format,
 )
