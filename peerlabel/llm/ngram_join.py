@@ -249,12 +249,14 @@ class NgramJoin:
         wanted = named.join(asked, named["id"] == asked["rep"]).select("of", "hub", "part", "text")
 
         def columns(n: int, found: Iterator[tuple[int, np.ndarray]]) -> list[pa.Array]:
-            contents: list = [None] * n
+            made, contents = np.zeros(n, np.int64), [None] * n
             for row, shingles in found:
+                made[row] = set_id(shingles)
                 contents[row] = shingles.tobytes()
-            return [pa.array(contents, pa.binary())]
+            return [pa.array(made), pa.array(contents, pa.binary())]
 
-        sets = self._mapped(wanted, columns, "shingles binary")
+        # Rows that share their id with the one asked for, but not its set, are not it.
+        sets = self._mapped(wanted, columns, "made long, shingles binary").where("made = of").drop("made")
         grouped = sets.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("of") != F.col("hub"))
         return grouped.mapInArrow(_linked_to_hub(self.percent), "x long, y long")
 

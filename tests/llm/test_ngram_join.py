@@ -134,3 +134,16 @@ def test_plan_has_no_cross_join(spark, testdata):
     plan = join._mapped(docs, lambda n, found: [], "n long")._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "BroadcastNestedLoop" not in plan
     assert queries.op3_ngram_jaccard.__name__ == "op3_ngram_jaccard"
+
+
+def test_repeated_ids_with_different_texts_lose_no_link(spark):
+    """A near copy finds the text it copies, whichever of the rows of that id holds it."""
+    rng = random.Random(12)
+    a = [f"a{rng.randint(0, 900)}" for _ in range(150)]
+    b = [f"b{rng.randint(0, 900)}" for _ in range(150)]
+    near = lambda words, at: " ".join([*words[:at], "odd", *words[at:]])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (6, near(a, 149)), (7, near(b, 149)), (9, "alone " * 3)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id LONG, text STRING").repartition(2)
+        got = {(r.doc_id, r.component_id) for r in ngram_join.NgramJoin().components(docs).collect()}
+        assert got == {(5, 5), (6, 5), (7, 5), (9, 9)}
