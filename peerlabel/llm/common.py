@@ -19,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder that driver and executors share, under ``spark.checkpoint.dir``.
 
-    Only where that is unset (a session of one process) a local one is taken.
+    Only where that is unset (a session of one process) a local one is taken. A path without
+    scheme is one of Hadoop's default file system, and is returned with its scheme.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_CHECKPOINT_DIR
-    if "://" not in root and not root.startswith("file:"):
-        root = f"file://{root}" if spark.sparkContext.master.startswith("local[") else root
+    if ":/" not in root:
+        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+        root = f"{default.rstrip('/')}/{root.lstrip('/')}" if "://" in default.rstrip("/") else f"file:///{root.lstrip('/')}"
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 

@@ -160,7 +160,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archive(table(spark, sf_dir, "pages"))
 
     def key(column: str):
-        return F.regexp_extract(column, r"^urn:record:(-?[0-9]+)$", 1).cast("long")
+        # Records of pages without an id have one of their own making, which is not theirs.
+        return F.regexp_extract(column, r"^urn:record:(-?[0-9]+)$", 1).try_cast("long")
 
     return records.select(
         key("record_id").alias("page_id"),

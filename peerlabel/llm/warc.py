@@ -26,6 +26,8 @@ from peerlabel.llm.common import materialize, shared_dir, text_or_empty
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
 READ_BYTES = 1 << 20
+SMALL_TABLE = 500_000  # rows that may be broadcast
+SALTS = 32
 RECORD = (
     "record_id string, record_type string, target_uri string, refers_to string, "
     "payload_digest string, payload_bytes long, payload binary"
@@ -95,17 +97,29 @@ class WarcWriter:
             .agg(F.min("order").alias("first"), F.count(F.lit(1)).alias("copies"))
             .where("copies > 1")
         )
-        linked = records.join(shared, "digest", "left").select(
+        linked = self._linked(records, materialize(shared, "warc-shared")).select(
             "key", "uri", "payload", F.when(F.col("order") > F.col("first"), F.col("first")).cast("string").alias("to")
         )
         manifest = linked.mapInArrow(self._writer(path), "path string, n_records long, n_bytes long")
         return materialize(manifest, "warc-manifest")
 
+    @staticmethod
+    def _linked(records: DataFrame, shared: DataFrame) -> DataFrame:
+        """``records`` with ``first``, the smallest key of their payload where that is shared.
+
+        While few payloads are shared, their table goes to the records, which stay where they lie.
+        Else records are dealt out by digest and a salt, so that a payload that
+        half of them repeat is no single task.
+        """
+        if shared.count() <= SMALL_TABLE:
+            return records.join(F.broadcast(shared), "digest", "left")
+        salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("key", "uri"), F.lit(SALTS)).cast("int")
+        return records.withColumn("salt", salt).join(salted, ["digest", "salt"], "left")
+
     def _writer(self, folder: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import pyarrow.fs as pafs
-
-            store, base = pafs.FileSystem.from_uri(folder)
+            store, base = store_of(folder)
             store.create_dir(base, recursive=True)
             context = TaskContext.get()
             part = context.partitionId() if context else 0
@@ -136,6 +150,19 @@ class WarcWriter:
         return run
 
 
+def store_of(uri: str):
+    """The file system of a URI as Hadoop names it, and the path there."""
+    import pyarrow.fs as pafs
+
+    if uri.startswith(("s3a://", "s3n://")):
+        uri = f"s3{uri[3:]}"
+    elif uri.startswith("dbfs:/"):
+        uri = f"file:///dbfs/{uri.removeprefix('dbfs:').lstrip('/')}"
+    elif uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = f"file://{uri.removeprefix('file:')}"
+    return pafs.FileSystem.from_uri(uri)
+
+
 def record_id(key: str | None) -> str:
     return f"urn:record:{key}" if key is not None else f"urn:uuid:{uuid.uuid4()}"
 
@@ -168,13 +195,11 @@ class WarcReader:
         size = self.range_bytes
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import pyarrow.fs as pafs
-
             names = [field.split()[0] for field in RECORD.split(", ")]
             kinds = [pa.string()] * 5 + [pa.int64(), pa.binary()]
             for batch in batches:
                 for row in batch.to_pylist():
-                    store, path = pafs.FileSystem.from_uri(row["path"])
+                    store, path = store_of(row["path"])
                     with store.open_input_file(path) as source:
                         found = records_in(source, row["begin"], row["begin"] + size, row["n_bytes"])
                         for some in _grouped(found):

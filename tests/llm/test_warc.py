@@ -89,3 +89,26 @@ def test_null_keys_repeated_rows_and_empty_tables(spark, pages):
     got = sorted((r.record_type, r.refers_to or "") for r in warc.archive(rows).collect())
     assert got == [("response", "")] * 4 + [("revisit", "urn:record:4")]
     assert warc.archive(pages.limit(0)).count() == 0
+
+
+def test_the_query_takes_pages_without_an_id_and_repeated_ones(spark, tmp_path):
+    from peerlabel.llm.queries import op10_warc
+
+    rows = [(None, "u", "t"), (4, "u", "t"), (4, "u", "t"), (9, "u", "t"), (None, "u", None), (3, None, "")]
+    spark.createDataFrame(rows, "page_id LONG, url STRING, html STRING").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in op10_warc(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(None, "response", None, 1), (4, "response", None, 1), (4, "response", None, 1), (9, "revisit", 4, 1), (None, "response", None, 0), (3, "response", None, 0)], key=str)
+
+
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_many_or_few_shared_payloads(spark, monkeypatch, most):
+    monkeypatch.setattr(warc, "SMALL_TABLE", most)
+    pages = spark.createDataFrame([(i, f"u{i}", "same" if i % 2 else f"t{i // 4}") for i in range(40)], "page_id LONG, url STRING, html STRING")
+    got = {r.record_id: r.refers_to for r in warc.archive(pages.repartition(3)).collect()}
+    assert got["urn:record:39"] == "urn:record:1" and got["urn:record:1"] is None and got["urn:record:6"] == "urn:record:4" and len(got) == 40
+
+
+def test_file_systems():
+    for uri in ("file:/tmp/x", "file:///tmp/x"):
+        assert warc.store_of(uri)[1] == "/tmp/x"
+    assert warc.store_of("dbfs:/a/b")[1] == "/dbfs/a/b"
