@@ -74,31 +74,25 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM documents_words LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-# A quantile here is the smallest value that at least that share of the values do not exceed.
+# (name, score, least spread of a bulk, whether it is of the language alone)
 MEASURES = (
-    ("symbols", "n_symbols * 1000 // greatest(word_chars, 1)", 50, False),
-    ("dup_lines", "n_dup_lines * 1000 // greatest(n_words, 1)", 60, False),
-    ("repeats", "n_repeat_words * 1000 // greatest(n_words, 1)", 250, False),
-    ("long_words", "word_chars * 1000 // greatest(n_words, 1)", 10000, False),
-    ("short_words", "word_chars * 1000 // greatest(n_words, 1)", 2500, True),
+    ("symbols", "n_symbols * 1000 // greatest(word_chars, 1)", 5, False),
+    ("dup_lines", "n_dup_lines * 1000 // greatest(n_words, 1)", 10, False),
+    ("repeats", "n_repeat_words * 1000 // greatest(n_words, 1)", 40, False),
+    ("long_words", "word_chars * 1000 // greatest(n_words, 1)", 50, True),
+    ("short_words", "- (word_chars * 1000 // greatest(n_words, 1))", 50, True),
 )
 
 
 def _quality() -> str:
+    """A group's scores are 128 quantiles of its own, and of its language's and all rows' with the
+    weight of the 20 rows that each lends to the next; from three quarters of them on, the middle
+    of the first gap of six spreads is the threshold."""
     scores = ", ".join(f"{expression} AS m_{name}" for name, expression, *_ in MEASURES)
-    limits = ", ".join(
-        f"quantile_disc(m_{name}, 0.25) AS {name}_25, quantile_disc(m_{name}, 0.75) AS {name}_75" for name, *_ in MEASURES
+    long = " UNION ALL ".join(
+        f"SELECT doc_id, lang, source, '{name}' AS m, m_{name} AS score, {least} AS least, {alone} AS alone FROM scored WHERE NOT base_failed"
+        for name, _, least, alone in MEASURES
     )
-    tests = []
-    for name, _, allowed, low in MEASURES:
-        q = {
-            p: f"CASE WHEN g.rows >= 200 THEN g.{name}_{p} WHEN l.rows >= 200 THEN l.{name}_{p} ELSE a.{name}_{p} END"
-            for p in (25, 75)
-        }
-        if low:
-            tests.append(f"m_{name} < least({q[25]} - 3 * ({q[75]} - {q[25]}), {allowed})")
-        else:
-            tests.append(f"m_{name} > greatest({q[75]} + 3 * ({q[75]} - {q[25]}), {allowed})")
     return rf"""
 WITH split AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text,
@@ -122,20 +116,43 @@ WITH split AS (
   FROM split LEFT JOIN repeated USING (doc_id)
 ), scored AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {scores} FROM counted
-), passed AS (
-  SELECT * FROM scored WHERE NOT base_failed
-), g AS (
-  SELECT lang, source, count(*) AS rows, {limits} FROM passed GROUP BY lang, source
-), l AS (
-  SELECT lang, count(*) AS rows, {limits} FROM passed GROUP BY lang
-), a AS (
-  SELECT {limits} FROM passed
+), long AS (
+  {long}
+), sorted AS (
+  SELECT m, least, alone, lang, source, GROUPING(lang) AS of_all, GROUPING(source) AS of_lang, count(*) AS rows, list_sort(list(score)) AS vs
+  FROM long GROUP BY GROUPING SETS ((m, least, alone, lang, source), (m, least, alone, lang), (m, least, alone))
+), parts AS (
+  SELECT g.m, g.lang, g.source, g.least, g.alone, l.rows AS l_rows,
+         unnest([{{'vs': g.vs, 'w': g.rows::DOUBLE}},
+                 {{'vs': l.vs, 'w': CASE WHEN g.alone THEN 20.0 ELSE 20.0 * l.rows / (l.rows + 20.0) END::DOUBLE}},
+                 {{'vs': a.vs, 'w': CASE WHEN g.alone THEN 0.0 ELSE 400.0 / (l.rows + 20.0) END::DOUBLE}}]) AS p
+  FROM sorted g JOIN sorted l ON l.m = g.m AND l.of_lang = 1 AND l.of_all = 0 AND l.lang IS NOT DISTINCT FROM g.lang
+  JOIN sorted a ON a.m = g.m AND a.of_all = 1 WHERE g.of_lang = 0
+), points AS (
+  SELECT m, lang, source, least, alone, l_rows, p.vs[ceil(i * len(p.vs) / 128)::INTEGER] AS v, p.w AS w
+  FROM parts, (SELECT unnest(range(1, 129)) AS i) WHERE p.w > 0
+), summed AS (
+  SELECT m, lang, source, least, alone, l_rows, v, sum(w) AS w FROM points GROUP BY ALL
+), placed AS (
+  SELECT *, sum(w) OVER (PARTITION BY m, lang, source ORDER BY v) / sum(w) OVER (PARTITION BY m, lang, source) AS share,
+         lead(v) OVER (PARTITION BY m, lang, source ORDER BY v) AS following
+  FROM summed
+), bulks AS (
+  SELECT *, min(v) FILTER (share >= 0.5 - 1e-9) OVER (PARTITION BY m, lang, source) AS median,
+         min(v) FILTER (share >= 0.75 - 1e-9) OVER (PARTITION BY m, lang, source) AS bulk
+  FROM placed
+), limits AS (
+  SELECT m, lang, source, arg_min(v + (following - v) // 2, v) AS middle FROM bulks
+  WHERE v >= bulk AND following - v >= 6 * greatest(bulk - median, least)
+    + CASE WHEN alone THEN floor(abs(bulk) * 200 / l_rows)::BIGINT ELSE 0 END
+  GROUP BY m, lang, source
+), odd AS (
+  SELECT DISTINCT doc_id FROM long JOIN limits ON limits.m = long.m
+  AND limits.lang IS NOT DISTINCT FROM long.lang AND limits.source IS NOT DISTINCT FROM long.source AND score > middle
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT ({" OR ".join(tests)}) AS kept
-FROM scored s CROSS JOIN a
-LEFT JOIN g ON g.lang IS NOT DISTINCT FROM s.lang AND g.source IS NOT DISTINCT FROM s.source
-LEFT JOIN l ON l.lang IS NOT DISTINCT FROM s.lang
+       NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM odd) AS kept
+FROM scored
 """
 
 

@@ -21,7 +21,7 @@ from peerlabel.llm import bytewords
 from peerlabel.llm.common import materialize
 
 WINDOW = 8
-GRID = 128  # values of a sketch that can become a threshold; those of 1/4 and 3/4 are among them
+GRID = 128  # quantiles of a sketch that stand for its scores; 1/2 and 3/4 are among them
 LIMITS = "__limits"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -116,44 +116,44 @@ def repeated_words(words: bytewords.Words) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Measure:
-    """A whole-number score of a document.
+    """A whole-number score of a document; the larger, the odder.
 
-    A document is odd in it above the upper fence of its group, q75 + fence * (q75 - q25)
-    (below the lower one, if ``low``), unless the score is still within ``allowed``: that
-    much is never held against a document, however alike the others of its group are.
-    What is usual ``of_language`` tells nothing about other languages: there a language with
-    few rows has a wider fence instead of rows of others.
+    A group's threshold lies in the middle of the first wide gap above the bulk of its scores
+    (see ``QualityRules.thresholds``). ``least_spread`` is the spread of a bulk whose scores
+    are all alike. What is usual ``of_language`` tells nothing about other languages:
+    there a language with few rows needs a wider gap instead of rows of others.
     """
 
     name: str
     expression: str
-    allowed: int
-    low: bool = False
+    least_spread: int
     of_language: bool = False
 
 
 # Scores are shares of a thousand, or thousandths, so that sketches hold integers.
+WORD_LENGTH = "word_chars * 1000 DIV greatest(n_words, 1)"
 MEASURES = (
-    Measure("symbols", "n_symbols * 1000 DIV greatest(word_chars, 1)", 50),
-    Measure("dup_lines", "n_dup_lines * 1000 DIV greatest(n_words, 1)", 60),
-    Measure("repeats", "n_repeat_words * 1000 DIV greatest(n_words, 1)", 250),
-    Measure("long_words", "word_chars * 1000 DIV greatest(n_words, 1)", 10000, of_language=True),
-    Measure("short_words", "word_chars * 1000 DIV greatest(n_words, 1)", 2500, low=True, of_language=True),
+    Measure("symbols", "n_symbols * 1000 DIV greatest(word_chars, 1)", 5),
+    Measure("dup_lines", "n_dup_lines * 1000 DIV greatest(n_words, 1)", 10),
+    Measure("repeats", "n_repeat_words * 1000 DIV greatest(n_words, 1)", 40),
+    Measure("long_words", WORD_LENGTH, 50, of_language=True),
+    Measure("short_words", f"- ({WORD_LENGTH})", 50, of_language=True),
 )
+BULK = 0.75  # share of a group's rows that is never odd
 
 
 @dataclass(frozen=True)
 class QualityRules:
-    """``min_rows``: a tenth as many rows of its language count with the rows of each
-    (language, source), and of all rows with those of each language, as if they were its own.
-    Measures of a language alone get min_rows / (rows of the language) of their quartile on
-    top of the fence instead. ``k`` is the sketches' size: quantiles are exact up to about k
-    documents a group, beyond that their rank is off by about 1.7 / k of the group's documents.
+    """``gap``: how many times the spread of the bulk a gap has to be wide. ``min_rows``: a
+    tenth as many rows of its language count with the rows of each (language, source), and of
+    all rows with those of each language, as if they were its own. ``k`` is the sketches' size:
+    quantiles are exact up to about k documents a group, beyond that their rank is off by
+    about 1.7 / k of the group's documents.
     """
 
     min_rows: int = 200
     k: int = 4096
-    fence: int = 3
+    gap: int = 6
     min_words: int = 20
     max_repeat_percent: int = 30
     measures: tuple[Measure, ...] = MEASURES
@@ -171,6 +171,12 @@ class QualityRules:
         """(lang, source, rows, level, t_<name>...): one row for each group of documents
         that pass the base rules, NULL being a language or source of its own.
 
+        The scores of a group are ``GRID`` quantiles of its sketch, and of its language's and
+        all rows' with the weight of the rows lent. Above the value that ``BULK`` of them do not
+        exceed, the first step from one score to the next that is ``gap`` times as wide as
+        the spread (from the median to the end of the bulk) or wider is a gap; the threshold
+        is its middle. NULL is no threshold: no score of the group stands out.
+
         Sketches are built per task and merged by group, so a group that holds most of
         the documents is no larger in the shuffle than any other.
         """
@@ -186,22 +192,13 @@ class QualityRules:
         langs = self._named(groups.groupBy("lang").agg(rows, *merged), "l_").withColumnRenamed("l_lang", "of")
         every = self._named(groups.agg(rows, *merged), "a_")
         levels = groups.join(langs, groups["lang"].eqNullSafe(langs["of"])).join(F.broadcast(every))
-        limits = []
-        for m in self.measures:
-            q25, q75 = (self._quantile(m, share) for share in (0.25, 0.75))
-            width = self.fence * (q75 - q25)
-            if m.of_language:
-                width = width + F.floor((q25 if m.low else q75) * self.min_rows / F.col("l_rows"))
-            limits.append((q25 - width if m.low else q75 + width).alias(f"t_{m.name}"))
+        limits = [self._threshold(m).alias(f"t_{m.name}") for m in self.measures]
         own, lang = F.col("rows") >= self.min_rows, F.col("l_rows") >= self.min_rows
         # Says how far the rows of a group go; no threshold depends on it.
         level = F.when(own, "source").when(lang, "language").otherwise("all").alias("level")
         return levels.select("lang", "source", "rows", level, *limits)
 
-    def _quantile(self, m: Measure, share: float) -> Column:
-        """The smallest value that ``share`` of a group's rows do not exceed, the rows lent to
-        it included: its language's, to which all rows lend unless ``m`` is of the language.
-        """
+    def _threshold(self, m: Measure) -> Column:
         lent = self.min_rows / 10
         if m.of_language:
             parts = [("", F.col("rows")), ("l_", F.lit(lent))]
@@ -214,15 +211,30 @@ class QualityRules:
             return F.transform(values, lambda v: F.struct(v.alias("value"), weight.cast("double").alias("weight")))
 
         each = [weighted(F.kll_sketch_get_quantile_bigint(prefix + m.name, grid), weight) for prefix, weight in parts]
-        total = sum((weight for _, weight in parts[1:]), parts[0][1])
-        enough = share * GRID * total - 1e-6
+        total = GRID * sum((weight for _, weight in parts[1:]), parts[0][1])
+        wider = F.col("l_rows") if m.of_language else F.lit(None).cast("long")
+        return self._gap(F.sort_array(F.concat(*each)), total, m.least_spread, wider)
+
+    def _gap(self, points: Column, total: Column, least_spread: int, lang_rows: Column) -> Column:
+        """The middle of the first gap of sorted (value, weight) points."""
+        none = F.lit(None).cast("long")
 
         def add(seen, point):
-            more = F.struct((seen["weight"] + point["weight"]).alias("weight"), point["value"].alias("value"))
-            return F.when(seen["weight"] >= enough, seen).otherwise(more)
+            weight, value = seen["weight"] + point["weight"], point["value"]
+            spread = F.greatest(seen["bulk"] - seen["median"], F.lit(least_spread).cast("long"))
+            # A language of few rows tells little: the size of its scores counts as spread.
+            wider = F.coalesce(F.floor(F.abs(seen["bulk"]) * self.min_rows / lang_rows), F.lit(0).cast("long"))
+            far = seen["bulk"].isNotNull() & (value - seen["last"] >= self.gap * spread + wider)
+            return F.struct(
+                weight.alias("weight"),
+                value.alias("last"),
+                F.coalesce(seen["median"], F.when(weight >= 0.5 * total - 1e-6, value)).alias("median"),
+                F.coalesce(seen["bulk"], F.when(weight >= BULK * total - 1e-6, value)).alias("bulk"),
+                F.coalesce(seen["middle"], F.when(far, seen["last"] + F.floor((value - seen["last"]) / 2))).alias("middle"),
+            )
 
-        start = F.struct(F.lit(0.0).alias("weight"), F.lit(None).cast("long").alias("value"))
-        return F.aggregate(F.sort_array(F.concat(*each)), start, add, lambda seen: seen["value"])
+        start = F.struct(F.lit(0.0).alias("weight"), *(none.alias(c) for c in ("last", "median", "bulk", "middle")))
+        return F.aggregate(points, start, add, lambda seen: seen["middle"])
 
     def _named(self, df: DataFrame, prefix: str) -> DataFrame:
         return df.select(*(F.col(c).alias(prefix + c) for c in df.columns))
@@ -231,24 +243,24 @@ class QualityRules:
         """``docs`` with the counts, ``base_failed`` and ``kept``.
 
         The base rules always reject. Of the rest, a document is rejected when a score is
-        beyond both its group's threshold and what the measure allows anyway. Repeated rows
+        beyond its group's threshold. Repeated rows
         and NULLs stay and count; an empty table gives an empty one. Columns of the
         names made here (scores ``m_<name>`` too, which are left out) are replaced.
         """
         scored = self.scored(docs, text_col)
         limits = materialize(self.thresholds(scored, lang_col, source_col), "quality-limits")
+        return self.verdicts(scored, limits, lang_col, source_col)
+
+    def verdicts(self, scored: DataFrame, limits: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+        """Scored documents with ``kept`` by the thresholds of their groups."""
         limits = limits.select(F.struct(*limits.columns).alias(LIMITS))
         of = F.col(LIMITS)
         same = scored[lang_col].eqNullSafe(of["lang"]) & scored[source_col].eqNullSafe(of["source"])
         judged = scored.join(self._sized(limits), same, "left")
         beyond = F.lit(False)
         for m in self.measures:
-            score, limit = F.col(f"m_{m.name}"), of[f"t_{m.name}"]
-            if m.low:
-                beyond = beyond | (score < F.least(limit, F.lit(m.allowed)))
-            else:
-                beyond = beyond | (score > F.greatest(limit, F.lit(m.allowed)))
-        kept = ~F.col("base_failed") & ~F.coalesce(beyond, F.lit(False))
+            beyond = beyond | F.coalesce(F.col(f"m_{m.name}") > of[f"t_{m.name}"], F.lit(False))
+        kept = ~F.col("base_failed") & ~beyond
         made = {"kept", *(f"m_{m.name}" for m in self.measures)}
         return judged.select(*(F.col(f"`{c}`") for c in scored.columns if c not in made), kept.alias("kept"))
 

@@ -1,7 +1,9 @@
 """Counts against plain Python; thresholds against exact quantiles."""
 
+import math
 import random
 import re
+from dataclasses import replace
 
 import pyarrow as pa
 import pytest
@@ -86,13 +88,73 @@ def test_thresholds_adapt_to_their_group(spark, docs_of):
     assert levels == {("en", "code"): (100, "source"), ("en", "prose"): (101, "source"), ("xx", "small"): (2, "all")}
 
 
-def test_quantiles_are_exact_for_small_groups(docs_of):
-    texts = [("w" * (i % 13 + 1) + " ") * 30 + str(i) for i in range(120)]
-    rules = quality.QualityRules(min_rows=10, measures=(quality.Measure("len", "word_chars * 1000 DIV greatest(n_words, 1)", 0),), max_repeat_percent=100)
-    row = rules.thresholds(rules.scored(docs_of(texts))).first()
-    values = sorted(brute(t)[1] * 1000 // brute(t)[0] for t in texts)
-    q25, q75 = values[30 - 1], values[90 - 1]
-    assert row.t_len == q75 + 3 * (q75 - q25)
+def brute_threshold(own, lang, everyone, least, gap, lent, of_language, min_rows):
+    """The middle of the first wide gap, from plain sorted lists."""
+
+    def quantiles(values):
+        values = sorted(values)
+        return [values[math.ceil(i * len(values) / 128) - 1] for i in range(1, 129)]
+
+    weights = {"own": len(own), "lang": lent * len(lang) / (len(lang) + lent), "all": lent * lent / (len(lang) + lent)}
+    parts = {"own": own, "lang": lang, "all": everyone}
+    if of_language:
+        weights, parts = {"own": len(own), "lang": lent}, {"own": own, "lang": lang}
+    points = sorted((v, weights[name]) for name, values in parts.items() for v in quantiles(values))
+    total, seen, median, bulk, last = 128 * sum(weights.values()), 0.0, None, None, None
+    for value, weight in points:
+        if bulk is not None:
+            wider = math.floor(abs(bulk) * min_rows / len(lang)) if of_language else 0
+            if value - last >= gap * max(bulk - median, least) + wider:
+                return last + (value - last) // 2
+        seen, last = seen + weight, value
+        median = value if median is None and seen >= 0.5 * total - 1e-6 else median
+        bulk = value if bulk is None and seen >= 0.75 * total - 1e-6 else bulk
+    return None
+
+
+@pytest.mark.parametrize("of_language", [False, True])
+def test_thresholds_of_small_groups_match_plain_lists(docs_of, of_language):
+    rng = random.Random(7)
+    text = lambda n: " ".join("w" * max(1, round(rng.gauss(n, 0.5))) for _ in range(40))
+    sizes = {("en", "a"): [5] * 90 + [9] * 4, ("en", "b"): [5] * 7 + [30], ("en", "c"): [4, 5, 6] * 20, ("de", "a"): [8] * 300 + [20] * 3, ("xx", "a"): [5]}
+    docs, scores, first = None, {}, 0
+    for (lang, source), lengths in sizes.items():
+        texts = [text(n) for n in lengths]
+        scores[lang, source] = [brute(t)[1] * 1000 // brute(t)[0] for t in texts]
+        part = docs_of(texts, lang=lang, source=source).withColumn("doc_id", F.col("doc_id") + first)
+        docs, first = (part if docs is None else docs.unionByName(part)), first + len(texts)
+    measure = quality.Measure("len", quality.WORD_LENGTH, 30, of_language)
+    rules = quality.QualityRules(min_rows=50, measures=(measure,), max_repeat_percent=100)
+    got = {(r.lang, r.source): r.t_len for r in rules.thresholds(rules.scored(docs)).collect()}
+    everyone = [x for values in scores.values() for x in values]
+    by_lang = {lang: [x for (of, _), values in scores.items() if of == lang for x in values] for lang, _ in scores}
+    expected = {key: brute_threshold(scores[key], by_lang[key[0]], everyone, 30, 6, 5.0, of_language, 50) for key in scores}
+    assert got == expected and sum(t is not None for t in got.values()) >= 2
+
+
+def test_thresholds_decide(spark, testdata):
+    """On the given tables the learnt thresholds reject, group by group; those of other groups
+    would not do; and the least spreads, the only constants left, change nothing."""
+    docs = spark.read.parquet(f"{testdata}/sf0.1/documents.parquet")
+    rules = quality.QualityRules()
+    scored = rules.scored(docs).drop("text").persist()
+    limits = rules.thresholds(scored).persist()
+    kept = {r.doc_id for r in rules.verdicts(scored, limits).where("kept").collect()}
+    learnt = limits.where(F.coalesce(*(f"t_{m.name}" for m in rules.measures)).isNotNull()).count()
+    rejected = rules.verdicts(scored, limits).where("NOT kept AND NOT base_failed").select("lang", "source").distinct().count()
+    assert (limits.count(), learnt, rejected) == (80, 80, 80)
+    bare = tuple(replace(m, least_spread=1) for m in rules.measures[:1]) + rules.measures[1:]
+    assert {r.doc_id for r in replace(rules, measures=bare).verdicts(scored, replace(rules, measures=bare).thresholds(scored)).where("kept").collect()} == kept
+    # Every group with the thresholds of the next one.
+    rows = sorted(limits.collect(), key=lambda r: (r.lang, r.source))
+    moved = [(a.lang, a.source, *b[2:]) for a, b in zip(rows, rows[1:] + rows[:1], strict=True)]
+    other = {r.doc_id for r in rules.verdicts(scored, spark.createDataFrame(moved, limits.schema)).where("kept").collect()}
+    assert len(kept ^ other) > 0
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{testdata}/sf0.1/labels.parquet").collect()}
+    judged = [labels[r.doc_id] for r in scored.where("NOT base_failed").select("doc_id").collect() if r.doc_id in labels and r.doc_id not in kept]
+    good = [r.doc_id for r in scored.where("NOT base_failed").collect() if labels.get(r.doc_id) == 1]
+    assert sum(judged) <= 0.02 * len(judged) and sum(i not in kept for i in good) <= 0.002 * len(good)
+    scored.unpersist(), limits.unpersist()
 
 
 def test_null_groups_repeats_and_empty_tables(spark, docs_of):
