@@ -101,6 +101,41 @@ def exact_bag_steps(source: str) -> list[tuple[str, str]]:
     ]
 
 
+def block_bag_steps(source: str) -> list[tuple[str, str]]:
+    """Counts of draws within blocks of 10,000 positions."""
+    begin = f"(d.id // {K}) // 10000 * 10000"
+    u = wide_uniform("d.id", f"{q.SEED}:blockdraw")
+    return [
+        *exact_bag_steps(source)[:2],
+        (
+            "draws",
+            f"SELECT d.id % {K} AS k, {begin} + floor({u} * least(10000, s.n - {begin})::DOUBLE)::BIGINT AS pos "
+            f"FROM dense_size s, LATERAL (SELECT unnest(range(s.n * {K})) AS id) d",
+        ),
+        ("draw_counts", "SELECT k, pos, count(*) AS n FROM draws GROUP BY k, pos"),
+    ]
+
+
+def weighted_bag_steps(source: str) -> list[tuple[str, str]]:
+    """Counts of draws by weight: rows as runs of whole units on a line, the heavy ones at its
+    end, and the run in which a random unit lies."""
+    return [
+        ("units", f"SELECT row_id, floor(weight * pow(2, 51 - floor(log2((SELECT sum(weight) FROM {source})))) + 0.5)::BIGINT AS u FROM {source}"),
+        (
+            "line",
+            "SELECT row_id, (sum(u) OVER (ORDER BY u > 137438953472, md5(row_id::VARCHAR || "
+            f"':{q.SEED}:dense'), row_id) - u)::BIGINT AS start FROM units WHERE u > 0",
+        ),
+        ("whole", "SELECT count(*) AS n, sum(u)::BIGINT AS u FROM units"),
+        (
+            "draws",
+            f"SELECT d.id % {K} AS k, floor({wide_uniform('d.id', f'{q.SEED}:wdraw')} * w.u::DOUBLE)::BIGINT AS unit "
+            f"FROM whole w, LATERAL (SELECT unnest(range(w.n * {K})) AS id) d",
+        ),
+        ("draw_counts", "SELECT row_id, k, count(*) AS n FROM draws ASOF JOIN line ON unit >= start GROUP BY row_id, k"),
+    ]
+
+
 def bagged_steps(config: CoTrainConfig) -> list[tuple[str, str]]:
     if config.bootstrap == "poisson":
         u = uniform("row_id", f"{config.seed}:bag", "k")
@@ -416,6 +451,18 @@ def all_sql() -> dict[str, str]:
             + columns("coalesce(max(n) FILTER (WHERE k = {i}), 0)::INTEGER AS bag_{i}", K)
             + " FROM dense LEFT JOIN draw_counts USING (pos) GROUP BY row_id",
         ),
+        "b1_block_bags": statement(
+            [("ids", "SELECT event_id AS row_id FROM events"), *block_bag_steps("ids")],
+            "SELECT row_id, "
+            + columns("coalesce(max(n) FILTER (WHERE k = {i}), 0)::INTEGER AS bag_{i}", K)
+            + " FROM dense LEFT JOIN draw_counts USING (pos) GROUP BY row_id",
+        ),
+        "b2_weighted_bootstrap": statement(
+            [("prices", "SELECT o_orderkey AS row_id, o_totalprice AS weight FROM orders"), *weighted_bag_steps("prices")],
+            "SELECT row_id, "
+            + columns("coalesce(max(n) FILTER (WHERE k = {i}), 0)::INTEGER AS bag_{i}", K)
+            + " FROM prices LEFT JOIN draw_counts USING (row_id) GROUP BY row_id",
+        ),
         "b3_inbag_rows": statement(
             event_bags,
             "SELECT row_id, k, 1::DOUBLE AS weight FROM (SELECT row_id, k, unnest(range(bag)) FROM bags)",
@@ -529,6 +576,19 @@ def all_sql() -> dict[str, str]:
             f"CASE WHEN confidence > {config.threshold}::DOUBLE THEN confidence ELSE 0 END AS confidence FROM loo",
         ),
         "e1_oob_error": statement(errors, "SELECT * FROM errors_0"),
+        "e1_weighted_error": statement(
+            [
+                *errors,
+                (
+                    "weighed",
+                    f"SELECT o.k, decision, label, coalesce(confidence, 0) > {config.threshold}::DOUBLE AS sure, "
+                    "(row_id % 5 + 1)::DOUBLE / 3::DOUBLE AS w FROM oob_0 o JOIN lab USING (row_id)",
+                ),
+            ],
+            "SELECT k, counted, wrong, wrong / nullif(counted, 0) AS err FROM (SELECT k, "
+            "coalesce(sum(w) FILTER (WHERE sure), 0)::DOUBLE AS counted, "
+            "coalesce(sum(w) FILTER (WHERE sure AND decision <> label), 0)::DOUBLE AS wrong FROM weighed GROUP BY k)",
+        ),
         "e2_draw_size": statement(
             [*errors, opened_step(0, config)], "SELECT k, gate1, s_prev, n FROM opened_0"
         ),
@@ -539,6 +599,23 @@ def all_sql() -> dict[str, str]:
         "e4_subsample_exact": statement(
             [*event_sizes, ("drawn", drawn_sql("ids", "sizes", "SELECT n FROM ids_size", sub0, "exact"))], pairs
         ),
+        "e4_weighted_draw": statement(
+            [
+                ("whole", "SELECT floor(sum(o_totalprice))::BIGINT AS w FROM orders"),
+                ("sizes", f"SELECT k, w * (k + 1) // 20 AS n FROM whole, {ks}"),
+                (
+                    "upto",
+                    "SELECT k, o_orderkey AS row_id, n, sum(o_totalprice) OVER (PARTITION BY k ORDER BY "
+                    f"{word('o_orderkey', sub0, 'k')}, o_orderkey ROWS UNBOUNDED PRECEDING) AS w FROM orders, sizes",
+                ),
+            ],
+            "SELECT k, row_id FROM upto WHERE w <= n",
+        ),
+        # Thirds of prices are whole multiples of 2^-60, which HUGEINT adds up exactly.
+        "e5_exact_sums": "SELECT l_returnflag, l_linestatus, (s // 1152921504606846976)::DOUBLE "
+        "+ (s % 1152921504606846976)::BIGINT::DOUBLE / pow(2, 60) AS s FROM ("
+        "SELECT l_returnflag, l_linestatus, sum(CAST(l_extendedprice / 3::DOUBLE * pow(2, 60) AS HUGEINT)) AS s "
+        "FROM lineitem GROUP BY l_returnflag, l_linestatus)",
         "e5_li_weight": statement(round0, "SELECT * FROM weights_0"),
         "e6_pseudo_labels": statement(round0, "SELECT k, row_id, pseudo_label, confidence FROM li_0"),
         "e8_gates": statement(

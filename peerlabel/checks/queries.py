@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from peerlabel.config import CoTrainConfig
 from peerlabel.functions import gates, voting
+from peerlabel.functions.exact import exact_sum
 from peerlabel.operators import bags, metrics, rounds, subsample
 from peerlabel.operators.members import (
     bucket_members,
@@ -128,6 +131,16 @@ def b2_exact_bootstrap(spark, sf):
     return _bag_columns(bags.exact_bags(views.order_ids(spark, sf), K, seed=SEED))
 
 
+def b1_block_bags(spark, sf):
+    """Draws within blocks of 10,000 positions, each block's counts adding up to its size."""
+    return _bag_columns(bags.block_bags(views.event_ids(spark, sf), K, seed=SEED))
+
+
+def b2_weighted_bootstrap(spark, sf):
+    """Orders drawn with replacement in proportion to their price."""
+    return _bag_columns(bags.weighted_bags(views.order_weights(spark, sf), K, seed=SEED))
+
+
 def b3_inbag_rows(spark, sf):
     bagged = bags.poisson_bags(views.event_ids(spark, sf), K, SEED)
     return bags.in_bag_rows_of_all(bagged, list(range(K)), expand=True).select("row_id", "k", "weight")
@@ -383,6 +396,12 @@ def e1_oob_error(spark, sf):
     return rounds.out_of_bag_errors(_errors(spark, sf))
 
 
+def e1_weighted_error(spark, sf):
+    """Out-of-bag errors where labelled rows weigh a third to five thirds."""
+    weighed = _voted_bagged(spark, sf).withColumn("weight", (F.col("row_id") % 5 + 1) / F.lit(3.0))
+    return rounds.out_of_bag_errors(rounds.labelled_errors(weighed, CONFIG, "weight"))
+
+
 def e2_draw_size(spark, sf):
     n_unlabelled = _unlabelled(spark, sf).count()
     opened = _opened(spark, sf, _voters(spark, sf), n_unlabelled)
@@ -410,6 +429,21 @@ def e4_subsample_exact(spark, sf):
     return _drawn_pairs(subsample.exact_draw(rows, _twentieths(n), n, K, SEED))
 
 
+def e4_weighted_draw(spark, sf):
+    """Orders in random order up to a twentieth to a quarter of all prices."""
+    rows = views.order_weights(spark, sf)
+    _, whole = bags.weight_total(rows, F.col("weight"))
+    sizes = {k: n for k, n in _twentieths(math.floor(whole)).items()}
+    return _drawn_pairs(subsample.weighted_draw(rows, sizes, whole, K, SEED))
+
+
+def e5_exact_sums(spark, sf):
+    """Sums of thirds of prices that come out the same however the lines are dealt out."""
+    lines = views.table(spark, sf, "lineitem")
+    third = F.col("l_extendedprice") / F.lit(3.0)
+    return lines.groupBy("l_returnflag", "l_linestatus").agg(exact_sum(third).alias("s"))
+
+
 def e5_li_weight(spark, sf):
     _, _, ks, sampled = _first_round(spark, sf)
     return rounds.every_member(
@@ -528,12 +562,13 @@ def g1_quality(spark, sf):
 
 REGISTERED = (
     a1_parse_features, a4_split, a6_sizes,
-    b1_bag_counts, b2_exact_bootstrap, b3_inbag_rows, b4_oob_flags, b5_bag_summary,
+    b1_bag_counts, b1_block_bags, b2_exact_bootstrap, b2_weighted_bootstrap, b3_inbag_rows, b4_oob_flags, b5_bag_summary,
     c1_bucket_votes, c2_lr_every, c2_lr_member, c2_lr_words, c3_hard_vote, c4_tree_every, c4_tree_member,
     c4_tree_words, c5_subspace_sizes, c6_round0_state, c7_baseline_error, c7_every_error, c7_words_error,
     d1_member_votes, d2_ensemble_dist, d2_scored_dist, d3_loo_dist, d3_soft_loo, d4_oob_loo_dist, d5_normalise_minmax,
     d6_normalise_sum, d7_argmax, d8_confidence, d9_classify, d10_high_confidence,
-    e1_oob_error, e2_draw_size, e3_subsample_bernoulli, e4_subsample_exact, e5_li_weight,
+    e1_oob_error, e1_weighted_error, e2_draw_size, e3_subsample_bernoulli, e4_subsample_exact,
+    e4_weighted_draw, e5_exact_sums, e5_li_weight,
     e6_pseudo_labels, e8_gates, e9_retrain_set, e9_round1_votes, e11_loop_history,
     e11_paper_history,
     f1_test_error, f1_error_rate, f2_error_by_class, f3_train_error,

@@ -29,6 +29,10 @@ class CoTrainConfig:
 
     ``threshold`` 0 means 0.75. ``n_members`` 0 means "as many as were passed".
     ``init_s_prime`` None means ``min(|U| / 10, 100)``.
+
+    ``weight_col`` names a column of weights that labelled and unlabelled rows have. Then an
+    exact bootstrap draws by weight, and Poisson bags keep their counts, each draw weighing its
+    row's weight; errors are shares of weight; |U| and the draws from it are weights too.
     """
 
     n_classes: int
@@ -46,6 +50,7 @@ class CoTrainConfig:
     seed: int = 1
     parallelism: int = 4
     persist_inputs: bool = False
+    weight_col: str | None = None
 
     def __post_init__(self):
         if self.threshold == 0:
@@ -64,7 +69,9 @@ class CoTrainConfig:
             raise ValueError("parallelism must be at least 1")
         _one_of("normaliser", self.normaliser, (MINMAX, SUM))
         _one_of("subsample", self.subsample, ("bernoulli", "exact"))
-        _one_of("bootstrap", self.bootstrap, ("poisson", "exact"))
+        _one_of("bootstrap", self.bootstrap, ("poisson", "exact", "block"))
+        if self.bootstrap == "block" and self.weight_col is not None:
+            raise ValueError("the block bootstrap knows no weights")
         _one_of("subspace_rule", self.subspace_rule, ("ceil", "floor"))
 
     @classmethod
@@ -91,7 +98,7 @@ class CoTrainConfig:
             raise ValueError("at least 2 members are needed")
         return replace(self, n_members=n_given)
 
-    def starting_weight(self, n_unlabelled: int) -> float:
+    def starting_weight(self, n_unlabelled: float) -> float:
         if self.init_s_prime is not None:
             return float(self.init_s_prime)
         return float(min(n_unlabelled / 10, 100.0))

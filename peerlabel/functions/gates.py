@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,9 +22,9 @@ def starting_weight(gate1: Column, s_prev: Column, initial: float) -> Column:
     return F.when(gate1 & (s_prev == 0), F.lit(float(initial))).otherwise(s_prev)
 
 
-def draw_size(err: Column, err_prev: Column, s_prev: Column, n_unlabelled: int) -> Column:
+def draw_size(err: Column, err_prev: Column, s_prev: Column, n_unlabelled: float) -> Column:
     """``min(ceil(err' s' / err - 1), |U|)``; everything when the error is zero."""
-    everything = F.lit(int(n_unlabelled)).cast("bigint")
+    everything = F.lit(math.ceil(n_unlabelled)).cast("bigint")
     # Compared as doubles first: the quotient can exceed the range of BIGINT.
     wanted = F.ceil(F.least(F.try_divide(err_prev * s_prev, err) - 1, F.lit(float(n_unlabelled))))
     return F.when(err == 0, everything).otherwise(F.least(wanted.cast("bigint"), everything))

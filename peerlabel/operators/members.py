@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peerlabel.config import CoTrainConfig
+from peerlabel.functions.exact import exact_sum
 from peerlabel.functions.voting import checked_vote, hard_vote
 
 MAX_FLAG_BITS = 12
@@ -252,7 +253,7 @@ class BucketMember:
         )
         weights = (
             rows.groupBy("k", in_range.alias(feature_col), "label")
-            .agg(F.sum("weight").alias("w"))
+            .agg(exact_sum(F.col("weight")).alias("w"))
             .filter(F.col("w") > 0)
             .collect()  # at most members x 2^n_bits x classes rows
         )
@@ -345,13 +346,24 @@ def with_votes(rows: DataFrame, voters: Sequence[Voter], n_classes: int | None =
     many values as there are classes, NaN as NULL. ``n_classes`` is that of the voters
     unless given; voters that do not tell theirs are checked only if it is given.
     """
-    names = [f"_v{k}" for k in range(len(voters))]
-    scored = rows
-    for name, voter in zip(names, voters):
+    scored, votes = _asked(rows, dict(enumerate(voters)), n_classes)
+    return scored.select(*rows.columns, F.array(*[votes[k] for k in range(len(voters))]).alias("votes"))
+
+
+def with_new_votes(rows: DataFrame, changed: dict[int, Voter], n_members: int, n_classes: int | None = None) -> DataFrame:
+    """``rows`` with the ``votes`` of the ``changed`` members asked for anew; the others' stay."""
+    scored, votes = _asked(rows, changed, n_classes)
+    every = [votes.get(k, F.col("votes")[k]) for k in range(n_members)]
+    return scored.select(*[c for c in rows.columns if c != "votes"], F.array(*every).alias("votes"))
+
+
+def _asked(rows: DataFrame, voters: dict[int, Voter], n_classes: int | None) -> tuple[DataFrame, dict[int, Column]]:
+    """``rows`` with a column for each voter, and by member the vote to take from it."""
+    scored, votes = rows, {}
+    for k, voter in voters.items():
+        name = f"_v{k}"
         scored = voter.vote(scored, name)
-    votes = [
-        F.col(name) if wanted is None or getattr(voter, "hard", False) else checked_vote(F.col(name), wanted)
-        for name, voter in zip(names, voters)
-        for wanted in [n_classes or getattr(voter, "n_classes", None)]
-    ]
-    return scored.select(*rows.columns, F.array(*votes).alias("votes"))
+        wanted = n_classes or getattr(voter, "n_classes", None)
+        unchecked = wanted is None or getattr(voter, "hard", False)
+        votes[k] = F.col(name) if unchecked else checked_vote(F.col(name), wanted)
+    return scored, votes

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peerlabel.config import CoTrainConfig
 from peerlabel.functions import voting
+from peerlabel.functions.exact import exact_sum
 from peerlabel.operators.bags import each_member
 
 ENSEMBLE = -1
@@ -27,17 +28,20 @@ def out_of_bag_decisions(rows: DataFrame, config: CoTrainConfig, ks: list[int] |
     )
 
 
-def labelled_errors(rows: DataFrame, config: CoTrainConfig) -> DataFrame:
+def labelled_errors(rows: DataFrame, config: CoTrainConfig, weight_col: str | None = None) -> DataFrame:
     """Out-of-bag error of every member and training error of the ensemble, in one pass.
 
     ``(k, counted, wrong, missed, n_rows)``; ``k`` = ``ENSEMBLE`` is the whole group,
     where every member votes on every row. Rows are combined before the shuffle,
-    which carries K + 1 groups per task.
+    which carries K + 1 groups per task. With ``weight_col``, ``counted`` and ``wrong`` are
+    exact sums of weights, DOUBLE; with weights of 1 their quotient is the same.
     """
     k = F.col("k")
     voters = [(k == ENSEMBLE) | ((k != i) & (F.col("bag")[i] == 0)) for i in range(config.n_members)]
     judged = voting.with_decision(
-        each_member(rows.select("label", "bag", "votes"), [ENSEMBLE, *range(config.n_members)]),
+        each_member(
+            rows.select("label", "bag", "votes", *([weight_col] if weight_col else [])), [ENSEMBLE, *range(config.n_members)]
+        ),
         config.n_members,
         config.n_classes,
         config.normaliser,
@@ -46,9 +50,15 @@ def labelled_errors(rows: DataFrame, config: CoTrainConfig) -> DataFrame:
     )
     counted = voting.is_confident(F.col("confidence"), config.threshold)
     missed = F.col("decision") != F.col("label")
+
+    def size(rows_of: Column) -> Column:
+        if weight_col is None:
+            return F.sum(rows_of.cast("bigint"))
+        return exact_sum(F.when(rows_of, F.col(weight_col).cast("double")).otherwise(0.0))
+
     return judged.groupBy("k").agg(
-        F.sum(counted.cast("bigint")).alias("counted"),
-        F.sum((counted & missed).cast("bigint")).alias("wrong"),
+        size(counted).alias("counted"),
+        size(counted & missed).alias("wrong"),
         F.sum(missed.cast("bigint")).alias("missed"),
         F.count(F.lit(1)).alias("n_rows"),
     )
@@ -109,7 +119,7 @@ def pseudo_labels_of(sampled: DataFrame, config: CoTrainConfig, k: int) -> DataF
 def pseudo_label_weights(labels: DataFrame) -> DataFrame:
     """``(k, li_size, s)``: number and summed confidence of each member's labels."""
     return labels.groupBy("k").agg(
-        F.count(F.lit(1)).alias("li_size"), F.sum("confidence").alias("s")
+        F.count(F.lit(1)).alias("li_size"), exact_sum(F.col("confidence")).alias("s")
     )
 
 
@@ -124,13 +134,17 @@ def every_member(per_member: DataFrame, ks: list[int]) -> DataFrame:
     )
 
 
-def retraining_rows(labelled: DataFrame, labels: DataFrame, feature_col: str, weighted: bool) -> DataFrame:
+def retraining_rows(
+    labelled: DataFrame, labels: DataFrame, feature_col: str, weighted: bool, weight_col: str | None = None
+) -> DataFrame:
     """Original labelled rows together with pseudo-labelled ones; both may carry ``k``.
 
-    Pseudo-labelled rows weigh their confidence if ``weighted``, else 1.
+    Pseudo-labelled rows weigh their confidence if ``weighted``, else 1; original ones
+    what ``weight_col`` says, else 1.
     """
     keys = [c for c in ("k", "row_id") if c in labels.columns and c in labelled.columns]
     weight = F.col("confidence") if weighted else F.lit(1.0)
-    original = labelled.select(*keys, feature_col, "label", F.lit(1.0).alias("weight"))
+    own = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
+    original = labelled.select(*keys, feature_col, "label", own.alias("weight"))
     added = labels.select(*keys, feature_col, F.col("pseudo_label").alias("label"), weight.alias("weight"))
     return original.unionByName(added)

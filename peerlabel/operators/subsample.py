@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 from functools import reduce
 from operator import or_
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from peerlabel.functions.exact import LOWEST, N_LIMBS, limbs, total
 from peerlabel.functions.hashing import WIDE_RANGE, WORD_RANGE, wide_words, words
 
 WORD_BITS = 32
@@ -34,9 +36,9 @@ def _keep_drawn(hashed: DataFrame, kept: list[str], flags: dict[int, Column], n_
     return hashed.select(*kept, chosen)
 
 
-def words_accepted(size: int, n_rows: int) -> int:
+def words_accepted(size: int, n_rows: float) -> int:
     """How many of the 2^52 hash words are drawn, for ``size`` rows of ``n_rows`` on average."""
-    return min(WIDE_RANGE, -(-size * WIDE_RANGE // n_rows))
+    return min(WIDE_RANGE, math.ceil(Fraction(size * WIDE_RANGE) / Fraction(n_rows)))
 
 
 def bernoulli_draw(
@@ -160,5 +162,88 @@ def _lookup(values: dict[int, int]) -> Column:
     return out
 
 
-def draw(method: str, *args, **kwargs) -> DataFrame:
-    return (exact_draw if method == "exact" else bernoulli_draw)(*args, **kwargs)
+def weighted_draw(
+    rows: DataFrame,
+    sizes: dict[int, int],
+    whole: float,
+    n_members: int,
+    seed: int = 1,
+    round_no: int = 0,
+    row_id: str = "row_id",
+    weight_col: str = "weight",
+) -> DataFrame:
+    """Keep for member k the rows in draw order up to a total weight of ``sizes[k]``.
+
+    Rows come in the order of ``(hash word, row id)``, as in :func:`exact_draw`; the first one
+    with which the running weight exceeds the size ends the draw. ``whole`` is the weight of
+    all rows. The cut is searched for in three passes of counted weights (upper bits
+    of the words, lower bits, rows of one word); the rows are neither sorted nor moved. Running
+    weights are exact sums, so the cut does not depend on the layout.
+    """
+    hashed = _with_words(rows, sizes, n_members, seed, round_no, row_id)
+    flags = {k: F.lit(True) for k, n in sizes.items() if n >= whole}
+    partial = {k: n for k, n in sizes.items() if n < whole}
+    if partial:
+        for k, (word, last_id) in _weight_cuts(hashed, partial, row_id, F.col(weight_col).cast("double")).items():
+            w = F.col(f"_w{k}")
+            same = F.lit(False) if last_id is None else F.col(row_id) <= F.lit(last_id)
+            flags[k] = (w < word) | ((w == word) & same)
+    return _keep_drawn(hashed, rows.columns, flags, n_members)
+
+
+def _weight_cuts(hashed, sizes, row_id, weight):
+    """Per member, the hash word in which the draw ends and the last row drawn of that word."""
+    ks = sorted(sizes)
+    low_bits = WORD_BITS - MAX_TOP_BITS
+    parts = dict(zip(_LIMBS, limbs(weight)))
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_w{k}").alias("word")) for k in ks])
+    long = hashed.select(row_id, *[part.alias(name) for name, part in parts.items()], F.inline(pairs))
+    top = F.shiftright("word", low_bits)
+    none = {k: (0,) * len(_LIMBS) for k in ks}
+    tops = _first_beyond(long.withColumn("b", top), "b", sizes, none)
+    in_top = long.filter(top == _lookup({k: b for k, (b, _) in tops.items()}))
+    words_cut = _first_beyond(in_top, "word", sizes, {k: before for k, (_, before) in tops.items()})
+    same = in_top.filter(F.col("word") == _lookup({k: w for k, (w, _) in words_cut.items()}))
+    running = _running(same, row_id, {k: before for k, (_, before) in words_cut.items()})
+    last = running.filter(_excess(sizes) <= 0).groupBy("k").agg(F.max(row_id).alias("last")).collect()
+    last_ids = {row.k: row["last"] for row in last}
+    return {k: (w, last_ids.get(k)) for k, (w, _) in words_cut.items()}
+
+
+_LIMBS = tuple(f"_limb{i}" for i in range(N_LIMBS))
+
+
+def _running(rows, by, before):
+    """``rows`` with the running sums of their limbs in the order of ``by``, on top of ``before``."""
+    order = W.partitionBy("k").orderBy(by)
+    start = [_lookup({k: sums[i] for k, sums in before.items()}) for i in range(len(_LIMBS))]
+    return rows.withColumns({f"{name}_upto": F.sum(name).over(order) + start[i] for i, name in enumerate(_LIMBS)})
+
+
+def _excess(sizes):
+    """Running weight less the size: the sign is exact."""
+    sums = [F.col(f"{name}_upto") for name in _LIMBS]
+    whole = -LOWEST  # the limb that counts ones
+    sums[whole] = sums[whole] - _lookup(sizes)
+    return total(sums)
+
+
+def _first_beyond(rows, key, sizes, before):
+    """Per member, the first value of ``key`` with which the running weight exceeds the size,
+    and the limbs of the weight before it."""
+    sums = rows.groupBy("k", F.col(key).alias("b")).agg(*[F.sum(name).alias(name) for name in _LIMBS])
+    beyond = _running(sums, "b", before).filter(_excess(sizes) > 0)
+    earlier = [(F.col(f"{name}_upto") - F.col(name)).alias(name) for name in _LIMBS]
+    first = beyond.groupBy("k").agg(F.min_by(F.struct("b", *earlier), "b").alias("cut"))
+    return {row.k: (int(row.cut["b"]), tuple(row.cut[name] for name in _LIMBS)) for row in first.collect()}
+
+
+def draw(
+    method: str, rows: DataFrame, sizes: dict[int, int], n_rows: float, n_members: int, *args, weight_col: str | None = None, **kwargs
+) -> DataFrame:
+    """The subsample by one of the methods; with weights ``sizes`` and ``n_rows`` are weights."""
+    if method != "exact":
+        return bernoulli_draw(rows, sizes, n_rows, n_members, *args, **kwargs)
+    if weight_col is not None:
+        return weighted_draw(rows, sizes, n_rows, n_members, *args, weight_col=weight_col, **kwargs)
+    return exact_draw(rows, sizes, n_rows, n_members, *args, **kwargs)

@@ -18,11 +18,15 @@ from pyspark.sql import functions as F
 from peerlabel.config import CoTrainConfig
 from peerlabel.functions import gates, voting
 from peerlabel.operators import rounds
-from peerlabel.operators.bags import in_bag_rows, in_bag_rows_of_all, each_member, with_bags
-from peerlabel.operators.members import Member, Voter, fit_members, with_votes
+from peerlabel.operators.bags import each_member, in_bag_rows, in_bag_rows_of_all, weight_total, with_bags
+from peerlabel.operators.members import Member, Voter, fit_members, with_new_votes, with_votes
 from peerlabel.operators.subsample import draw
+from peerlabel.plans.journal import BEFORE, Entry, Journal
+from peerlabel.sources.shared import remove, shared_dir, stored
 from peerlabel.sources.tables import local_table
 
+WEIGHT = "_instance_weight"
+
 HISTORY_SCHEMA = (
     "round INT, k INT, err DOUBLE, err_prev DOUBLE, n BIGINT, li_size BIGINT, s DOUBLE, "
     "s_prev DOUBLE, gate1 BOOLEAN, gate2 BOOLEAN, gate3 BOOLEAN, updated BOOLEAN, train_error DOUBLE"
@@ -66,29 +70,36 @@ def cotrain(
     members: Sequence[Member],
     config: CoTrainConfig,
     featurise: Callable[[DataFrame], DataFrame] | None = None,
+    journal: str | None = None,
 ) -> CoTrainResult:
     """Train ``members`` on ``labelled`` and let them label ``unlabelled`` for each other.
 
     ``labelled`` has ``row_id``, the members' feature column and ``label`` in 0..C-1;
-    ``unlabelled`` the first two. Row ids must be unique within each table.
+    ``unlabelled`` the first two; both ``config.weight_col`` if that is set. Row ids must be
+    unique within each table.
 
     With ``featurise`` the tables hold raw columns instead of features. It makes the feature
     column from them, row by row, keeping the other columns, and is called on the
     rows drawn in a round, not on the whole unlabelled table.
+
+    With ``journal``, a folder that the driver's successor can read as well, every closed
+    round is noted there, and a call with the same tables and settings goes on after the last one.
     """
     featurise = featurise or (lambda rows: rows)
     config = config.for_members(len(members))
     feature_col = members[0].feature_col
     if any(m.feature_col != feature_col for m in members):
         raise ValueError("all members must read the same feature column")
-    # Only the exact bootstrap needs the size beforehand; ids alone are read for it.
-    n_draws = labelled.count() if config.bootstrap == "exact" else None
+    weight = [] if config.weight_col is None else [F.col(config.weight_col).cast("double").alias(WEIGHT)]
+    # The drawn bootstraps need the size beforehand; ids alone are read for it.
+    n_draws = labelled.count() if config.bootstrap in ("exact", "block") and not weight else None
     bagged = with_bags(
-        featurise(labelled).select("row_id", feature_col, F.col("label").cast("int").alias("label")),
+        featurise(labelled).select("row_id", feature_col, F.col("label").cast("int").alias("label"), *weight),
         config.n_members,
         config.bootstrap,
         config.seed,
         n_draws,
+        WEIGHT if weight else None,
     ).persist(StorageLevel.MEMORY_AND_DISK)
     pool = unlabelled
     if config.persist_inputs:
@@ -96,10 +107,15 @@ def cotrain(
     try:
         # These two also fill the caches, in as many tasks as the inputs have.
         n_labelled = _checked_size(bagged, config)
-        n_unlabelled = pool.count()
-        if n_unlabelled == 0:
+        if weight:
+            weight_total(bagged, F.col(WEIGHT))
+            n_rows, n_unlabelled = weight_total(pool, F.col(config.weight_col).cast("double"))
+        else:
+            n_rows = n_unlabelled = pool.count()
+        if n_rows == 0 or n_unlabelled == 0:
             raise ValueError("there are no unlabelled rows")
-        return _run(bagged, pool, n_labelled, n_unlabelled, members, feature_col, config, featurise)
+        book = Journal(bagged.sparkSession, journal, config, (n_labelled, n_unlabelled)) if journal else None
+        return _run(bagged, pool, n_labelled, n_unlabelled, members, feature_col, config, featurise, book)
     finally:
         bagged.unpersist()
         if config.persist_inputs:
@@ -120,61 +136,111 @@ def _checked_size(labelled, config):
     return size.n
 
 
-def _run(bagged, pool, n_labelled, n_unlabelled, members, feature_col, config, featurise):
+class _VoteTable:
+    """Labelled rows with the votes of all members, of which a round asks only the changed ones.
+
+    Each version is written to the shared folder, from the one before, and replaces it: lineage
+    ends at files, however many rounds there are, and a lost executor costs nothing.
+    """
+
+    def __init__(self, bagged: DataFrame, config: CoTrainConfig):
+        self.config, self.spark = config, bagged.sparkSession
+        self.folder, self.version = shared_dir(self.spark, "votes"), 0
+        self.rows = bagged
+
+    def ask(self, changed: dict[int, Voter]) -> DataFrame:
+        n = self.config.n_members
+        if len(changed) == n:
+            voted = with_votes(self.rows.drop("votes"), [changed[k] for k in range(n)], self.config.n_classes)
+        else:
+            voted = with_new_votes(self.rows, changed, n, self.config.n_classes)
+        last = self.version and f"{self.folder}/{self.version}"
+        self.version += 1
+        self.rows = stored(voted, f"{self.folder}/{self.version}")
+        if last:
+            remove(self.spark, last)
+        return self.rows
+
+    def close(self) -> None:
+        remove(self.spark, self.folder)
+
+
+def _run(bagged, pool, n_labelled, n_unlabelled, members, feature_col, config, featurise, journal):
     spark = bagged.sparkSession
     everyone = list(range(config.n_members))
-    voters = bagged_voters(bagged, members, config)
+    past = journal.entries() if journal else []
+    if past:
+        voters = [past[0].voters[k] for k in everyone]
+        states = past[0].states
+    else:
+        voters = bagged_voters(bagged, members, config)
+        states = [MemberState() for _ in everyone]
+        if journal:
+            journal.append(Entry(BEFORE, dict(enumerate(voters)), states, [], everyone))
     result = CoTrainResult(config, list(voters), voters, [], n_labelled, n_unlabelled)
-    states = [MemberState() for _ in everyone]
-
-    for round_no in range(config.max_rounds):
-        opened = start_round(with_votes(bagged, voters, config.n_classes), states, n_unlabelled, config)
-        sizes = {k: row["n"] for k, row in opened.items() if row["gate1"]}
-        if sizes:
-            drawn = draw(
-                config.subsample, pool, sizes, n_unlabelled, config.n_members, config.seed, round_no
-            )
-            features = featurise(drawn).select("row_id", feature_col, "drawn")
-            sampled = with_votes(features, voters, config.n_classes).persist(StorageLevel.MEMORY_AND_DISK)
-        else:
-            sampled = None
-        try:
-            closed = finish_round(sampled, opened, sorted(sizes), config, spark)
-            updated = [k for k in everyone if closed[k]["updated"]]
-            result.rounds.extend({"round": round_no, "k": k, **closed[k]} for k in everyone)
-            replaced = fit_members(
-                members,
-                updated,
-                lambda k: rounds.retraining_rows(
-                    bagged,
-                    rounds.pseudo_labels_of(sampled, config, k),
-                    feature_col,
-                    config.retrain_weights,
-                ),
-                lambda ks: rounds.retraining_rows(
-                    each_member(bagged, ks),
-                    rounds.pseudo_labels(sampled, config, ks),
-                    feature_col,
-                    config.retrain_weights,
-                ),
-                config.parallelism,
-            )
-        finally:
-            if sampled is not None:
-                sampled.unpersist()
-        voters = [replaced.get(k, voters[k]) for k in everyone]
-        for k in everyone:
-            row = closed[k]
-            states[k] = (
-                MemberState(row["err"], row["s"]) if row["updated"] else MemberState(row["err_prev"], row["s_prev"])
-            )
-        if not updated:
-            break
+    for entry in past[1:]:
+        voters = [entry.voters.get(k, voters[k]) for k in everyone]
+        states = entry.states
+        result.rounds.extend(entry.rounds)
     result.voters = voters
+    if past and not past[-1].updated:
+        return result  # the loop had stopped by itself
+
+    table = _VoteTable(bagged, config)
+    changed = dict(enumerate(voters))
+    try:
+        for round_no in range(max(len(past) - 1, 0), config.max_rounds):
+            opened = start_round(table.ask(changed), states, n_unlabelled, config, WEIGHT if config.weight_col else None)
+            sizes = {k: row["n"] for k, row in opened.items() if row["gate1"]}
+            closed, changed = _round(bagged, pool, n_unlabelled, members, feature_col, config, featurise, voters, opened, sizes, round_no)
+            voters = [changed.get(k, voters[k]) for k in everyone]
+            states = [
+                MemberState(row["err"], row["s"]) if row["updated"] else MemberState(row["err_prev"], row["s_prev"])
+                for row in (closed[k] for k in everyone)
+            ]
+            history = [{"round": round_no, "k": k, **closed[k]} for k in everyone]
+            result.rounds.extend(history)
+            result.voters = voters
+            if journal:
+                journal.append(Entry(round_no, changed, states, history, sorted(changed)))
+            if not changed:
+                break
+    finally:
+        table.close()
     return result
 
 
-def open_round(state: DataFrame, initial: float, n_unlabelled: int) -> DataFrame:
+def _round(bagged, pool, n_unlabelled, members, feature_col, config, featurise, voters, opened, sizes, round_no):
+    """What the round says of every member, and the new voters of those it updates."""
+    spark = bagged.sparkSession
+    weight_col = WEIGHT if config.weight_col else None
+    sampled = None
+    if sizes:
+        drawn = draw(
+            config.subsample, pool, sizes, n_unlabelled, config.n_members, config.seed, round_no, weight_col=config.weight_col
+        )
+        features = featurise(drawn).select("row_id", feature_col, "drawn")
+        sampled = with_votes(features, voters, config.n_classes).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        closed = finish_round(sampled, opened, sorted(sizes), config, spark)
+        updated = [k for k in range(config.n_members) if closed[k]["updated"]]
+        return closed, fit_members(
+            members,
+            updated,
+            lambda k: rounds.retraining_rows(
+                bagged, rounds.pseudo_labels_of(sampled, config, k), feature_col, config.retrain_weights, weight_col
+            ),
+            lambda ks: rounds.retraining_rows(
+                each_member(bagged, ks), rounds.pseudo_labels(sampled, config, ks), feature_col, config.retrain_weights, weight_col
+            ),
+            config.parallelism,
+        )
+    finally:
+        if sampled is not None:
+            sampled.unpersist()
+
+
+def open_round(state: DataFrame, initial: float, n_unlabelled: float) -> DataFrame:
     """Gate 1, the earlier weight in force and the draw size, per member."""
     return (
         state.withColumn("gate1", gates.gate_error_fell(F.col("err"), F.col("err_prev")))
@@ -205,15 +271,20 @@ def close_round(weighed: DataFrame) -> DataFrame:
 
 
 def start_round(
-    voted: DataFrame, states: Sequence[MemberState], n_unlabelled: int, config: CoTrainConfig
+    voted: DataFrame,
+    states: Sequence[MemberState],
+    n_unlabelled: float,
+    config: CoTrainConfig,
+    weight_col: str | None = None,
 ) -> dict[int, dict]:
     """What ``open_round`` says of every member, measured on labelled rows with votes."""
-    measured = {row["k"]: row for row in rounds.labelled_errors(voted, config).collect()}
+    measured = {row["k"]: row for row in rounds.labelled_errors(voted, config, weight_col).collect()}
     whole = measured.pop(rounds.ENSEMBLE)
+    kind = "BIGINT" if weight_col is None else "DOUBLE"
     state = local_table(
         voted.sparkSession,
         [(k, row["counted"], row["wrong"], states[k].err_prev, states[k].s_prev) for k, row in measured.items()],
-        "k INT, counted BIGINT, wrong BIGINT, err_prev DOUBLE, s_prev DOUBLE",
+        f"k INT, counted {kind}, wrong {kind}, err_prev DOUBLE, s_prev DOUBLE",
     )
     opened = open_round(
         state.withColumn("err", F.try_divide(F.col("wrong").cast("double"), F.col("counted"))),
@@ -253,11 +324,17 @@ def bagged_voters(bagged: DataFrame, members: Sequence[Member], config: CoTrainC
     """Round 0: every member trained on its own bag."""
     config = config.for_members(len(members))
     ks = list(range(config.n_members))
+    # Poisson counts know no weights, so each draw weighs its row's; drawn by weight, it weighs 1.
+    by_row = config.weight_col is not None and config.bootstrap == "poisson"
+
+    def weighed(drawn: DataFrame) -> DataFrame:
+        return drawn.withColumn("weight", F.col("weight") * F.col(WEIGHT)) if by_row else drawn
+
     fitted = fit_members(
         members,
         ks,
-        lambda k: in_bag_rows(bagged, k),
-        lambda wanted: in_bag_rows_of_all(bagged, wanted),
+        lambda k: weighed(in_bag_rows(bagged, k)),
+        lambda wanted: weighed(in_bag_rows_of_all(bagged, wanted)),
         config.parallelism,
     )
     return [fitted[k] for k in ks]

@@ -131,3 +131,8 @@ def event_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"))
+
+
+def order_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(row_id, weight)``: orders by their price."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_totalprice").alias("weight"))
