@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peerlabel.llm.bpe import BpeCodec
-from peerlabel.llm.common import materialize, table
+from peerlabel.llm.common import remove, scratch, shared_dir, table
 from peerlabel.llm.decontaminate import Decontaminator
 from peerlabel.llm.ngram_join import NgramJoin
 from peerlabel.llm.pii import PiiFinder
@@ -29,12 +29,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest id.
 
-    Documents without words are no one's duplicates and stay. Of rows that share an id
-    only those of the representative's id stay, all of them; rows without an id stay.
+    Documents without words or without an id are no one's duplicates and stay. Rows that
+    share an id are documents of their own: each stays or goes by its own text.
     """
-    found = NgramJoin().components(docs)
-    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    return NgramJoin().one_of_each(docs.select(*COLUMNS))
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +51,12 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_tokens, ids) of every document."""
-    encoded = BpeCodec(public_tokenizers.path(WORD_BPE)).encode(docs.select("doc_id", "lang", "source", "text"))
-    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """(doc_id, lang, source, n_tokens, ids, decoded_sha256) of every document; the last is the
+    digest of what the ids decode to."""
+    codec = BpeCodec(public_tokenizers.path(WORD_BPE))
+    decoded = codec.decode(codec.encode(docs.select("doc_id", "lang", "source", "text")), out="text")
+    n_tokens, digest = F.size("ids").cast("long"), F.sha2("text", 256)
+    return decoded.select("doc_id", "lang", "source", n_tokens.alias("n_tokens"), "ids", digest.alias("decoded_sha256"))
 
 
 STAGES = (
@@ -63,7 +64,7 @@ STAGES = (
     ("n-gram Jaccard join", near_duplicates),
     ("benchmark decontamination", benchmarks),
     ("personal data", personal_data),
-    ("BPE encoding", tokens),
+    ("BPE encoding and decoding", tokens),
 )
 
 # The personal-data stage decodes a trained model, which SQL cannot express.
@@ -71,7 +72,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What the stages leave in the shared folder, and each one's
+    result once the next has been made from it, is removed."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = shared_dir(spark, name.replace(" ", "-"))
+        with scratch(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if last:
+            remove(spark, last)
+        last = path
     return docs
