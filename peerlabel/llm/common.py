@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FALLBACK_CHECKPOINT_DIR = "/tmp/checkpoints"
+_scratches: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +27,27 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     if ":/" not in root:
         default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
         root = f"{default.rstrip('/')}/{root.lstrip('/')}" if "://" in default.rstrip("/") else f"file:///{root.lstrip('/')}"
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    if _scratches:
+        _scratches[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the shared folders that are made inside, at its end. What is computed from
+    them has to be written elsewhere before."""
+    _scratches.append([])
+    try:
+        yield
+    finally:
+        for path in _scratches.pop():
+            remove(spark, path)
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:

@@ -79,7 +79,42 @@ class NgramJoin:
             return self._components(named).withColumnRenamed("id", id_col)
 
     def _components(self, named: DataFrame) -> DataFrame:
-        """All that runs Python is written to files in here."""
+        grouped = self._grouped(named)
+        least = grouped.where("root IS NOT NULL").groupBy(F.col("root").alias("of")).agg(F.min("id").alias("component_id"))
+        joined = grouped.join(least, grouped["root"] == least["of"], "left")
+        own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+        return joined.select("id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+    def one_of_each(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """One row of ``docs`` of each group of linked texts: that with the smallest id, of rows
+        that share it the one whose set's hash, then whose columns are smallest.
+
+        Rows with a NULL id and texts without words are no one's duplicates and all stay.
+        """
+        columns = [F.col(f"`{c}`") for c in docs.columns]
+        named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        with arrow_batches(docs.sparkSession, BATCH_ROWS):
+            grouped = materialize(self._grouped(named), "groups")
+        linked = grouped.where("root IS NOT NULL")
+        chosen = linked.groupBy("root").agg(F.min(F.struct("id", "set_id")).alias("first"))
+        others = linked.join(chosen, "root").where("id <> first.id").select("id")
+        twice = linked.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id")
+        twice = materialize(twice, "repeated-ids")
+        # Where ids are unique, they tell rows apart; only rows of repeated ids are looked at again.
+        unclear = others.unionByName(twice).distinct().withColumnRenamed("id", "__id")
+        clear = docs.join(unclear, docs[id_col] == unclear["__id"], "left_anti")
+        again = docs.join(twice.withColumnRenamed("id", "__id"), docs[id_col] == F.col("__id"), "left_semi")
+        again = again.select(F.col(id_col).alias("id"), F.struct(*columns).alias("row"), F.col(text_col).alias("text"))
+        with arrow_batches(docs.sparkSession, BATCH_ROWS):
+            again = materialize(self.sets(again), "repeated-rows")
+        firsts = chosen.select(F.col("first.id").alias("id"), F.col("first.set_id").alias("set_id"))
+        kept = again.where("n > 0").join(firsts, ["id", "set_id"]).groupBy("id", "set_id").agg(F.min("row").alias("row"))
+        wordless = again.where("n = 0").select("row")
+        return clear.unionByName(kept.select("row").unionByName(wordless).select("row.*"))
+
+    def _grouped(self, named: DataFrame) -> DataFrame:
+        """(id, n, set_id, root) per row: sets of one ``root`` are linked. It is NULL for rows
+        without id or words. All that runs Python is written to files in here."""
         sets = materialize(self.sets(named), "shingle-sets")
         reps = sets.where("n > 0 AND id IS NOT NULL").groupBy("set_id").agg(
             F.min("id").alias("rep"), F.min("n").alias("n"), F.first("vector").alias("vector")
@@ -87,13 +122,10 @@ class NgramJoin:
         reps = materialize(reps, "distinct-sets")
         roots = self.roots(named, reps)
         labels = reps.join(roots, reps["set_id"] == roots["id"], "left").select(
-            "set_id", F.coalesce("root", "set_id").alias("root"), "rep"
+            F.col("set_id").alias("of"), F.coalesce("root", "set_id").alias("root")
         )
-        least = labels.groupBy("root").agg(F.min("rep").alias("component_id"))
-        found = labels.join(least, "root").select(F.col("set_id").alias("of"), "component_id")
-        joined = sets.join(found, (sets["set_id"] == found["of"]) & (sets["n"] > 0), "left")
-        own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-        return joined.select("id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+        has = (sets["n"] > 0) & sets["id"].isNotNull()
+        return sets.join(labels, (sets["set_id"] == labels["of"]) & has, "left").select("id", "n", "set_id", "root")
 
     # -- sets and points
 

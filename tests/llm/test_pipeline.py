@@ -1,13 +1,19 @@
 """The pipeline, stage by stage, on planted cases."""
 
+import hashlib
 import itertools
 import random
+import re
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
-from peerlabel.llm import pii
+from peerlabel.llm import common, pii
+from peerlabel.llm.common import materialize, table
+from test_quality import brute as counts_of, brute_threshold
 
 PII = ("+1 (017) 555-7713", "some.one@mail4.example.com", "97.51.17.173", "4111111111111111")
 
@@ -50,7 +56,7 @@ def test_stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     ids = {}
     for name, stage in pipeline.STAGES:
-        docs = pipeline.materialize(stage(spark, docs, folder), name.replace(" ", "-"))
+        docs = materialize(stage(spark, docs, folder), name.replace(" ", "-"))
         ids[name] = {r.doc_id for r in docs.select("doc_id").collect()}
         if name != pipeline.STAGES[-1][0]:
             assert docs.columns == list(pipeline.COLUMNS)
@@ -62,14 +68,90 @@ def test_stages(spark, folder):
     assert not {9006, 9007, 9008, 9009} & ids["quality rules"]
     assert {9001, 9004} <= ids["n-gram Jaccard join"] and not {9002, 9003} & ids["n-gram Jaccard join"]
     assert {9000, 9001, 9005} <= ids["benchmark decontamination"] and 9004 not in ids["benchmark decontamination"]
-    assert ids["personal data"] == ids["BPE encoding"] == ids["benchmark decontamination"]
-    assert docs.columns == ["doc_id", "lang", "source", "n_tokens", "ids"]
+    assert ids["personal data"] == ids["BPE encoding and decoding"] == ids["benchmark decontamination"]
+    assert docs.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256"]
     assert docs.where(F.size("ids") != F.col("n_tokens")).count() == 0
 
 
-def test_run_gives_the_last_stage(spark, folder):
+def kept_by_quality(rows):
+    """Documents within the thresholds of their groups, from plain lists."""
+    scores = {}
+    for r in rows:
+        n, chars, symbols, lines, repeats = counts_of(r.text)
+        if n >= 20 and 100 * repeats <= 30 * n:
+            length = chars * 1000 // n
+            scores[r] = [symbols * 1000 // max(chars, 1), lines * 1000 // n, repeats * 1000 // n, length, -length]
+    groups = {}
+    for r in scores:
+        groups.setdefault((r.lang, r.source), []).append(r)
+    out = []
+    for (lang, _), members in groups.items():
+        limits = []
+        for i, (least, alone) in enumerate([(5, False), (10, False), (40, False), (50, True), (50, True)]):
+            own = [scores[r][i] for r in members]
+            of_lang = [s[i] for r, s in scores.items() if r.lang == lang]
+            limits.append(brute_threshold(own, of_lang, [s[i] for s in scores.values()], least, 6, 20.0, alone, 200))
+        out += [r for r in members if all(t is None or x <= t for x, t in zip(scores[r], limits, strict=True))]
+    return out
+
+
+def first_of_each_group(rows):
+    def shingles(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, min(len(words), 1)))}
+
+    sets = [(r, shingles(r.text)) for r in sorted(rows, key=lambda r: r.doc_id)]
+    group = list(range(len(sets)))
+    for (i, (_, a)), (j, (_, b)) in itertools.combinations(enumerate(sets), 2):
+        if a and b and 100 * len(a & b) >= 80 * len(a | b):
+            group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    return [r for i, (r, _) in enumerate(sets) if group[i] == i]
+
+
+def uncontaminated(rows, items):
+    def words_of(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+    windows = {tuple(w[i : i + 13]) for w in map(words_of, items) for i in range(max(len(w) - 12, 1)) if w}
+    for r in rows:
+        words, hit = words_of(r.text), set()
+        for size in {len(w) for w in windows}:
+            for i in range(len(words) - size + 1):
+                if tuple(words[i : i + size]) in windows:
+                    hit |= set(range(i, i + size))
+        if not (hit and 20 * len(hit) >= len(words)):
+            yield r
+
+
+def test_run_row_for_row(spark, folder, tmp_path, monkeypatch):
+    """All five stages against plain Python; the personal data with the model trained in its stage."""
+    monkeypatch.setattr(common, "FALLBACK_CHECKPOINT_DIR", str(tmp_path))
+    rows = table(spark, folder, "documents").collect()
+    items = [r.text for r in table(spark, folder, "benchmark").collect()]
+    left = list(uncontaminated(first_of_each_group(kept_by_quality(rows)), items))
+    schema = table(spark, folder, "documents").schema
+    masked = pipeline.personal_data(spark, spark.createDataFrame(left, schema), folder).collect()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(pipeline.WORD_BPE))
+    tokenizer.no_truncation(), tokenizer.no_padding()
+    expected = {}
+    for r in masked:
+        ids = tokenizer.encode(r.text, add_special_tokens=False).ids
+        digest = hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        expected[r.doc_id] = (r.lang, r.source, len(ids), ids, digest)
+    assert set(expected) == {r.doc_id for r in left} and len(left) > 100 and len(rows) - len(left) > 20
     result = pipeline.run(spark, folder)
-    assert result.count() > 50 and result.where("doc_id = 9000").count() == 1
+    assert {r.doc_id: tuple(r)[1:] for r in result.collect()} == expected and result.count() == len(expected)
+    others = [p.name for p in tmp_path.iterdir() if not p.name.startswith("BPE-encoding")]
+    assert all(name.startswith(("quality", "shingle", "pii", "crf")) for name in others)  # none of run() itself
+
+
+def test_one_row_of_each_group_stays(spark, folder):
+    text = lambda seed: " ".join(f"{seed}{i}" for i in range(60))
+    rows = [(5, text("a")), (5, text("a")), (5, text("b")), (6, text("a") + " more"), (7, text("b")), (8, text("c")), (8, text("c").upper()), (8, None), (None, text("a")), (None, text("a")), (9, ""), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], table(spark, folder, "documents").schema)
+    got = [(r.doc_id, r.text) for r in pipeline.near_duplicates(spark, docs.repartition(3), folder).collect()]
+    expected = [(5, text("a")), (5, text("b")), (8, text("c").upper()), (8, None), (None, text("a")), (None, text("a")), (9, ""), (9, "")]
+    assert sorted(map(str, got)) == sorted(map(str, expected))
 
 
 def test_empty_and_null_rows(spark, folder):
