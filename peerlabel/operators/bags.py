@@ -259,6 +259,15 @@ def in_bag_rows_of_all(bagged: DataFrame, ks: list[int], expand: bool = False) -
     return drawn.withColumn("weight", F.col("_n").cast("double")).drop("_n")
 
 
+def in_bag_rows_at_once(bagged: DataFrame, ks: list[int], weight_col: str | None = None) -> DataFrame:
+    """Each row that a member drew once, with ``weights ARRAY<DOUBLE>``: its count for each of
+    ``ks``, times its weight if there is a ``weight_col``."""
+    weight = F.col(weight_col) if weight_col else F.lit(1.0)
+    weights = F.array(*[F.col("bag")[k] * weight for k in ks])
+    drawn = F.greatest(*[F.col("bag")[k] for k in ks], F.lit(0)) > 0
+    return bagged.filter(drawn).withColumn("weights", weights)
+
+
 def in_bag_flags(bag: Column, n_members: int) -> Column:
     """``ARRAY<BOOLEAN>``: true where the member drew the row."""
     return F.array(*[bag[k] > 0 for k in range(n_members)])

@@ -14,7 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, Transformer
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorSlicer
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from peerlabel.config import CoTrainConfig
 from peerlabel.functions.exact import exact_sum
 from peerlabel.functions.voting import checked_vote, hard_vote
+from peerlabel.operators.joint import LinearMember, LinearVoter, as_array, linear_votes
 
 MAX_FLAG_BITS = 12
+JOINT = (LinearMember,)  # kinds that are trained by passes over each row once
 DEEPEST_TREE = 30  # what pyspark.ml allows
 
 
@@ -312,11 +314,13 @@ def fit_members(
     rows_of: Callable[[int], DataFrame],
     rows_of_all: Callable[[list[int]], DataFrame],
     parallelism: int = 1,
+    rows_at_once: Callable[[list[int]], DataFrame] | None = None,
 ) -> dict[int, Voter]:
     """Train members ``ks``: jointly where the kind allows it, else side by side.
 
     ``rows_of(k)`` gives one member's rows, ``rows_of_all(ks)`` those of several
-    with the member id in ``k``.
+    with the member id in ``k``, ``rows_at_once(ks)`` each row once with the ``weights`` it has
+    for them.
     """
     ks = list(ks)
     if not ks:
@@ -327,6 +331,16 @@ def fit_members(
         if lacking:
             raise ValueError(f"members {lacking} have no training rows")
         return voters
+    kind = type(members[0])
+    if rows_at_once is not None and kind in JOINT and all(type(m) is kind for m in members):
+        rows = rows_at_once(ks)
+        feature_col = members[0].feature_col
+        rows = rows.select(as_array(rows, feature_col).alias(feature_col), "label", "weights")
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return kind.fit_jointly(members, ks, rows)
+        finally:
+            rows.unpersist()
     if parallelism == 1 or len(ks) == 1:
         return {k: members[k].fit(rows_of(k)) for k in ks}
     spark = rows_of(ks[0]).sparkSession
@@ -360,7 +374,18 @@ def with_new_votes(rows: DataFrame, changed: dict[int, Voter], n_members: int, n
 def _asked(rows: DataFrame, voters: dict[int, Voter], n_classes: int | None) -> tuple[DataFrame, dict[int, Column]]:
     """``rows`` with a column for each voter, and by member the vote to take from it."""
     scored, votes = rows, {}
+    linear = {k: v for k, v in voters.items() if isinstance(v, LinearVoter)}
+    if linear and len({v.feature_col for v in linear.values()}) == 1:
+        # One step scores them all.
+        scored, at = scored.withColumn("_stack", linear_votes(scored, list(linear.values()))), 1
+        for k, voter in linear.items():
+            votes[k] = F.slice("_stack", at, voter.n_classes)
+            if not voter.hard:
+                votes[k] = checked_vote(votes[k], n_classes or voter.n_classes)
+            at += voter.n_classes
     for k, voter in voters.items():
+        if k in votes:
+            continue
         name = f"_v{k}"
         scored = voter.vote(scored, name)
         wanted = n_classes or getattr(voter, "n_classes", None)

@@ -148,3 +148,15 @@ def retraining_rows(
     original = labelled.select(*keys, feature_col, "label", own.alias("weight"))
     added = labels.select(*keys, feature_col, F.col("pseudo_label").alias("label"), weight.alias("weight"))
     return original.unionByName(added)
+
+
+def retraining_rows_at_once(
+    labelled: DataFrame, labels: DataFrame, ks: list[int], feature_col: str, weighted: bool, weight_col: str | None = None
+) -> DataFrame:
+    """The rows of :func:`retraining_rows` for members ``ks``, original ones once each, with
+    ``weights ARRAY<DOUBLE>``: what a row weighs for each of them."""
+    own = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
+    original = labelled.select(feature_col, "label", F.array(*[own] * len(ks)).alias("weights"))
+    weight = F.col("confidence") if weighted else F.lit(1.0)
+    mine = F.array(*[F.when(F.col("k") == k, weight).otherwise(0.0) for k in ks])
+    return original.unionByName(labels.select(feature_col, F.col("pseudo_label").alias("label"), mine.alias("weights")))

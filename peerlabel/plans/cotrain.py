@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from peerlabel.config import CoTrainConfig
 from peerlabel.functions import gates, voting
 from peerlabel.operators import rounds
-from peerlabel.operators.bags import each_member, in_bag_rows, in_bag_rows_of_all, weight_total, with_bags
+from peerlabel.operators.bags import each_member, in_bag_rows, in_bag_rows_at_once, in_bag_rows_of_all, weight_total, with_bags
 from peerlabel.operators.members import Member, Voter, fit_members, with_new_votes, with_votes
 from peerlabel.operators.subsample import draw
 from peerlabel.plans.journal import BEFORE, Entry, Journal
@@ -234,6 +234,9 @@ def _round(bagged, pool, n_unlabelled, members, feature_col, config, featurise,
                 each_member(bagged, ks), rounds.pseudo_labels(sampled, config, ks), feature_col, config.retrain_weights, weight_col
             ),
             config.parallelism,
+            lambda ks: rounds.retraining_rows_at_once(
+                bagged, rounds.pseudo_labels(sampled, config, ks), ks, feature_col, config.retrain_weights, weight_col
+            ),
         )
     finally:
         if sampled is not None:
@@ -336,5 +339,6 @@ def bagged_voters(bagged: DataFrame, members: Sequence[Member], config: CoTrainC
         lambda k: weighed(in_bag_rows(bagged, k)),
         lambda wanted: weighed(in_bag_rows_of_all(bagged, wanted)),
         config.parallelism,
+        lambda wanted: in_bag_rows_at_once(bagged, wanted, WEIGHT if by_row else None),
     )
     return [fitted[k] for k in ks]
