@@ -26,9 +26,10 @@ from peerlabel.config import CoTrainConfig
 from peerlabel.functions.exact import exact_sum
 from peerlabel.functions.voting import checked_vote, hard_vote
 from peerlabel.operators.joint import LinearMember, LinearVoter, as_array, linear_votes
+from peerlabel.operators.joint_trees import TreeMember
 
 MAX_FLAG_BITS = 12
-JOINT = (LinearMember,)  # kinds that are trained by passes over each row once
+JOINT = (LinearMember, TreeMember)  # kinds that are trained by passes over each row once
 DEEPEST_TREE = 30  # what pyspark.ml allows
 
 

@@ -1,0 +1,110 @@
+"""Trees grown together against a plain walk down the same rules."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from peerlabel.config import CoTrainConfig
+from peerlabel.operators import joint_trees as jt
+from peerlabel.operators.members import with_votes
+from peerlabel.plans.cotrain import cotrain
+
+SCHEMA = "row_id LONG, features ARRAY<DOUBLE>, label INT, weights ARRAY<DOUBLE>"
+
+
+def brute(member, rows, name=1, depth=0):
+    """Nested (feature, threshold, left, right) and class counts at the leaves."""
+    total = [sum(w for _, y, w in rows if y == c) for c in range(member.n_classes)]
+    pure = sum(x * x for x in total) / sum(total)
+    best = None
+    for j in member.features_of(name, len(rows[0][0])):
+        for t in sorted({x[j] for x, _, _ in rows})[:-1]:
+            sides = [[0.0] * member.n_classes, [0.0] * member.n_classes]
+            for x, y, w in rows:
+                sides[x[j] > t][y] += w
+            score = sum(sum(n * n for n in side) / sum(side) for side in sides)
+            if best is None or score > best[0]:
+                best = (score, j, t)
+    if depth == member.max_depth or best is None or best[0] <= pure * jt.GAIN:
+        return [x / sum(total) for x in total]
+    _, j, t = best
+    parts = [[r for r in rows if r[0][j] <= t], [r for r in rows if r[0][j] > t]]
+    return j, t, *(brute(member, part, 2 * name + side, depth + 1) for side, part in enumerate(parts))
+
+
+def ask(tree, x):
+    while isinstance(tree, tuple):
+        tree = tree[3] if x[tree[0]] > tree[1] else tree[2]
+    return tree
+
+
+def some(seed, n=400, m=6):
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        x = [float(rng.randint(0, 5)) for _ in range(m)]
+        y = int(x[0] + x[1] > 5) + int(x[2] > 2 and x[3] > 2)
+        out.append((i, x, y if rng.random() < 0.9 else rng.randint(0, 2), [float(rng.choice([0, 0, 1, 1, 2])) for _ in range(3)]))
+    return out
+
+
+@pytest.mark.parametrize("depth, per_node", [(1, 6), (4, 2), (8, 3)])
+def test_trees_follow_the_rules(spark, depth, per_node):
+    rows = some(depth)
+    members = jt.tree_members_jointly(3, 3, per_node, max_depth=depth)
+    table = spark.createDataFrame(rows, SCHEMA)
+    passes = []
+    voters = jt.grow(members, table.repartition(5), passes)
+    assert voters == jt.grow(members, table.repartition(1))
+    assert len(passes) <= depth + 1 and passes[0] == 3
+    asked = {r.row_id: r.votes for r in with_votes(table, voters).collect()}
+    for k, member in enumerate(members):
+        tree = brute(member, [(x, y, w[k]) for _, x, y, w in rows if w[k] > 0])
+        for i, x, _, _ in rows:
+            assert asked[i][k] == pytest.approx(ask(tree, x), abs=1e-12)
+
+
+def test_hard_votes_and_vectors(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    rows = some(5)
+    table = spark.createDataFrame(rows, SCHEMA)
+    soft = jt.grow(jt.tree_members_jointly(1, 3, 6), table)[0]
+    vectors = table.withColumn("features", array_to_vector("features"))
+    hard = jt.grow(jt.tree_members_jointly(1, 3, 6, soft=False), vectors)[0]
+    shares = {r.row_id: r.v for r in soft.vote(table, "v").collect()}
+    for r in hard.vote(vectors, "v").collect():
+        assert r.v == [float(c == max(range(3), key=lambda c: (shares[r.row_id][c], -c))) for c in range(3)]
+
+
+def test_many_values_are_binned_by_quantiles(spark):
+    rng = random.Random(1)
+    rows = [(i, [rng.gauss(0, 1), rng.random()], 0, [1.0]) for i in range(3000)]
+    rows = [(i, x, int(x[0] > 0.3), w) for i, x, _, w in rows]
+    member = jt.TreeMember(0, 2, 2, max_depth=6, max_bins=16)
+    table = spark.createDataFrame(rows, SCHEMA)
+    voter = jt.grow([member], table)[0]
+    right = sum(r.v[r.label] > 0.5 for r in voter.vote(table, "v").collect())
+    assert right > 0.95 * 3000
+
+
+def test_leaves_only_and_no_rows(spark):
+    table = spark.createDataFrame([(0, [1.0], 1, [2.0]), (1, [1.0], 1, [0.0])], SCHEMA)
+    voter = jt.grow([jt.TreeMember(0, 3, 1)], table)[0]
+    assert voter.depth == 0 and voter.vote(table, "v").first().v == [0.0, 1.0, 0.0]
+    with pytest.raises(ValueError, match="no training rows"):
+        jt.grow([jt.TreeMember(0, 3, 1)], table.filter("row_id = 1"))
+
+
+def test_the_loop_with_trees(spark):
+    rows = spark.createDataFrame(some(8, 600), SCHEMA).drop("weights")
+    members = jt.tree_members_jointly(4, 3, 3, max_depth=5)
+    config = CoTrainConfig.preset("paper", 3, threshold=0.6, init_s_prime=20.0, max_rounds=2)
+    made = [
+        cotrain(rows.repartition(p).filter("row_id % 3 = 0"), rows.repartition(p).filter("row_id % 3 > 0").drop("label"), members, config)
+        for p in (2, 5)
+    ]
+    assert made[0].rounds == made[1].rounds and made[0].voters == made[1].voters
+    scored = made[0].score(rows)
+    assert scored.filter(F.col("prediction") == F.col("label")).count() > 0.7 * 600
