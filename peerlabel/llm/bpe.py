@@ -192,6 +192,32 @@ class BpeCodec:
         ids = F.coalesce(F.col(ids_col), F.array().cast("array<int>"))
         return self._with_column(df, ids_col, out, StringType(), ids, decode_ids)
 
+    def round_trip(self, df: DataFrame, text_col: str = "text", ids: str = "ids", digest: str = "decoded_sha256") -> DataFrame:
+        """``df`` with the ids of ``text_col`` and the digest of what they decode to, in one pass.
+
+        NULL encodes as empty. All rows and all other columns stay; columns of the two names are replaced.
+        """
+        others = [c for c in df.columns if c not in (ids, digest)]
+        row = F.struct(F.lit(0).alias("__"), *(F.col(f"`{c}`") for c in others))
+        narrowed = df.select(row.alias("row"), text_or_empty(text_col).alias("value"))
+        path = self.tokenizer_path
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vocabulary = vocabulary_of(path)
+            for batch in batches:
+                done = 0
+                for made in encode_texts(batch.column(1), vocabulary):
+                    rows = batch.column(0).slice(done, len(made))
+                    done += len(made)
+                    (decoded,) = decode_ids(made, vocabulary)
+                    yield pa.RecordBatch.from_arrays([rows, made, _sha256(decoded)], ["row", "ids", "digest"])
+            vocabulary.words.clear()
+
+        fields = [StructField("ids", ArrayType(IntegerType())), StructField("digest", StringType())]
+        mapped = narrowed.mapInArrow(run, StructType([narrowed.schema.fields[0], *fields]))
+        kept = [F.col("row").getField(c).alias(c) for c in others]
+        return mapped.select(*kept, F.col("ids").alias(ids), F.col("digest").alias(digest))
+
     def digests(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(id, n_tokens, ids_sha256, decoded_sha256) per row, in one pass.
 
