@@ -53,10 +53,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, decoded_sha256) of every document; the last is the
     digest of what the ids decode to."""
-    codec = BpeCodec(public_tokenizers.path(WORD_BPE))
-    decoded = codec.decode(codec.encode(docs.select("doc_id", "lang", "source", "text")), out="text")
-    n_tokens, digest = F.size("ids").cast("long"), F.sha2("text", 256)
-    return decoded.select("doc_id", "lang", "source", n_tokens.alias("n_tokens"), "ids", digest.alias("decoded_sha256"))
+    coded = BpeCodec(public_tokenizers.path(WORD_BPE)).round_trip(docs.select("doc_id", "lang", "source", "text"))
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = (
