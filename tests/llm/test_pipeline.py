@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -123,9 +124,8 @@ def uncontaminated(rows, items):
             yield r
 
 
-def test_run_row_for_row(spark, folder, tmp_path, monkeypatch):
+def test_run_row_for_row(spark, folder):
     """All five stages against plain Python; the personal data with the model trained in its stage."""
-    monkeypatch.setattr(common, "FALLBACK_CHECKPOINT_DIR", str(tmp_path))
     rows = table(spark, folder, "documents").collect()
     items = [r.text for r in table(spark, folder, "benchmark").collect()]
     left = list(uncontaminated(first_of_each_group(kept_by_quality(rows)), items))
@@ -139,11 +139,12 @@ def test_run_row_for_row(spark, folder, tmp_path, monkeypatch):
         digest = hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
         expected[r.doc_id] = (r.lang, r.source, len(ids), ids, digest)
     assert set(expected) == {r.doc_id for r in left} and len(left) > 100 and len(rows) - len(left) > 20
-    before = set(tmp_path.iterdir())
+    shared = Path(common.shared_dir(spark, "x").removeprefix("file://")).parent
+    before = set(shared.iterdir())
     result = pipeline.run(spark, folder)
     assert {r.doc_id: tuple(r)[1:] for r in result.collect()} == expected and result.count() == len(expected)
-    others = [p.name for p in tmp_path.iterdir() if not p.name.startswith("BPE-encoding")]
-    assert [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir() if p not in before] == ["BPE-encoding-and-decoding"]
+    assert [p.name.rsplit("-", 1)[0] for p in shared.iterdir() if p not in before] == ["BPE-encoding-and-decoding"]
+
 
 
 def test_one_row_of_each_group_stays(spark, folder):
