@@ -374,6 +374,65 @@ def code_steps(rows: str) -> list[tuple[str, str]]:
     ]
 
 
+def tree_steps() -> list[tuple[str, str]]:
+    """Random trees grown level by level: ``at_{d}`` has the node of every document in the tree of each
+    member, ``leaves`` the classes of the training rows in each."""
+    counted = ", ".join(f"({j}, '{part}')" for j, part in enumerate(views.COUNTED))
+    classes = range(C)
+    listed = lambda side: [f"{side}{c}" for c in classes]
+
+    def purity(side):
+        return f"(({' + '.join(f'{x} * {x}' for x in listed(side))}) / ({' + '.join(listed(side))}))"
+
+    steps = [
+        (
+            "feats",
+            "SELECT doc_id AS row_id, j, least((length(t) - length(replace(t, s, ''))) // length(s), "
+            f"{views.MOST_COUNTED})::INTEGER AS x FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents), "
+            f"(VALUES {counted}) f(j, s)",
+        ),
+        ("train", f"SELECT row_id, k, label, bag::DOUBLE AS w FROM bagged WHERE bag > 0 AND k < {q.N_TREES}"),
+        ("at_0", f"SELECT row_id, k, 1 AS node FROM docs, members WHERE k < {q.N_TREES}"),
+    ]
+    for d in range(q.TREE_DEPTH):
+        steps += [
+            (f"open_{d}", f"SELECT DISTINCT k, node FROM at_{d} JOIN train USING (row_id, k) WHERE node >= {1 << d}"),
+            (
+                f"chosen_{d}",
+                "SELECT k, node, j FROM (SELECT k, node, j, row_number() OVER (PARTITION BY k, node ORDER BY "
+                f"md5(j || ':{q.SEED}:node:' || k || ':' || node)) AS rk FROM open_{d}, "
+                f"(SELECT unnest(range({len(views.COUNTED)})) AS j)) WHERE rk <= {q.TREE_FEATURES}",
+            ),
+            (
+                f"hist_{d}",
+                f"SELECT k, node, j, x, {columns('coalesce(sum(w) FILTER (label = {i}), 0) AS n{i}', C)} "
+                f"FROM train JOIN at_{d} USING (row_id, k) JOIN chosen_{d} USING (k, node) JOIN feats USING (row_id, j) "
+                "GROUP BY k, node, j, x",
+            ),
+            (
+                f"sides_{d}",
+                "SELECT *, " + columns("t{i} - l{i} AS r{i}", C) + " FROM (SELECT k, node, j, x, "
+                + columns("sum(n{i}) OVER (PARTITION BY k, node, j ORDER BY x) AS l{i}", C) + ", "
+                + columns("sum(n{i}) OVER (PARTITION BY k, node, j) AS t{i}", C) + f" FROM hist_{d})",
+            ),
+            (
+                f"split_{d}",
+                "SELECT k, node, j, x FROM (SELECT *, row_number() OVER (PARTITION BY k, node ORDER BY score DESC, j, x) AS rk "
+                f"FROM (SELECT k, node, j, x, {purity('l')} + {purity('r')} AS score, {purity('t')} AS pure FROM sides_{d} "
+                f"WHERE {' + '.join(listed('r'))} > 0)) WHERE rk = 1 AND score > pure * (1::DOUBLE + 1e-12::DOUBLE)",
+            ),
+            (
+                f"at_{d + 1}",
+                "SELECT a.row_id, a.k, CASE WHEN s.node IS NULL THEN a.node ELSE 2 * a.node + (f.x > s.x)::INTEGER END AS node "
+                f"FROM at_{d} a LEFT JOIN split_{d} s ON s.k = a.k AND s.node = a.node "
+                "LEFT JOIN feats f ON f.row_id = a.row_id AND f.j = s.j",
+            ),
+        ]
+    final = f"at_{q.TREE_DEPTH}"
+    sums = columns("coalesce(sum(w) FILTER (label = {i}), 0) AS n{i}", C)
+    return [*steps, ("leaves", f"SELECT k, node, {sums}, sum(w) AS n FROM train JOIN {final} USING (row_id, k) GROUP BY k, node")]
+
+
 def spread_dist(name: str, keys: str) -> str:
     values = columns("max(p) FILTER (WHERE c = {i}) AS p_{i}", C)
     return f"SELECT {keys}, {values} FROM {name}_dist GROUP BY {keys}"
@@ -480,25 +539,38 @@ def all_sql() -> dict[str, str]:
         "c1_bucket_votes": statement(first, spread_votes("votes_0")),
         "c2_lr_member": statement(
             [*first, ("bag_0", "SELECT * FROM bag_rows WHERE k = 0"), *code_steps("bag_0")],
-            "SELECT row_id, "
-            + columns("(heaviest = {i})::INTEGER::DOUBLE AS v_{i}", C)
-            + " FROM docs JOIN codes USING (code) WHERE untied",
+            "SELECT row_id, coalesce(untied, false) AS settled, "
+            + columns("CASE WHEN untied THEN (heaviest = {i})::INTEGER::DOUBLE END AS v_{i}", C)
+            + " FROM docs LEFT JOIN codes USING (code)",
         ),
         "c4_tree_member": statement(
             [*first, ("bag_0", "SELECT * FROM bag_rows WHERE k = 0"), *code_steps("bag_0")],
-            "SELECT row_id, "
-            + columns("round(coalesce(sum(w) FILTER (WHERE c.label = {i}), 0)::DOUBLE / sum(w)::DOUBLE, 9) AS v_{i}", C)
-            + " FROM docs JOIN code_weights c USING (code) GROUP BY row_id",
+            "SELECT row_id, count(w) > 0 AS settled, "
+            + columns(
+                "CASE WHEN count(w) > 0 THEN "
+                "round(coalesce(sum(w) FILTER (WHERE c.label = {i}), 0)::DOUBLE / sum(w)::DOUBLE, 9) END AS v_{i}",
+                C,
+            )
+            + " FROM docs LEFT JOIN code_weights c USING (code) GROUP BY row_id",
+        ),
+        "c4_tree_grown": statement(
+            [*first, *tree_steps()],
+            f"SELECT row_id, a.k::INTEGER AS k, {columns('round(n{i} / n, 9) AS v_{i}', C)} "
+            f"FROM at_{q.TREE_DEPTH} a JOIN leaves l ON l.k = a.k AND l.node = a.node",
         ),
         "c7_baseline_error": statement(
             [
                 *docs_steps(splits.TENTH_AND_TEST),
                 ("known", f"SELECT code, label, 1 AS w FROM parts WHERE part <> '{splits.TEST}'"),
                 *code_steps("known"),
+                (
+                    "tested",
+                    "SELECT coalesce(untied, false) AS settled, coalesce(untied AND heaviest <> label, false) AS missed "
+                    f"FROM parts LEFT JOIN codes USING (code) WHERE part = '{splits.TEST}'",
+                ),
             ],
-            "SELECT count(*) AS n_rows, sum((heaviest <> label)::INTEGER)::BIGINT AS wrong, "
-            "avg((heaviest <> label)::INTEGER::DOUBLE) AS error "
-            f"FROM parts JOIN codes USING (code) WHERE untied AND part = '{splits.TEST}'",
+            "SELECT count(*) AS n_rows, count(*) FILTER (settled) AS n_settled, count(*) FILTER (missed) AS wrong, "
+            "count(*) FILTER (missed)::DOUBLE / count(*) FILTER (settled)::DOUBLE AS error FROM tested",
         ),
         "c3_hard_vote": statement(first, f"SELECT row_id, {one_hot} FROM votes_0 WHERE k = 0"),
         "c5_subspace_sizes": statement(

@@ -10,6 +10,7 @@ from peerlabel.config import CoTrainConfig
 from peerlabel.functions import gates, voting
 from peerlabel.functions.exact import exact_sum
 from peerlabel.operators import bags, metrics, rounds, subsample
+from peerlabel.operators.joint_trees import grow, tree_members_jointly
 from peerlabel.operators.members import (
     bucket_members,
     logistic_members,
@@ -26,6 +27,7 @@ C = len(views.LANGUAGES)
 N_BITS = len(views.STOP_WORDS)
 FLAGS_PER_MEMBER = 5
 SEED = 1
+N_TREES, TREE_FEATURES, TREE_DEPTH = 3, 4, 5
 LITTLE = 1e-4  # regularisation that keeps a saturated model finite
 CONFIG = CoTrainConfig(n_classes=C, n_members=K, init_s_prime=100.0, seed=SEED)
 PAPER = CoTrainConfig.preset("paper", C, n_members=K, threshold=0.6, seed=SEED)
@@ -198,9 +200,15 @@ def c2_lr_every(spark, sf):
     return voted.select("row_id", "settled", *_spread(F.col("dist"), C, "v"))
 
 
+def _where_settled(voted):
+    """Every document; votes are NULL where SQL cannot know them."""
+    known = [F.when(F.col("settled"), F.col(f"v_{c}")).alias(f"v_{c}") for c in range(C)]
+    return voted.select("row_id", "settled", *known)
+
+
 def c2_lr_member(spark, sf):
-    """The documents of ``c2_lr_every`` for which SQL knows the vote."""
-    return c2_lr_every(spark, sf).filter("settled").drop("settled")
+    """Every document, with the vote of ``c2_lr_every`` where the bag settles it."""
+    return _where_settled(c2_lr_every(spark, sf))
 
 
 def c2_lr_words(spark, sf):
@@ -228,8 +236,20 @@ def c4_tree_every(spark, sf):
 
 
 def c4_tree_member(spark, sf):
-    """The documents of ``c4_tree_every`` for which SQL knows the shares."""
-    return c4_tree_every(spark, sf).filter("settled").drop("settled")
+    """Every document, with the shares of ``c4_tree_every`` where the bag has its code."""
+    return _where_settled(c4_tree_every(spark, sf))
+
+
+def c4_tree_grown(spark, sf):
+    """Three random trees over counts of short strings, each with four features a node, trained
+    together on their bags; the shares of each for every document."""
+    rows = views.docs_counts(spark, sf)
+    ks = list(range(N_TREES))
+    members = tree_members_jointly(N_TREES, C, TREE_FEATURES, max_depth=TREE_DEPTH, seed=SEED)
+    voters = grow(members, bags.in_bag_rows_at_once(_bag_of_labelled(rows), ks))
+    long = bags.each_member(with_votes(rows, voters).select("row_id", "votes"), ks)
+    shares = [F.round(F.col("votes")[F.col("k")][c], 9).alias(f"v_{c}") for c in range(C)]
+    return long.select("row_id", "k", *shares)
 
 
 def c4_tree_words(spark, sf):
@@ -268,13 +288,19 @@ def c6_round0_state(spark, sf):
 
 
 def c7_baseline_error(spark, sf):
-    """The supervised baseline on one-hot codes, tested where the training rows settle a code."""
+    """The supervised baseline on one-hot codes, tested on every test document; errors are
+    counted where the training rows settle a code."""
     parts = splits.with_part(views.docs_one_hot(spark, sf), splits.TENTH_AND_TEST, SEED)
     train = parts.filter(F.col("part") != splits.TEST)
     weights = train.groupBy("code", "label").agg(F.count(F.lit(1)).alias("w"))
-    test = splits.part_of(parts, splits.TEST).join(_codes(weights, untied=True), "code")
-    member = logistic_members(1, C, reg_param=LITTLE)[0]
-    return jobs.supervised_baseline(train, member, C, seed=SEED, test=test)
+    voter = logistic_members(1, C, reg_param=LITTLE)[0].fit(train.withColumn("weight", F.lit(1.0)))
+    voted = with_votes(_settled(splits.part_of(parts, splits.TEST), _codes(weights, untied=True)), [voter], C)
+    scored = voting.classify(voted, 1, C, voting.SUM)
+    missed = F.col("settled") & (F.col("prediction") != F.col("label"))
+    counts = scored.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if("settled").alias("n_settled"), F.count_if(missed).alias("wrong")
+    )
+    return counts.withColumn("error", F.try_divide(F.col("wrong").cast("double"), F.col("n_settled")))
 
 
 def c7_every_error(spark, sf):
@@ -563,8 +589,8 @@ def g1_quality(spark, sf):
 REGISTERED = (
     a1_parse_features, a4_split, a6_sizes,
     b1_bag_counts, b1_block_bags, b2_exact_bootstrap, b2_weighted_bootstrap, b3_inbag_rows, b4_oob_flags, b5_bag_summary,
-    c1_bucket_votes, c2_lr_every, c2_lr_member, c2_lr_words, c3_hard_vote, c4_tree_every, c4_tree_member,
-    c4_tree_words, c5_subspace_sizes, c6_round0_state, c7_baseline_error, c7_every_error, c7_words_error,
+    c1_bucket_votes, c2_lr_every, c2_lr_member, c2_lr_words, c3_hard_vote, c4_tree_every, c4_tree_grown,
+    c4_tree_member, c4_tree_words, c5_subspace_sizes, c6_round0_state, c7_baseline_error, c7_every_error, c7_words_error,
     d1_member_votes, d2_ensemble_dist, d2_scored_dist, d3_loo_dist, d3_soft_loo, d4_oob_loo_dist, d5_normalise_minmax,
     d6_normalise_sum, d7_argmax, d8_confidence, d9_classify, d10_high_confidence,
     e1_oob_error, e1_weighted_error, e2_draw_size, e3_subsample_bernoulli, e4_subsample_exact,

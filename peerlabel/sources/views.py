@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # Label order and the stop words that mark the languages.
 LANGUAGES = ("de", "en", "es", "fr")
 STOP_WORDS = ("the", "der", "el", "le", "und", "los", "les", "and")
+COUNTED = (" the ", " der ", " el ", " le ", " und ", " los ", " les ", " and ", "qu", "ch", "th", "ie", "ó", "é", "ü", "ñ")
+MOST_COUNTED = 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +77,20 @@ def docs_flag_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs_flags(spark, sf_dir).withColumn("features", array_to_vector(flags))
 
 
+def docs_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(row_id, features, label)``: how often some short strings occur in the text, 15 at most."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+
+    def count(part: str):
+        left = F.length(F.replace(text, F.lit(part), F.lit("")))
+        return F.least(F.floor((F.length(text) - left) / len(part)), F.lit(MOST_COUNTED)).cast("double")
+
+    features = F.array(*[count(part) for part in COUNTED])
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("row_id"), features.alias("features"), _language_label().alias("label")
+    )
+
+
 def docs_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(row_id, features, label)``: text statistics; label NULL where not annotated."""
     text = F.col("text")
