@@ -42,8 +42,8 @@ def listed(entries, name, pattern, day):
     return all(a == "add" for d, a in past if d == last)
 
 
-@pytest.mark.parametrize("bucket_days", [1, 30, 10000])
-def test_verdicts_match_a_loop(spark, bucket_days):
+@pytest.mark.parametrize("bucket_days, small", [(1, 500_000), (30, 500_000), (30, 0), (10000, 500_000)])
+def test_verdicts_match_a_loop(spark, bucket_days, small):
     rng = random.Random(bucket_days)
     names = ["spam", "adult", "allow"]
     some = sorted({p for u in URLS for p in patterns(u)})
@@ -56,7 +56,7 @@ def test_verdicts_match_a_loop(spark, bucket_days):
     captures += [(900, URLS[0], None)]
     table = spark.createDataFrame(entries, "list STRING, pattern STRING, day DATE, action STRING")
     asked = with_clashes(spark.createDataFrame(captures, "capture_id LONG, url STRING, fetched DATE"), "list", "bucket", "since")
-    got = {r.capture_id: r for r in TemporalUrlFilter(bucket_days).verdicts(asked, table).collect()}
+    got = {r.capture_id: r for r in TemporalUrlFilter(bucket_days, small).verdicts(asked, table).collect()}
     assert len(got) == len(captures)
     for i, url, day in captures:
         found = {(n, p) for n in names for p in patterns(url) if day and listed(entries, n, p, day)}
@@ -80,7 +80,7 @@ def test_intervals(spark):
     assert got == [
         ("p", DAY, DAY + dt.timedelta(5)),
         ("p", DAY + dt.timedelta(5), DAY + dt.timedelta(9)),
-        ("s", DAY, dt.date(2100, 1, 1)),
+        ("s", DAY, None),
     ]
 
 
@@ -90,3 +90,26 @@ def test_empty_tables(spark):
     rows = TemporalUrlFilter().verdicts(captures, none).collect()
     assert len(rows) == 3 and not any(r.blocked or r.n_matches or r.lists for r in rows)
     assert TemporalUrlFilter().verdicts(captures.limit(0), none).count() == 0
+
+
+def test_entries_hold_for_ever_and_from_any_time(spark):
+    entries = [("spam", "a.org", dt.date(1950, 1, 1), "add"), ("adult", "b.org", dt.date(2024, 1, 1), "add")]
+    table = spark.createDataFrame(entries, "list STRING, pattern STRING, day DATE, action STRING")
+    captures = [(1, "http://a.org/", dt.date(1949, 12, 31)), (2, "http://a.org/", dt.date(1950, 1, 1)), (3, "http://a.org/", dt.date(2900, 5, 5)), (4, "http://b.org/", dt.date(9999, 12, 31)), (5, "http://b.org/", dt.date(2023, 12, 31))]
+    asked = spark.createDataFrame(captures, "capture_id LONG, url STRING, fetched DATE")
+    got = {r.capture_id: r.lists for r in TemporalUrlFilter().verdicts(asked, table).collect()}
+    assert got == {1: "", 2: "spam", 3: "spam", 4: "adult", 5: ""}
+
+
+def test_rows_of_an_entry_do_not_grow_with_time(spark, monkeypatch):
+    """One row for the entry and one for each bucket that is asked for."""
+    from peerlabel.llm import url_filters
+
+    written = {}
+    plain = url_filters.materialize
+    monkeypatch.setattr(url_filters, "materialize", lambda df, what: written.setdefault(what, plain(df, what)))
+    table = spark.createDataFrame([("spam", "a.org", dt.date(1900, 1, 1), "add")], "list STRING, pattern STRING, day DATE, action STRING")
+    captures = [(i, "http://x.a.org/", dt.date(2000 + i % 2, 1, 1)) for i in range(1000)]
+    asked = spark.createDataFrame(captures, "capture_id LONG, url STRING, fetched DATE")
+    assert TemporalUrlFilter().matches(asked, table).count() == 1000
+    assert written["url-relevant"].count() == 1 + 2 and written["url-asked"].count() == 1000
