@@ -14,9 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from peerlabel.llm.common import text_or_empty
+from peerlabel.llm.common import materialize, text_or_empty
 
-PREFIX_BYTES = 7
 ROWS_PER_GROUP = 200_000
 
 
@@ -74,10 +73,21 @@ def _direction(digit: int, n: int) -> int:
     return ones % n
 
 
-def text_order(column: Column) -> Column:
-    """A long that orders strings by their first bytes."""
-    padded = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, PREFIX_BYTES)), 2 * PREFIX_BYTES, "0")
-    return F.conv(padded, 16, 10).cast("long")
+def string_cuts(docs: DataFrame, column: str, steps: list[float]) -> list[str | None]:
+    """For each step the smallest value that at least that share of the rows do not exceed.
+
+    Values count as a whole, byte by byte, however long a beginning they share. Only
+    distinct values are ordered, in ranges of them; NULLs do not count.
+    """
+    value = F.col(f"`{column}`").alias("value")
+    counts = docs.select(value).where(value.isNotNull()).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    placed = materialize(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()), "string-values")
+    starts = placed.groupBy("part").agg(F.sum("n").alias("rows"))  # one row a range
+    starts = starts.select("part", (F.sum("rows").over(W.orderBy("part")) - F.col("rows")).alias("start"))
+    upto = F.sum("n").over(W.partitionBy("part").orderBy("value")) + F.col("start")
+    running = placed.join(F.broadcast(starts), "part").select("value", upto.alias("upto"))
+    total = placed.agg(F.sum("n")).first()[0] or 0
+    return list(running.agg(*(F.min(F.when(F.col("upto") >= q * total, F.col("value"))) for q in steps)).first())
 
 
 @dataclass(frozen=True)
@@ -138,18 +148,18 @@ class HilbertSharder:
 
     def _on_curve(self, docs: DataFrame) -> DataFrame:
         kinds = dict(docs.dtypes)
-        values = {
-            f"__d{i}": text_order(F.col(f"`{c}`")) if kinds[c] == "string" else F.col(f"`{c}`").cast("double")
-            for i, c in enumerate(self.dimensions)
-        }
         steps = [q / (1 << self.bits) for q in range(1, 1 << self.bits)]
-        cuts = docs.select(*(v.alias(k) for k, v in values.items())).agg(
-            *(F.percentile_approx(k, steps, self.accuracy).alias(k) for k in values)
-        ).first()
+        strings = [c for c in self.dimensions if kinds[c] == "string"]
+        values = {c: F.col(f"`{c}`") if c in strings else F.col(f"`{c}`").cast("double") for c in self.dimensions}
+        cuts = {c: string_cuts(docs, c, steps) for c in strings}
+        numbers = [c for c in self.dimensions if c not in strings]
+        if numbers:
+            found = docs.agg(*(F.percentile_approx(values[c], steps, self.accuracy) for c in numbers)).first()
+            cuts |= dict(zip(numbers, found, strict=True))
         cell = F.lit(0)
         for name, value in values.items():
             bin_ = F.lit(0)
-            for cut in cuts[name] or []:
+            for cut in (c for c in cuts[name] or [] if c is not None):
                 bin_ = bin_ + F.coalesce((value > F.lit(cut)).cast("int"), F.lit(0))
             cell = cell * (1 << self.bits) + bin_
         spark = docs.sparkSession

@@ -73,3 +73,20 @@ def test_files_have_narrow_ranges(spark, tmp_path, docs_of):
     ranges = back.groupBy("shard").agg(F.count_distinct("lang").alias("langs"), (F.max("n_chars") - F.min("n_chars")).alias("width"))
     whole = 13 * 96
     assert all(r.langs * r.width < whole * 0.6 for r in ranges.collect())
+
+
+def test_curve_is_that_of_the_raw_columns(docs_of):
+    """Values that share a long beginning are told apart; cells are those of plain quantiles."""
+    docs = docs_of(["x" * (i * 37 % 101) for i in range(900)])
+    docs = docs.withColumns({"lang": F.concat(F.lit("l"), F.col("doc_id") % 3), "source": F.concat(F.lit("https://example.com/source_"), F.col("doc_id") % 11)})
+    docs = docs.withColumn("source", F.when(F.col("doc_id") % 50 > 0, F.col("source")))
+    rows = HilbertSharder().assign(docs).collect()
+    bins = {}
+    for name in ("lang", "source", "n_chars"):
+        values = sorted(r[name] for r in rows if r[name] is not None)
+        cuts = [values[-(-q * len(values) // 16) - 1] for q in range(1, 16)]
+        bins[name] = lambda v, cuts=cuts: 0 if v is None else sum(v > c for c in cuts)
+    for r in rows:
+        assert r.curve == hilbert_index(tuple(bins[name](r[name]) for name in bins), 4)
+    assert len({bins["source"](r.source) for r in rows}) == 11
+    check_rows_law(rows)
