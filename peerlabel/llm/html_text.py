@@ -23,8 +23,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = frozenset(
     "head script style template noscript title iframe object canvas audio video "
-    "datalist noembed noframes".split()
+    "datalist noembed noframes rp".split()
 )
+#: Kinds of input whose value is shown.
+SHOWN_INPUTS = frozenset("button email number reset search submit tel text url".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav "
@@ -69,8 +71,9 @@ TAG = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-HINTS = re.compile(r"hidden|style|colspan|rowspan|start|value|alt|display|visibility|select|multiple|size|label|disabled|systemlanguage", re.I)
+HIDING = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
+HINTS = re.compile(r"hidden|open|type|style|colspan|rowspan|start|value|alt|display|visibility|select|multiple|size|label|disabled|systemlanguage", re.I)
 
 
 class Node:
@@ -191,11 +194,20 @@ def hidden(node: Node) -> bool:
     if node.tag in UNSEEN or node.tag in (MATH_UNSEEN if node.space == "math" else SVG_UNSEEN if node.space else ()):
         return True
     a = node.attributes
-    if node.space and (a.get("display") == "none" or a.get("visibility") in ("hidden", "collapse")):
+    if node.space and a.get("display") == "none" or node.tag == "dialog" and "open" not in a:
         return True
     return bool(a) and ("hidden" in a or bool(HIDING.search(a.get("style", ""))))
 
 
+def veiled(node: Node, above: bool) -> bool:
+    """Whether an element keeps its place but is not seen; its children inherit that, unless
+    they say otherwise."""
+    a = node.attributes
+    said = VISIBILITY.findall(a.get("style", "")) if a else ()
+    own = said[-1] if said else a.get("visibility") if node.space else None
+    return own.lower() in ("hidden", "collapse") if own and own.lower() != "inherit" else above
+
+
 def parts_of(node: Node) -> list[Node | str]:
     """The children that can be shown."""
     if node.space == "svg" and node.tag == "switch":  # shows the first that applies
@@ -246,6 +258,10 @@ def apart(node: Node) -> bool:
     return node.tag == "math" and node.attributes.get("display") == "block"
 
 
+WHITE = " \t\n\r\f\v"
+WORDS = re.compile(f"[^{WHITE}]+")
+
+
 class Lines:
     """Lines of a block being written: collapsed inline text, breaks and indents."""
 
@@ -257,14 +273,14 @@ class Lines:
         self.space = self.blank = False
 
     def text(self, raw: str) -> None:
-        words = raw.split()
+        words = raw.split() if raw.isascii() else WORDS.findall(raw)  # a non-breaking space is no space
         if not words:
             self.space = self.space or bool(raw)
             return
-        if self.parts and (self.space or raw[0].isspace()):
+        if self.parts and (self.space or raw[0] in WHITE):
             self.parts.append(" ")
         self.parts.append(" ".join(words))
-        self.space = raw[-1].isspace()
+        self.space = raw[-1] in WHITE
 
     def verbatim(self, raw: str) -> None:
         for i, line in enumerate(raw.split("\n")):
@@ -312,11 +328,13 @@ def render(root: Node) -> str:
     tables: list[list[list[tuple[list[str], int, int]]]] = []
     counters: list[int | None] = []
     pre = 0
-    todo: list[tuple[Node | str, bool]] = [(root, False)]
+    todo: list[tuple[Node | str, bool, bool]] = [(root, False, False)]
     while todo:
-        node, leaving = todo.pop()
+        node, leaving, unseen = todo.pop()
         lines = out[-1]
         if isinstance(node, str):
+            if unseen:
+                continue
             text = unescape(node) if "&" in node else node
             lines.verbatim(text) if pre else lines.text(text)
             continue
@@ -324,6 +342,13 @@ def render(root: Node) -> str:
         if not leaving:
             if hidden(node):
                 continue
+            if unseen := veiled(node, unseen):
+                todo.extend((child, False, True) for child in reversed(parts_of(node)))
+                continue
+            if tag == "input":
+                if node.attributes.get("type", "text").strip().lower() in SHOWN_INPUTS:
+                    lines.text(f" {node.attributes.get('value', '')} ")
+                continue
             if tag == "br":
                 lines.newline()
                 continue
@@ -359,8 +384,8 @@ def render(root: Node) -> str:
                 lines.indents.append("  ")
             elif tag == "pre":
                 pre += 1
-            todo.append((node, True))
-            todo.extend((child, False) for child in reversed(parts_of(node)))
+            todo.append((node, True, False))
+            todo.extend((child, False, False) for child in reversed(parts_of(node)))
             continue
         if apart(node):
             lines.block()

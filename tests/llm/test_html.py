@@ -3,6 +3,7 @@
 import pytest
 
 from conftest_llm import with_clashes
+from peerlabel.llm import html_text
 from peerlabel.llm.html_text import HtmlExtractor, aligned, extract
 
 CASES = {
@@ -118,3 +119,20 @@ def test_columns_and_empty_tables(spark):
 
 def test_alignment_of_nothing():
     assert list(aligned([])) == [] and list(aligned([[], [([], 1, 1)]])) == []
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<form>Find <input value='old' type=text> <input type=submit value=Search> <input type=hidden value=no><input type=password value=no></form>", "Find old Search"),
+        ("<input type=checkbox value=no> yes", "yes"),
+        ("<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div> end", "yes end"),
+        ("<ul style='visibility:hidden'><li>no<li style='visibility:visible'>yes</ul>", "- yes"),
+        ("<p style='visibility:visible'>yes <span style='visibility:collapse'>no</span>", "yes"),
+        ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"),
+        ("<ruby>kanji<rp>(</rp><rt>reading</rt><rp>)</rp></ruby>", "kanjireading"),
+        ("10&nbsp;&nbsp;km  far", "10\xa0\xa0km far"),
+    ],
+)
+def test_what_browsers_show(html, text):
+    assert html_text.render(html_text.build(html)) == text
