@@ -125,12 +125,13 @@ def pieces(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def balanced(strings: list[str], size: int) -> Iterator[tuple[range, list[str]]]:
-    """Runs of strings of about ``size`` characters each; a longer one goes alone."""
+    """Runs of strings of about ``size`` UTF-8 bytes each; a longer one goes alone."""
     begin, total = 0, 0
     for i, string in enumerate(strings):
-        if total and total + len(string) > size:
+        n = len(string) if string.isascii() else len(string.encode())
+        if total and total + n > size:
             yield range(begin, i), strings[begin:i]
             begin, total = i, 0
-        total += len(string)
+        total += n
     if begin < len(strings):
         yield range(begin, len(strings)), strings[begin:]
