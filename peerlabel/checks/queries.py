@@ -10,6 +10,7 @@ from peerlabel.config import CoTrainConfig
 from peerlabel.functions import gates, voting
 from peerlabel.functions.exact import exact_sum
 from peerlabel.operators import bags, metrics, rounds, subsample
+from peerlabel.operators.joint import linear_members
 from peerlabel.operators.joint_trees import grow, tree_members_jointly
 from peerlabel.operators.members import (
     bucket_members,
@@ -556,7 +557,7 @@ def lang_job(spark, sf):
     """
     return jobs.cotrain_split(
         views.docs_text(spark, sf),
-        logistic_members(K, C),
+        linear_members(K, C),
         CoTrainConfig(n_classes=C, seed=SEED),
         featurise=views.word_features,
     )
