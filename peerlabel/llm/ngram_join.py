@@ -97,6 +97,7 @@ class NgramJoin:
             grouped = materialize(self._grouped(named), "groups")
         linked = grouped.where("root IS NOT NULL")
         chosen = linked.groupBy("root").agg(F.min(F.struct("id", "set_id")).alias("first"))
+        chosen = materialize(chosen, "chosen")  # by itself, so that the join with it can split a large group
         others = linked.join(chosen, "root").where("id <> first.id").select("id")
         twice = linked.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id")
         twice = materialize(twice, "repeated-ids")
