@@ -40,7 +40,7 @@ class Crf:
 
 def train(
     features: np.ndarray, labels: np.ndarray, mask: np.ndarray, groups: tuple[int, ...], n_labels: int,
-    penalty: float = 0.02, steps: int = 100, rate: float = 0.2,
+    penalty: float = 0.02, steps: int = 200, rate: float = 0.2,
 ) -> Crf:
     """Maximises the regularised likelihood of sequences, padded to (sequences, length).
 
@@ -48,20 +48,24 @@ def train(
     passes of Adam from zero: the same table gives the same model.
     """
     crf = Crf(groups, np.zeros((sum(groups), n_labels)), np.zeros((n_labels, n_labels)))
-    index = features + crf.offsets
-    real = index[mask]
+    # Words with the same features are scored and added up together.
+    kinds, kind_of = np.unique(features[mask] + crf.offsets, axis=0, return_inverse=True)
+    order = np.argsort(kind_of, kind="stable")
+    starts = np.searchsorted(kind_of[order], np.arange(len(kinds)))
+    has = np.zeros((len(kinds), len(crf.weights)))
+    np.put_along_axis(has, kinds, 1, axis=1)
+    place = np.zeros(mask.shape, np.int64)
+    place[mask] = kind_of
     hot = np.eye(n_labels)[labels]
     pairs = mask[:, 1:] & mask[:, :-1]
-    want = np.zeros_like(crf.weights)
-    np.add.at(want, real, hot[mask][:, None, :])
+    want = has.T @ np.add.reduceat(hot[mask][order], starts)
     want_moves = np.einsum("bti,btj->ij", hot[:, :-1] * pairs[..., None], hot[:, 1:])
     n = max(len(features), 1)
     first = [np.zeros_like(crf.weights), np.zeros_like(crf.moves)]
     second = [np.zeros_like(crf.weights), np.zeros_like(crf.moves)]
     for step in range(1, steps + 1):
-        node, edge = expectations(crf.weights[index].sum(axis=-2), crf.moves, mask)
-        have = np.zeros_like(crf.weights)
-        np.add.at(have, real, node[mask][:, None, :])
+        node, edge = expectations((has @ crf.weights)[place], crf.moves, mask)
+        have = has.T @ np.add.reduceat(node[mask][order], starts)
         for i, (value, gradient) in enumerate(
             ((crf.weights, (want - have) / n), (crf.moves, (want_moves - edge) / n))
         ):
@@ -73,28 +77,28 @@ def train(
     return crf
 
 
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.log(np.exp(x - top).sum(axis=axis)) + np.squeeze(top, axis)
-
-
 def expectations(e: np.ndarray, moves: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of labels (sequences, length, labels) and expected moves, summed."""
+    """Marginals of labels (sequences, length, labels) and expected moves, summed.
+
+    Forward and backward weights are scaled to a sum of one at each word.
+    """
     b, t, n = e.shape
-    ahead, back = np.zeros((b, t, n)), np.zeros((b, t, n))
-    ahead[:, 0] = e[:, 0]
+    local, step = np.exp(e - e.max(axis=2, keepdims=True)), np.exp(moves - moves.max())
+    ahead, back = np.zeros((b, t, n)), np.full((b, t, n), 1 / n)
+    ahead[:, 0] = local[:, 0] / local[:, 0].sum(axis=1, keepdims=True)
     for i in range(1, t):
-        step = _log_sum(ahead[:, i - 1, :, None] + moves, 1) + e[:, i]
-        ahead[:, i] = np.where(mask[:, i, None], step, ahead[:, i - 1])
+        new = (ahead[:, i - 1] @ step) * local[:, i]
+        ahead[:, i] = np.where(mask[:, i, None], new / new.sum(axis=1, keepdims=True), ahead[:, i - 1])
     for i in range(t - 2, -1, -1):
-        step = _log_sum(moves + (e[:, i + 1] + back[:, i + 1])[:, None, :], 2)
-        back[:, i] = np.where(mask[:, i + 1, None], step, 0)
-    total = _log_sum(ahead[:, -1], 1)
-    node = np.exp(ahead + back - total[:, None, None]) * mask[..., None]
+        new = (local[:, i + 1] * back[:, i + 1]) @ step.T
+        back[:, i] = np.where(mask[:, i + 1, None], new / new.sum(axis=1, keepdims=True), 1 / n)
+    node = ahead * back
+    node *= mask[..., None] / node.sum(axis=2, keepdims=True)
     edge = np.zeros((n, n))
     for i in range(1, t):
-        joint = ahead[:, i - 1, :, None] + moves + (e[:, i] + back[:, i])[:, None, :] - total[:, None, None]
-        edge += np.exp(joint[mask[:, i]]).sum(axis=0)
+        before, after = ahead[:, i - 1][mask[:, i]], (local[:, i] * back[:, i])[mask[:, i]]
+        total = ((before @ step) * after).sum(axis=1, keepdims=True)
+        edge += step * ((before / total).T @ after)
     return node, edge
 
 

@@ -119,6 +119,43 @@ def test_model_finds_held_out_data(spark, testdata, model):
     assert total >= 80 and hit >= 0.9 * total and wrong <= 0.05 * total
 
 
+def test_no_rule_reads_rewritten_forms():
+    rng = random.Random(8)
+    found = {0: "some.one+x@mail4.example.com", 1: "97.51.17.173", 2: "4111 1111 1111 1111", 3: "+1 (017) 555-7713"}
+    for kind, text in found.items():
+        assert brute(text) == [(kind, 0, len(text))]
+        forms = {pii.rewritten(kind, text, rng) for _ in range(300)} - {None}
+        assert len(forms) >= 5
+        for form in forms:
+            assert brute(form) == [], form
+            line = f"see {text}, or {text} now"
+            shown, spans = pii.with_rewritten(line, brute(line), rng, 1.0)
+            assert len(spans) == 2 and all(shown[s:e] != "" for _, s, e in spans)
+            assert re.sub("|".join(re.escape(shown[s:e]) for _, s, e in spans), "X", shown) == "see X, or X now"
+    assert pii.with_rewritten("+4111 1111 1111 1111", [(2, 1, 20), (3, 0, 20)], rng, 1.0) == (
+        "+4111 1111 1111 1111", [(3, 0, 20)]
+    )
+
+
+def test_model_finds_forms_that_no_rule_reads(testdata, spark, model):
+    """Held-out recall on rewritten forms, by kind, and ordinary numbers left alone."""
+    import pyarrow as pa
+
+    rows = spark.read.parquet(f"{testdata}/sf0.01/documents.parquet").where("text RLIKE '[0-9@]'").orderBy("doc_id").collect()
+    rng = random.Random(77)
+    made = [pii.with_rewritten(r.text, pii.rule_spans(r.text), rng, 1.0) for r in rows]
+    total, hit = [0] * 4, [0] * 4
+    for (text, spans), found in zip(made, pii.find_spans(pa.array([t for t, _ in made]), model, 4.0), strict=True):
+        for kind, start, end in spans:
+            total[kind] += 1
+            hit[kind] += any(k == kind and s < end and start < e for k, s, e, _ in found)
+    assert sum(total) >= 80 and sum(hit) >= 0.9 * sum(total), (hit, total)
+    assert all(h >= 0.8 * t for h, t in zip(hit, total, strict=True)), (hit, total)
+    plain = [f"It was {pii.ordinary(rng)} when we came to the house" for _ in range(2000)]
+    wrong = sum(bool(found) for found in pii.find_spans(pa.array(plain), model, 4.0))
+    assert wrong <= 0.02 * len(plain), wrong
+
+
 def test_added_spans_and_redaction(spark, docs_of, model):
     texts = [
         "call +1 (017) 555-7713 or write to some.one@mail4.example.com now",
