@@ -22,18 +22,15 @@ def stored(df: DataFrame, path: str) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` written as a checkpoint: its lineage ends at files, its partitions and their order stay."""
+    """``df`` written as a checkpoint: its lineage ends at files, its partitions and their order stay.
+
+    Spark removes it with ``spark.cleaner.referenceTracking.cleanCheckpoints``, once it is unused."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(FALLBACK_DIR)
     return df.checkpoint()
 
 
-def forget(df: DataFrame) -> None:
-    """Remove the files of a ``settled`` table."""
-    remove(df.sparkSession, df._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get())
-
-
 def remove(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
